@@ -68,3 +68,9 @@ def chunks(items, size):
     items = list(items)
     for i in range(0, len(items), size):
         yield items[i:i + size]
+
+
+def maybe_broadcast(df: DataFrame, bytes_per_row: int = 128, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast ``df`` only after counting it proves the side small; else a shuffle join."""
+    n = df.count()
+    return F.broadcast(df) if n * bytes_per_row <= limit else df

@@ -29,4 +29,6 @@ def safe_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     xm = F.when(both, x.cast("double"))
     ym = F.when(both, y.cast("double"))
-    return F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym))
+    # constant side -> null; tested with min = max (a merged stddev of a constant is not exactly 0)
+    varying = (F.max(xm) > F.min(xm)) & (F.max(ym) > F.min(ym))
+    return F.when(varying, F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym)))
