@@ -1 +1,161 @@
-"""placeholder"""
+"""Registered A/B-test queries (B1-B13)."""
+
+from __future__ import annotations
+
+from ..operators import abtest as A
+from . import fixtures as X
+from .registry import register
+
+CONT = X.SQL_FX_AB_CONT
+BIN = X.SQL_FX_AB_BIN
+Z = 1.959963984540054  # z_{0.975}, as computed by the operator for alpha = 0.05
+
+_ROWS = """rows_ AS (SELECT {g}
+    count(*) FILTER (WHERE arm = 'click') AS n_c, count(*) FILTER (WHERE arm = 'view') AS n_t,
+    avg(outcome) FILTER (WHERE arm = 'click') AS mean_c, avg(outcome) FILTER (WHERE arm = 'view') AS mean_t,
+    var_samp(outcome) FILTER (WHERE arm = 'click') AS var_c, var_samp(outcome) FILTER (WHERE arm = 'view') AS var_t
+  FROM fx_ab_cont WHERE outcome IS NOT NULL {gb})"""
+
+
+def _rows(by=None):
+    return _ROWS.format(g=f"{by}," if by else "", gb=f"GROUP BY {by}" if by else "")
+
+
+@register("ab_group_stats", X.with_ctes(
+    """SELECT arm AS "group", CAST(count(*) AS BIGINT) AS n, round(avg(outcome), 4) AS mean,
+       round(stddev_samp(outcome), 4) AS std, round(quantile_cont(outcome, 0.5), 4) AS median
+    FROM fx_ab_cont WHERE outcome IS NOT NULL GROUP BY arm""", CONT))
+def q_ab_group_stats(spark, d):
+    return A.group_stats(X.fx_ab_cont(spark, d), "arm", "outcome")
+
+
+@register("ab_welch_t", X.with_ctes(
+    """SELECT segment, n_c, n_t, round((mean_c - mean_t) / sqrt(var_c / n_c + var_t / n_t), 6) AS t,
+       round(pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)), 6) AS df
+    FROM rows_""", CONT, _rows("segment")))
+def q_ab_welch_t(spark, d):
+    return A.welch_t(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_p=False)
+
+
+@register("ab_mann_whitney", X.with_ctes(
+    """SELECT s.segment, n_c, n_t, round(r_c - n_c * (n_c + 1) / 2.0, 6) AS u_stat,
+       round((greatest(r_c - n_c * (n_c + 1) / 2.0, n_c * n_t - (r_c - n_c * (n_c + 1) / 2.0)) - n_c * n_t / 2.0 - 0.5)
+             / sqrt(n_c * n_t / 12.0 * ((n_c + n_t + 1) - ties / ((n_c + n_t) * (n_c + n_t - 1.0)))), 6) AS z
+    FROM s JOIN ties USING (segment)""", CONT,
+    """ranked AS (SELECT segment, arm, outcome,
+        rank() OVER (PARTITION BY segment ORDER BY outcome) + (count(*) OVER (PARTITION BY segment, outcome) - 1) / 2.0 AS mr
+      FROM fx_ab_cont WHERE outcome IS NOT NULL)""",
+    """ties AS (SELECT segment, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM
+        (SELECT segment, outcome, count(*) AS t FROM ranked GROUP BY 1, 2) GROUP BY 1)""",
+    """s AS (SELECT segment, sum(mr) FILTER (WHERE arm = 'click') AS r_c,
+        CAST(count(*) FILTER (WHERE arm = 'click') AS BIGINT) AS n_c,
+        CAST(count(*) FILTER (WHERE arm = 'view') AS BIGINT) AS n_t FROM ranked GROUP BY 1)"""))
+def q_ab_mann_whitney(spark, d):
+    return A.mann_whitney(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_p=False)
+
+
+_D = ("CASE WHEN sqrt(((n_c - 1) * var_c + (n_t - 1) * var_t) / (n_c + n_t - 2)) > 0 THEN (mean_t - mean_c) / "
+      "sqrt(((n_c - 1) * var_c + (n_t - 1) * var_t) / (n_c + n_t - 2)) ELSE 0.0 END")
+
+
+@register("ab_cohens_d", X.with_ctes(
+    f"""SELECT round({_D}, 4) AS cohens_d, CASE WHEN abs({_D}) < 0.2 THEN 'negligible' WHEN abs({_D}) < 0.5 THEN 'small'
+       WHEN abs({_D}) < 0.8 THEN 'medium' ELSE 'large' END AS interpretation FROM rows_""", CONT, _rows()))
+def q_ab_cohens_d(spark, d):
+    return A.cohens_d(X.fx_ab_cont(spark, d), "arm", "outcome")
+
+
+@register("ab_mean_ci", X.with_ctes(
+    """SELECT round(mean_t - mean_c, 4) AS mean_diff,
+       round(mean_t - mean_c - 1.96 * sqrt(var_c / n_c + var_t / n_t), 4) AS ci_low,
+       round(mean_t - mean_c + 1.96 * sqrt(var_c / n_c + var_t / n_t), 4) AS ci_high FROM rows_""", CONT, _rows()))
+def q_ab_mean_ci(spark, d):
+    return A.mean_ci(X.fx_ab_cont(spark, d), "arm", "outcome")
+
+
+@register("ab_power_continuous", X.with_ctes(
+    f"SELECT segment, round({Z} - abs({_D}) * sqrt(n_c * n_t / (n_c + n_t)), 6) AS power_arg FROM rows_",
+    CONT, _rows("segment")))
+def q_ab_power_continuous(spark, d):
+    return A.power_continuous(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_power=False)
+
+
+_CT = """ct AS (SELECT a.arm, o.outcome, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count
+    FROM (SELECT DISTINCT CAST(arm AS VARCHAR) AS arm FROM fx_ab_bin WHERE arm IS NOT NULL AND outcome IS NOT NULL) a
+    CROSS JOIN (SELECT DISTINCT CAST(outcome AS VARCHAR) AS outcome FROM fx_ab_bin WHERE arm IS NOT NULL AND outcome IS NOT NULL) o
+    LEFT JOIN (SELECT CAST(arm AS VARCHAR) AS arm, CAST(outcome AS VARCHAR) AS outcome, count(*) AS cnt FROM fx_ab_bin
+               WHERE arm IS NOT NULL AND outcome IS NOT NULL GROUP BY 1, 2) c USING (arm, outcome))"""
+
+
+@register("ab_contingency", X.with_ctes("SELECT * FROM ct", BIN, _CT))
+def q_ab_contingency(spark, d):
+    return A.contingency(X.fx_ab_bin(spark, d), "arm", "outcome")
+
+
+_CHI = """chi AS (SELECT sum(dv * dv / e) AS chi2, CAST((max(nr) - 1) * (max(nc) - 1) AS BIGINT) AS dof, max(n) AS n,
+        least(max(nr), max(nc)) AS k FROM (
+      SELECT e, CASE WHEN (nr - 1) * (nc - 1) = 1 THEN abs(count - e) - least(0.5, abs(count - e)) ELSE abs(count - e) END AS dv,
+             nr, nc, n FROM (
+        SELECT count, sum(count) OVER (PARTITION BY arm) * sum(count) OVER (PARTITION BY outcome) / sum(count) OVER () AS e,
+               (SELECT count(DISTINCT arm) FROM ct) AS nr, (SELECT count(DISTINCT outcome) FROM ct) AS nc,
+               sum(count) OVER () AS n FROM ct)))"""
+
+
+@register("ab_chi_square", X.with_ctes(
+    """SELECT round(chi2, 6) AS chi2, dof, round(sqrt(chi2 / (n * (k - 1))), 6) AS cramers_v,
+       CASE WHEN sqrt(chi2 / (n * (k - 1))) < 0.1 THEN 'negligible' WHEN sqrt(chi2 / (n * (k - 1))) < 0.3 THEN 'small'
+            WHEN sqrt(chi2 / (n * (k - 1))) < 0.5 THEN 'medium' ELSE 'large' END AS interpretation FROM chi""",
+    BIN, _CT, _CHI))
+def q_ab_chi_square(spark, d):
+    return A.chi_square(X.fx_ab_bin(spark, d), "arm", "outcome", with_p=False)
+
+
+@register("ab_cramers_v", X.with_ctes("SELECT round(sqrt(chi2 / (n * (k - 1))), 6) AS cramers_v FROM chi", BIN, _CT, _CHI))
+def q_ab_cramers_v(spark, d):
+    return A.chi_square(X.fx_ab_bin(spark, d), "arm", "outcome", with_p=False).select("cramers_v")
+
+
+_CONV = """cv AS (SELECT CAST(count(*) FILTER (WHERE arm = 'F') AS BIGINT) AS n_c, CAST(count(*) FILTER (WHERE arm = 'O') AS BIGINT) AS n_t,
+      CAST(count(*) FILTER (WHERE arm = 'F' AND CAST(outcome AS VARCHAR) = (SELECT max(CAST(outcome AS VARCHAR)) FROM fx_ab_bin)) AS BIGINT) AS pos_c,
+      CAST(count(*) FILTER (WHERE arm = 'O' AND CAST(outcome AS VARCHAR) = (SELECT max(CAST(outcome AS VARCHAR)) FROM fx_ab_bin)) AS BIGINT) AS pos_t
+    FROM fx_ab_bin WHERE arm IS NOT NULL AND outcome IS NOT NULL)"""
+_RC, _RT = "(pos_c / n_c)", "(pos_t / n_t)"
+_POOL = "((pos_c + pos_t) / (n_c + n_t))"
+_SE0 = f"sqrt({_POOL} * (1 - {_POOL}) * (1.0 / n_c + 1.0 / n_t))"
+
+
+@register("ab_conversion", X.with_ctes(
+    f"""SELECT n_c, n_t, pos_c, pos_t, round({_RC}, 6) AS rate_c, round({_RT}, 6) AS rate_t,
+       round({_RT} - {_RC}, 6) AS rate_diff,
+       round(CASE WHEN {_RC} > 0 THEN ({_RT} - {_RC}) / {_RC} * 100 ELSE 0.0 END, 6) AS lift_pct FROM cv""", BIN, _CONV))
+def q_ab_conversion(spark, d):
+    out = A.conversion(X.fx_ab_bin(spark, d), "arm", "outcome", with_power=False)
+    return out.select("n_c", "n_t", "pos_c", "pos_t", "rate_c", "rate_t", "rate_diff", "lift_pct")
+
+
+@register("ab_rate_ci_power", X.with_ctes(
+    f"""SELECT round({_RT} - {_RC} - 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 6) AS ci_low,
+       round({_RT} - {_RC} + 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 6) AS ci_high,
+       round(CASE WHEN {_SE0} > 0 THEN ({_RT} - {_RC}) / {_SE0} ELSE 0.0 END, 6) AS z_pooled FROM cv""", BIN, _CONV))
+def q_ab_rate_ci_power(spark, d):
+    return A.conversion(X.fx_ab_bin(spark, d), "arm", "outcome", with_power=False).select("ci_low", "ci_high", "z_pooled")
+
+
+@register("ab_normality_gate")
+def q_ab_normality_gate(spark, d):
+    return A.normality_gate(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id", by=["segment"])
+
+
+@register("ab_test")
+def q_ab_test(spark, d):
+    return A.ab_test(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id")
+
+
+@register("ab_test_segments")
+def q_ab_test_segments(spark, d):
+    return A.ab_test(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id", by=["segment"])
+
+
+@register("ab_test_binary")
+def q_ab_test_binary(spark, d):
+    return A.ab_test(X.fx_ab_bin(spark, d), "arm", "outcome", id_col="l_orderkey")
