@@ -48,16 +48,17 @@ def row_index(df: DataFrame, order_by, by=(), name: str = "idx", num_partitions=
     """
     by = list(by)
     s = _sorted_runs(df, by, order_by, num_partitions, checkpoint)
-    s = s.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
-    summ = s.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
-    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    s = s.withColumn("_ri_pid", F.shiftright(F.col("_mid"), 33)).withColumn(
+        "_ri_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
+    summ = s.groupBy("_ri_pid", *by).agg(F.count(F.lit(1)).alias("_ri_cnt"), F.min("_ri_pos").alias("_ri_first"))
+    w = Window.partitionBy(*by).orderBy("_ri_pid").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_ri_off", F.coalesce(F.sum("_ri_cnt").over(w), F.lit(0))).drop("_ri_cnt")
     if checkpoint:
         summ = summ.checkpoint()
     n = summ.count()
-    out = s.join(_small(summ, n), ["_pid", *by], "inner")
-    return out.withColumn(name, F.col("_off") + F.col("_pos") - F.col("_first")).drop(
-        "_mid", "_pid", "_pos", "_first", "_off")
+    out = s.join(_small(summ, n), ["_ri_pid", *by], "inner")
+    return out.withColumn(name, F.col("_ri_off") + F.col("_ri_pos") - F.col("_ri_first")).drop(
+        "_mid", "_ri_pid", "_ri_pos", "_ri_first", "_ri_off")
 
 
 def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
