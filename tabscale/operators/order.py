@@ -62,8 +62,9 @@ def row_index(df: DataFrame, order_by, by=(), name: str = "idx", num_partitions=
 
 
 def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
-               num_partitions=None, checkpoint: bool = True) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ``order_by`` order (within ``by`` groups).
+               num_partitions=None, checkpoint: bool = True, op: str = "sum") -> DataFrame:
+    """Inclusive running sum (``op="max"``: running maximum) of ``weight`` in
+    ``order_by`` order (within ``by`` groups).
 
     Local running sums are computed per range partition with pandas (Arrow
     batches); per-(partition, group) totals then give each run its offset.
@@ -81,18 +82,21 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
             if pdf.empty:
                 continue
             pid = (pdf["_mid"].to_numpy() >> 33).astype("int64")
-            w = pdf[weight].astype("float64").fillna(0.0).to_numpy()
+            fill = 0.0 if op == "sum" else -np.inf
+            w = pdf[weight].astype("float64").fillna(fill).to_numpy()
             if by:
                 g = pd.MultiIndex.from_frame(pdf[by]) if len(by) > 1 else pd.Index(pdf[by[0]])
-                loc = pd.Series(w).groupby(g.values if len(by) == 1 else list(map(tuple, g))).cumsum().to_numpy()
-                keys_ = list(g) if len(by) > 1 else list(g)
-                # continue sums of groups that straddle Arrow batches
-                add = np.array([carry.get(k, 0.0) for k in keys_])
-                loc = loc + add
+                grp = pd.Series(w).groupby(g.values if len(by) == 1 else list(map(tuple, g)))
+                loc = (grp.cumsum() if op == "sum" else grp.cummax()).to_numpy()
+                keys_ = list(g)
+                # continue groups that straddle Arrow batches
+                add = np.array([carry.get(k, fill) for k in keys_])
+                loc = loc + add if op == "sum" else np.maximum(loc, add)
                 for k, v in zip(keys_, loc):
                     carry[k] = v
             else:
-                loc = np.cumsum(w) + carry.get(None, 0.0)
+                loc = (np.cumsum(w) + carry.get(None, 0.0) if op == "sum"
+                       else np.maximum(np.maximum.accumulate(w), carry.get(None, -np.inf)))
                 carry[None] = loc[-1]
             pdf = pdf.assign(_pid=pid, _loc=loc)
             yield pdf
@@ -100,14 +104,18 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
     loc = s.mapInPandas(local, schema)
     if checkpoint:
         loc = loc.checkpoint()
-    summ = loc.groupBy("_pid", *by).agg(F.max("_loc").alias("_tot"))
+    # the run's last local value is its total (sum) or its maximum (max)
+    summ = loc.groupBy("_pid", *by).agg(F.max_by("_loc", "_mid").alias("_tot"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0.0))).drop("_tot")
+    carry_expr = F.sum("_tot").over(w) if op == "sum" else F.max("_tot").over(w)
+    summ = summ.withColumn("_off", carry_expr).drop("_tot")
     if checkpoint:
         summ = summ.checkpoint()
     n = summ.count()
     out = loc.join(_small(summ, n), ["_pid", *by], "inner")
-    return out.withColumn(name, F.col("_off") + F.col("_loc")).drop("_mid", "_pid", "_loc", "_off")
+    val = (F.coalesce(F.col("_off"), F.lit(0.0)) + F.col("_loc") if op == "sum"
+           else F.greatest(F.col("_off"), F.col("_loc")))
+    return out.withColumn(name, val).drop("_mid", "_pid", "_loc", "_off")
 
 
 def midrank(df: DataFrame, value: str, by=(), name: str = "rank") -> DataFrame:
