@@ -46,7 +46,6 @@ def classification_report(df: DataFrame, label: str, prediction: str, digits: in
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
     rows = j.select(F.col("cls").alias("class"), p.alias("precision"), r.alias("recall"), f1.alias("f1"),
                     F.col("support").cast("long").alias("support"), F.col("tp"))
-    rows = rows.checkpoint()  # one row per class
     tot = rows.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.avg("precision").alias("mp"),
                    F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
                    (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),

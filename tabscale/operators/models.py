@@ -137,15 +137,36 @@ def regression_models(n_rows: int):
     }
 
 
-def _prepare(df: DataFrame, features, label, task, model_name):
+def rbf_gamma(df: DataFrame, features) -> float:
+    """Kernel width like gamma='scale': 1 / (n_features * variance of all feature values)."""
+    p = len(features)
+    row = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
+                 *[F.avg(q(c).cast("double") * q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).collect()[0]
+    means = [row[f"m{i}"] or 0.0 for i in range(p)]
+    sq = [row[f"s{i}"] or 0.0 for i in range(p)]
+    var = sum(sq) / p - (sum(means) / p) ** 2
+    return 1.0 / (p * var) if var > 0 else 1.0
+
+
+def _prepare(df: DataFrame, features, label, task, model_name, gamma: float | None = None):
     cols = [q(c) for c in df.columns]
     feats = list(features)
     if model_name in ("SVM", "SVR"):
-        df = df.select(*cols, *rff_columns(features))
+        df = df.select(*cols, *rff_columns(features, gamma=gamma))
         feats = [f"_rff{i}" for i in range(RFF_DIM)]
     return df, feats
 
 
+def fit_cached(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Iterative estimators re-read their input every iteration: keep it persisted for the fit."""
+    from pyspark import StorageLevel
+    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(t)
+    finally:
+        t.unpersist()
+
+
 def build_pipeline(estimator, features, label: str, task: str) -> Pipeline:
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
     if task == "classification":
@@ -172,48 +193,54 @@ def lower_is_better(metric: str) -> bool:
 
 
 def score_predictions(pred: DataFrame, label: str, metric: str) -> float:
+    """Primary metric of a scored fold: exact AUC (no curve down-sampling), macro-F1, or RMSE."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
     if metric == "RMSE":
-        return M.regression_metrics(pred, label, "prediction", digits=12).collect()[0]["rmse"]
+        return RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse").evaluate(pred)
     if metric == "AUC-ROC":
-        s = pred.withColumn("_score", vector_to_array("rawPrediction")[1])
-        return M.roc_auc(s, "_label", "_score", positive=1.0, digits=12).collect()[0]["roc_auc"]
+        return BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="rawPrediction",
+                                             metricName="areaUnderROC", numBins=0).evaluate(pred)
     return M.macro_f1(pred, "_label", "prediction")
 
 
-def _fit_score(est, train, test, feats, label, task, metric):
-    model = build_pipeline(est, feats, label, task).fit(train)
-    return score_predictions(model.transform(test), label, metric)
+def _folds(df: DataFrame, label: str, task: str, order_by, is_ts: bool, k: int):
+    """Fold-assigned, checkpointed data and the k (train, test) pairs — computed once."""
+    data = df.filter(q(label).isNotNull())
+    if is_ts:
+        data, start, size = ts_split(data, order_by, k)
+        data = data.checkpoint()
+        splits = [(data.filter(F.col("idx") < start + i * size), data.filter(F.col("test_split") == i)) for i in range(k)]
+    else:
+        data = kfold_assign(data, order_by, label if task == "classification" else None, k).checkpoint()
+        splits = [(data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
+    return data, splits
+
+
+def _cv_fold(name, est, tr, te, features, label, task, metric):
+    g = rbf_gamma(tr, features) if name in ("SVM", "SVR") else None
+    tr2, feats = _prepare(tr, features, label, task, name, g)
+    te2, _ = _prepare(te, features, label, task, name, g)
+    model = fit_cached(build_pipeline(est, feats, label, task), tr2)
+    return score_predictions(model.transform(te2), label, metric)
 
 
 def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, is_ts: bool = False,
-                     k: int = CV_FOLDS, parallelism: int = 4, models: dict | None = None):
+                     k: int = CV_FOLDS, parallelism: int = 8, models: dict | None = None):
     """k-fold CV mean / std (ddof 0) of the primary metric per model; failed models are
     reported with their error and left out of the ranking; best first (RMSE ascending).
     Returns (leaderboard DataFrame, {name: model refit on all rows}, metric)."""
     spark = df.sparkSession
-    data = df.filter(q(label).isNotNull())
+    data, splits = _folds(df, label, task, order_by, is_ts, k)
     n = data.count()
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     metric = primary_metric(task, n_classes)
-    if is_ts:
-        data, start, size = ts_split(data, order_by, k)
-        splits = [(data.filter(F.col("idx") < start + i * size), data.filter(F.col("test_split") == i)) for i in range(k)]
-    else:
-        data = kfold_assign(data, order_by, label if task == "classification" else None, k)
-        splits = [(data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
-    data = data.checkpoint()
     models = models or (classification_models(n, n_classes) if task == "classification" else regression_models(n))
-    jobs = []
-    for name, est in models.items():
-        for i, (tr, te) in enumerate(splits):
-            jobs.append((name, i, est, tr, te))
+    jobs = [(name, i, est, tr, te) for name, est in models.items() for i, (tr, te) in enumerate(splits)]
 
     def run(job):
         name, i, est, tr, te = job
         try:
-            tr2, feats = _prepare(tr, features, label, task, name)
-            te2, _ = _prepare(te, features, label, task, name)
-            return name, i, _fit_score(est, tr2, te2, feats, label, task, metric), None
+            return name, i, _cv_fold(name, est, tr, te, features, label, task, metric), None
         except Exception as e:  # noqa: BLE001 - a failing model is reported, not fatal
             return name, i, None, str(e)[:200]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -226,8 +253,9 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
             rows.append((name, metric, None, None, err))
             continue
         rows.append((name, metric, round(float(np.mean(sc)), 4), round(float(np.std(sc)), 4), None))
-        full, feats = _prepare(data, features, label, task, name)
-        fitted[name] = build_pipeline(est, feats, label, task).fit(full)
+        g = rbf_gamma(data, features) if name in ("SVM", "SVR") else None
+        full, feats = _prepare(data, features, label, task, name, g)
+        fitted[name] = fit_cached(build_pipeline(est, feats, label, task), full)
     lb = spark.createDataFrame(rows, "model string, metric string, score double, std double, error string")
     lb = lb.filter(F.col("score").isNotNull()).orderBy(F.col("score").asc() if lower_is_better(metric)
                                                        else F.col("score").desc(), "model")
@@ -255,11 +283,13 @@ def search_space(model_name: str, rng: np.random.RandomState, n_rows: int) -> di
 
 
 def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name: str, order_by,
-                      n_trials: int = N_TRIALS, is_ts: bool = False, seed: int = SEED, parallelism: int = 4):
-    """Seeded random search: n_trials candidates, each scored by k-fold CV (trials run as
-    concurrent Spark jobs). Returns (trials DataFrame, best params, baseline, best score, refit model)."""
+                      n_trials: int = N_TRIALS, is_ts: bool = False, seed: int = SEED, parallelism: int = 8,
+                      k: int = CV_FOLDS):
+    """Seeded random search: n_trials candidates, each scored by k-fold CV on folds computed
+    once; trials run as concurrent Spark jobs. Returns (trials DataFrame, best params,
+    baseline score, best score, model refit on all rows)."""
     spark = df.sparkSession
-    data = df.filter(q(label).isNotNull())
+    data, splits = _folds(df, label, task, order_by, is_ts, k)
     n = data.count()
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     metric = primary_metric(task, n_classes)
@@ -268,21 +298,23 @@ def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name
     cands = [search_space(model_name, rng, n) for _ in range(n_trials)]
 
     def cv(params):
-        est = base.copy({base.getParam(k): v for k, v in params.items()} if params else {})
-        lb, _, _ = benchmark_models(data, features, label, task, order_by, is_ts, models={model_name: est}, parallelism=1)
-        r = lb.collect()
-        return r[0]["score"] if r else None
-    baseline = cv({})
+        est = base.copy({base.getParam(k_): v for k_, v in params.items()} if params else {})
+        try:
+            return float(np.mean([_cv_fold(model_name, est, tr, te, features, label, task, metric) for tr, te in splits]))
+        except Exception:  # noqa: BLE001 - a failing trial scores None
+            return None
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(cv, cands))
+        scores = list(pool.map(cv, [{}] + cands))
+    baseline, scores = scores[0], scores[1:]
     rows = [(i, json.dumps(p, sort_keys=True), s) for i, (p, s) in enumerate(zip(cands, scores))]
     trials = spark.createDataFrame(rows, "trial int, params string, score double")
     ok = [(s, i) for i, s in enumerate(scores) if s is not None]
     best_s, best_i = (min(ok) if lower_is_better(metric) else max(ok)) if ok else (None, None)
     best_p = cands[best_i] if best_i is not None else {}
-    est = base.copy({base.getParam(k): v for k, v in best_p.items()})
-    full, feats = _prepare(data, features, label, task, model_name)
-    model = build_pipeline(est, feats, label, task).fit(full)
+    est = base.copy({base.getParam(k_): v for k_, v in best_p.items()})
+    g = rbf_gamma(data, features) if model_name in ("SVM", "SVR") else None
+    full, feats = _prepare(data, features, label, task, model_name, g)
+    model = fit_cached(build_pipeline(est, feats, label, task), full)
     return trials, best_p, baseline, best_s, model
 
 
@@ -318,9 +350,10 @@ def evaluate_model(df: DataFrame, features, label: str, task: str, order_by, mod
     train, test = split.filter("is_train"), split.filter(~F.col("is_train"))
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     est = (classification_models(n, n_classes) if task == "classification" else regression_models(n))[model_name]
-    tr2, feats = _prepare(train, features, label, task, model_name)
-    te2, _ = _prepare(test, features, label, task, model_name)
-    model = build_pipeline(est, feats, label, task).fit(tr2)
+    g = rbf_gamma(train, features) if model_name in ("SVM", "SVR") else None
+    tr2, feats = _prepare(train, features, label, task, model_name, g)
+    te2, _ = _prepare(test, features, label, task, model_name, g)
+    model = fit_cached(build_pipeline(est, feats, label, task), tr2)
     pred = model.transform(te2)
     out = {}
     if task == "classification":
