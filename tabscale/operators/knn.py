@@ -54,9 +54,11 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
                   *[F.min(q(c)).alias(f"_mn_{c}") for c in feats],
                   *[F.max(q(c)).alias(f"_mx_{c}") for c in feats],
                   *[F.avg(q(c)).alias(f"_avg_{c}") for c in targets]).collect()[0]
+    rng_ = {c: (nn[f"_mx_{c}"] - nn[f"_mn_{c}"]) if nn[f"_mx_{c}"] is not None else 0.0 for c in feats}
     if grid is None:
-        grid = [c for c in feats if nn[c] == 0][:2]
-    span = max([(nn[f"_mx_{c}"] - nn[f"_mn_{c}"]) for c in grid] + [1.0]) if grid else 1.0
+        # widest null-free coordinates: they give the tightest lower bound on the distance
+        grid = sorted([c for c in feats if nn[c] == 0 and rng_[c] > 0], key=lambda c: -rng_[c])[:2]
+    span = max([rng_[c] for c in grid] + [1.0]) if grid else 1.0
     filled = {}
     for t in targets:
         rec = base.filter(q(t).isNull())
@@ -67,8 +69,8 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
         if n_don == 0:
             filled[t] = rec.select("_id", F.lit(nn[f"_avg_{t}"]).alias(t))
             continue
-        # radius so that a cell holds ~ 4k donors on average
-        radius = start_radius or (span * (4.0 * k / n_don) ** (1.0 / max(len(grid), 1)) if grid else span)
+        # radius so that a cell of the widest coordinate holds ~ 4k donors on average
+        radius = start_radius or (span * 4.0 * k / n_don if grid else span)
         results = []
         todo = rec.select("_id", *feats).checkpoint()
         while True:
@@ -106,7 +108,14 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
             todo = todo.join(ok.select(F.col("_rid").alias("_id")), "_id", "left_anti").checkpoint()
             if todo.limit(1).count() == 0:
                 break
-            radius *= 4.0
+            # the k-th candidate distance bounds the true k-th distance from above, so a
+            # radius covering the largest unresolved one finishes them in the next round
+            kd = agg.join(todo.select(F.col("_id").alias("_rid")), "_rid", "left_semi").agg(
+                F.max("_kd"), F.min("_n")).collect()[0]
+            nxt = radius * 4.0
+            if kd[0] is not None and kd[1] is not None and kd[1] >= min(k, n_don):
+                nxt = max(radius * 1.01, min(float(kd[0]), nxt * 16))
+            radius = nxt
         out = results[0]
         for r_ in results[1:]:
             out = out.unionByName(r_)
