@@ -130,11 +130,24 @@ def q_estimate_freq(spark, d):
     return spark.createDataFrame(rows, "series string, median_gap_s double, freq string")
 
 
-@register("ts_summary", X.with_ctes(
-    """SELECT 'events' AS dataset, TRUE AS is_ts, 'ts' AS datetime_col, 'T' AS freq,
-          (SELECT CAST(count(ts) AS BIGINT) FROM events) AS n_periods
-    UNION ALL SELECT 'events_hourly', TRUE, 'hour', 'h', (SELECT CAST(count(hour) AS BIGINT) FROM fx_ts_regular)
-    UNION ALL SELECT 'orders', FALSE, 'o_orderdate', NULL, CAST(0 AS BIGINT)""", X.SQL_FX_TS_REGULAR))
+def _summary_sql(name, t, order, src, regular_alias):
+    mono = f"""(SELECT (COALESCE(bool_and(p IS NULL OR x >= p), TRUE) OR COALESCE(bool_and(p IS NULL OR x <= p), TRUE))
+                     AND count(x) = count(*) FROM (SELECT {t} AS x, lag({t}) OVER (ORDER BY {order}) AS p FROM {src}))"""
+    gaps = f"(SELECT epoch_us({t}) - epoch_us(lag({t}) OVER (ORDER BY {t})) AS g FROM {src} WHERE {t} IS NOT NULL)"
+    regular = (f"(SELECT CASE WHEN count(g) >= 2 AND min(g) = max(g) AND min(g) = 3600000000 THEN '{regular_alias}' END "
+               f"FROM {gaps})")
+    med = f"(SELECT quantile_cont(g / 1e6, 0.5) FROM {gaps} WHERE g IS NOT NULL)"
+    bucket = (f"CASE WHEN {med} < 3600 THEN 'T' WHEN {med} < 86400 THEN 'H' WHEN {med} < 345600 THEN 'D' "
+              f"WHEN {med} < 864000 THEN 'W' WHEN {med} < 3024000 THEN 'M' WHEN {med} < 8640000 THEN 'Q' ELSE 'A' END")
+    return f"""SELECT '{name}' AS dataset, {mono} AS is_ts, '{t}' AS datetime_col,
+       CASE WHEN {mono} THEN COALESCE({regular}, {bucket}) END AS freq,
+       CASE WHEN {mono} THEN (SELECT CAST(count({t}) AS BIGINT) FROM {src}) ELSE CAST(0 AS BIGINT) END AS n_periods"""
+
+
+@register("ts_summary", X.with_ctes(union_all([
+    _summary_sql("events", "ts", "event_id", "events", "h"),
+    _summary_sql("events_hourly", "hour", "hour", "fx_ts_regular", "h"),
+    _summary_sql("orders", "o_orderdate", "o_orderkey", "orders", "h")]), X.SQL_FX_TS_REGULAR))
 def q_ts_summary(spark, d):
     rows = []
     for name, df, order in (("events", X.table(spark, d, "events"), ["event_id"]),
