@@ -1,0 +1,2 @@
+"""Structured Streaming variant of the column profile (null counts and moments)
+kept up to date while new Parquet files land in a folder."""

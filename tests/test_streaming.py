@@ -1,0 +1,26 @@
+"""The streaming profile equals the batch statistics once all files are consumed."""
+
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabscale.streaming.profile_stream import start_profile_stream
+
+from .conftest import SF_SMALL
+
+
+def test_stream_profile_matches_batch(spark):
+    base = tempfile.mkdtemp(prefix="tabscale-stream-")
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.repartition(4).write.parquet(f"{base}/src")  # several files arrive as one stream
+    qy = start_profile_stream(spark, f"{base}/src", events.schema, f"{base}/snap", f"{base}/ckpt",
+                              available_now=True, max_files=1)
+    qy.awaitTermination(300)
+    got = {r["column"]: r for r in spark.read.parquet(f"{base}/snap").collect()}
+    exp = events.agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev("value").alias("s"),
+                     F.min("value").alias("lo"), F.max("value").alias("hi")).collect()[0]
+    v = got["value"]
+    assert v["n"] == exp["n"] and v["n_null"] == 0
+    assert v["mean"] == pytest.approx(exp["m"]) and v["std"] == pytest.approx(exp["s"])
+    assert (v["min"], v["max"]) == (exp["lo"], exp["hi"])
