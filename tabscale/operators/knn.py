@@ -58,6 +58,8 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
     if grid is None:
         # widest null-free coordinates: they give the tightest lower bound on the distance
         grid = sorted([c for c in feats if nn[c] == 0 and rng_[c] > 0], key=lambda c: -rng_[c])[:2]
+    if not grid:
+        raise ValueError("KNN imputation needs one numeric column without nulls (e.g. a numeric id)")
     span = max([rng_[c] for c in grid] + [1.0]) if grid else 1.0
     filled = {}
     for t in targets:
@@ -70,26 +72,20 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
             filled[t] = rec.select("_id", F.lit(nn[f"_avg_{t}"]).alias(t))
             continue
         # radius so that a cell of the widest coordinate holds ~ 4k donors on average
-        radius = start_radius or (span * 4.0 * k / n_don if grid else span)
+        radius = start_radius or span * 4.0 * k / n_don
         results = []
         todo = rec.select("_id", *feats).checkpoint()
         while True:
-            last = (not grid) or radius >= span
-            r = todo.alias("r")
-            if last:
-                cand = r.join(don.alias("d"), how="inner" if grid else "cross") if grid else r.crossJoin(don.alias("d"))
-                if grid:
-                    cand = todo.alias("r").crossJoin(don.alias("d"))
-            else:
-                rc = [F.floor(F.col(g) / radius).alias(f"_c{i}") for i, g in enumerate(grid)]
-                rr = todo.select("*", *rc).alias("r")
-                offs = F.array(*[F.lit(o) for o in (-1, 0, 1)])
-                dd = don.select("*", *[F.floor(F.col(g) / radius).alias(f"_b{i}") for i, g in enumerate(grid)])
-                for i, _ in enumerate(grid):
-                    dd = dd.withColumn(f"_c{i}", F.explode(F.transform(offs, _shift(f"_b{i}"))))
-                dd = dd.alias("d")
-                cond = [F.col(f"r._c{i}") == F.col(f"d._c{i}") for i in range(len(grid))]
-                cand = rr.join(dd, cond, "inner")
+            last = radius >= span
+            rc = [F.floor(F.col(g) / radius).alias(f"_c{i}") for i, g in enumerate(grid)]
+            rr = todo.select("*", *rc).alias("r")
+            offs = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+            dd = don.select("*", *[F.floor(F.col(g) / radius).alias(f"_b{i}") for i, g in enumerate(grid)])
+            for i, _ in enumerate(grid):
+                dd = dd.withColumn(f"_c{i}", F.explode(F.transform(offs, _shift(f"_b{i}"))))
+            dd = dd.alias("d")
+            cond = [F.col(f"r._c{i}") == F.col(f"d._c{i}") for i in range(len(grid))]
+            cand = rr.join(dd, cond, "inner")
             cand = cand.select(F.col("r._id").alias("_rid"), F.col("d._id").alias("_did"),
                                F.col(f"d.{t}").alias("_v"), _dist(feats, "r", "d").alias("_dist"))
             cand = cand.filter(F.col("_dist").isNotNull())

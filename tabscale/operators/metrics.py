@@ -25,9 +25,14 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(actual, predicted, count) over the union of observed classes, zero cells included."""
     x = df.select(q(label).cast("string").alias("actual"), q(prediction).cast("string").alias("predicted"))
     cnt = x.groupBy("actual", "predicted").agg(F.count(F.lit(1)).cast("long").alias("count"))
-    classes = x.select(F.col("actual").alias("c")).union(x.select(F.col("predicted").alias("c"))).distinct()
-    grid = classes.withColumnRenamed("c", "actual").crossJoin(F.broadcast(classes.withColumnRenamed("c", "predicted")))
-    # classes x classes cells: tiny (a class list), never rows x rows
+    classes = sorted(r["c"] for r in x.select(F.col("actual").alias("c")).union(
+        x.select(F.col("predicted").alias("c"))).distinct().filter(F.col("c").isNotNull()).limit(100_001).collect())
+    if len(classes) > 100_000:
+        raise ValueError("more than 100000 classes")
+    lits = F.array(*[F.lit(c) for c in classes])
+    # the k x k cells are generated from the class list, not by joining rows
+    grid = (x.sparkSession.range(1).select(F.explode(lits).alias("actual"))
+            .select("actual", F.explode(lits).alias("predicted")))
     return grid.join(cnt, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 

@@ -238,16 +238,26 @@ def sample_per_group(df: DataFrame, n: int, by=(), id_col: str = "id", seed: int
         F.lit(-9.223372036854775808e18) + frac * F.lit(1.8446744073709552e19))
     sizes = sizes.withColumn("_thr", thr).checkpoint()
     ng = sizes.count()
-    cand = x.join(_small(sizes, ng), by, "inner") if by else x.crossJoin(F.broadcast(sizes))
+    if by:
+        cand = x.join(_small(sizes, ng), by, "inner")
+    else:
+        one = sizes.collect()[0]
+        cand = x.withColumn("_size", F.lit(one["_size"])).withColumn("_thr", F.lit(one["_thr"]).cast("double"))
     cand = cand.filter(F.col("_thr").isNull() | (F.col(name).cast("double") < F.col("_thr")))
     w = Window.partitionBy(*by).orderBy(name, id_col)
     picked = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     picked = picked.checkpoint()
     got = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("_got"))
-    short = sizes.join(got, by, "left") if by else sizes.crossJoin(got)
-    short = short.filter(F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_size"), F.lit(n)))
-    if short.limit(1).count() > 0:
-        redo_keys = short.select(*by)
+    if by:
+        short = sizes.join(got, by, "left").filter(
+            F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_size"), F.lit(n)))
+        redo_needed = short.limit(1).count() > 0
+    else:
+        g = got.collect()
+        redo_needed = (g[0]["_got"] if g else 0) < min(one["_size"], n)
+        short = None
+    if redo_needed:
+        redo_keys = short.select(*by) if by else None
         redo = x.join(redo_keys, by, "left_semi") if by else x
         w2 = Window.partitionBy(*by).orderBy(name, id_col)
         redo = redo.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n)

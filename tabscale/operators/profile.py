@@ -206,7 +206,11 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by=(), digits: int = 6) -
     t = df.filter(x.isNotNull())
     mm = t.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     # one row per group; a proven-small side is broadcast, else joined by shuffle
-    j = t.join(maybe_broadcast(mm.checkpoint()), by, "inner") if by else t.crossJoin(F.broadcast(mm))
+    if by:
+        j = t.join(maybe_broadcast(mm.checkpoint()), by, "inner")
+    else:
+        r = mm.collect()[0]
+        j = t.withColumn("_lo", F.lit(r["_lo"]).cast("double")).withColumn("_hi", F.lit(r["_hi"]).cast("double"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width > 0, F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     g = j.groupBy(*by, b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).cast("long").alias("count"))
@@ -242,8 +246,11 @@ def box_stats(df: DataFrame, value: str, by=(), factor: float = 1.5, digits: int
     lo = F.col("q1") - factor * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + factor * (F.col("q3") - F.col("q1"))
     x = q(value).cast("double")
-    j = df.filter(x.isNotNull()).join(maybe_broadcast(wide.checkpoint()), by, "inner") if by else \
-        df.filter(x.isNotNull()).crossJoin(F.broadcast(wide))
+    if by:
+        j = df.filter(x.isNotNull()).join(maybe_broadcast(wide.checkpoint()), by, "inner")
+    else:
+        r = wide.collect()[0]
+        j = df.filter(x.isNotNull()).select("*", *[F.lit(r[c]).cast("double").alias(c) for c in ("q1", "median", "q3")])
     g = j.groupBy(*by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.min(F.when(x >= lo, x)).alias("whisker_lo"), F.max(F.when(x <= hi, x)).alias("whisker_hi"),
