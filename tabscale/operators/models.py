@@ -23,7 +23,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
+from ..functions.columns import maybe_broadcast, q
 from . import metrics as M
 from .order import row_index
 
@@ -94,7 +94,7 @@ def train_test_split(df: DataFrame, order_by, test_size: float = 0.2, label: str
     by = [label] if label else []
     x = row_index(x, ["_h", key], by=by, name="_i")
     sizes = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    x = x.join(F.broadcast(sizes), by) if by else x.withColumn("_n", F.lit(sizes.collect()[0]["_n"]))
+    x = x.join(maybe_broadcast(sizes.checkpoint()), by) if by else x.withColumn("_n", F.lit(sizes.collect()[0]["_n"]))
     return x.withColumn("is_train", F.col("_i") >= F.ceil(F.col("_n") * test_size)).drop("_i", "_h", "_n")
 
 

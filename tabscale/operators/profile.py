@@ -157,7 +157,9 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     """(value, count, share) for non-null target values, most frequent first."""
     t = df.filter(q(target).isNotNull())
     g = t.groupBy(q(target).cast("string").alias("value")).agg(F.count(F.lit(1)).cast("long").alias("count"))
-    return g.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), 6)) \
+    # the total is one scalar job; a window without partitionBy would pull every class into one task
+    n = t.count()
+    return g.withColumn("share", F.round(F.try_divide(F.col("count"), F.lit(n)), 6)) \
         .orderBy(F.desc("count"), "value")
 
 

@@ -199,3 +199,24 @@ def test_knn_matches_brute_force(spark):
             d.append((math.sqrt(len(feats) / both.sum() * ((M_[i, both] - M_[j, both]) ** 2).sum()), j))
         d.sort()
         assert got[i] == pytest.approx(np.mean([y[j] for _, j in d[:5]]))
+
+
+def test_label_codes_distributed_equals_literal_map(spark):
+    from tabscale.operators import features as FE
+    vals = ["b", None, "a", "c", "a", "b", None, "z"] * 5
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, c string")
+    lit = {r["id"]: r["c"] for r in FE.label_encode(df, "c").collect()}
+    codes = FE.fit_label_codes(df, "c")
+    assert sorted((r["_le_v"], r["_le_code"]) for r in codes.collect()) == [
+        ("a", 0), ("b", 1), ("c", 2), ("nan", 3), ("z", 4)]
+    dist = {r["id"]: r["c"] for r in FE.label_encode(df, "c", codes).collect()}
+    assert lit == dist
+    # the fallback kicks in above the literal bound
+    assert isinstance(FE.fit_label_categories(df, "c", max_literal=3), type(codes))
+
+
+def test_class_balance_shares_sum_to_one(spark):
+    df = spark.createDataFrame([(i, "x" if i % 3 else "y") for i in range(30)] + [(99, None)], "id long, t string")
+    rows = P.class_balance(df, "t").collect()
+    assert [(r["value"], r["count"]) for r in rows] == [("x", 20), ("y", 10)]
+    assert sum(r["share"] for r in rows) == pytest.approx(1.0)
