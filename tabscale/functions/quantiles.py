@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from .columns import q
 
+# distinct bracket values one window task may sort; larger brackets use the
+# distributed prefix sum
+WINDOW_MAX_BRACKET = 2_000_000
+
 
 def _pairs(cols, probs):
     return [(i, c, j, p) for i, c in enumerate(cols) for j, p in enumerate(probs)]
@@ -74,7 +78,9 @@ def _exact_pass(df, cols, probs, by, accuracy, margin):
         # one row per group; written out so a lost executor cannot recompute a
         # different (order-dependent) sketch halfway through the second scan
         bounds = bounds.checkpoint()
-        n_groups = bounds.count()
+        st = bounds.agg(F.count(F.lit(1)).alias("g"),
+                        F.greatest(*[F.max(f"_n{i}") for i in range(len(cols))], F.lit(0)).alias("m")).collect()[0]
+        n_groups, max_n = int(st["g"]), int(st["m"] or 0)
         # ~ (2*#pairs doubles + keys) per group; broadcast only while provably small
         est = n_groups * (16 * len(pairs) + 64)
         b = F.broadcast(bounds) if est <= 64 << 20 else bounds
@@ -94,6 +100,7 @@ def _exact_pass(df, cols, probs, by, accuracy, margin):
             lo[(i, j)], hi[(i, j)] = lit_or_none(bl), lit_or_none(bh)
         for i in range(len(cols)):
             n[i] = F.lit(int(row[f"_n{i}"])).cast("long")
+        max_n = max(int(row[f"_n{i}"]) for i in range(len(cols)))
         src = df
 
     items = []
@@ -105,9 +112,16 @@ def _exact_pass(df, cols, probs, by, accuracy, margin):
     exploded = src.select(*by, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("_s"))
     counted = (exploded.select(*by, "_s._k", "_s._n", "_s._v")
                .groupBy(*by, "_k", "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*by, "_k").orderBy(F.col("_v").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    cum = counted.withColumn("_cum", F.sum("_c").over(w))
+    # a bracket spans ~ (2 margin + 2) n / accuracy ranks; while that is small, one
+    # window task per (group, column, prob) sorts it; beyond, the running count
+    # is a distributed prefix sum over range partitions of (group, prob, value)
+    if max_n * (2.0 * margin + 2.0) / accuracy <= WINDOW_MAX_BRACKET:
+        w = (Window.partitionBy(*by, "_k").orderBy(F.col("_v").asc_nulls_first())
+             .rowsBetween(Window.unboundedPreceding, 0))
+        cum = counted.withColumn("_cum", F.sum("_c").over(w))
+    else:
+        from ..operators.order import prefix_sum
+        cum = prefix_sum(counted, [F.col("_v").asc_nulls_first()], "_c", by=[*by, "_k"], name="_cum")
     kp = F.element_at(F.array(*[F.lit(p) for _, _, _, p in pairs]), F.col("_k") + 1)
     pos = kp * (F.col("_n") - 1)
     r_lo = F.floor(pos)

@@ -85,10 +85,9 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
             fill = 0.0 if op == "sum" else -np.inf
             w = pdf[weight].astype("float64").fillna(fill).to_numpy()
             if by:
-                g = pd.MultiIndex.from_frame(pdf[by]) if len(by) > 1 else pd.Index(pdf[by[0]])
-                grp = pd.Series(w).groupby(g.values if len(by) == 1 else list(map(tuple, g)))
+                grp = pd.Series(w, index=pdf.index).groupby([pdf[c] for c in by], sort=False, dropna=False)
                 loc = (grp.cumsum() if op == "sum" else grp.cummax()).to_numpy()
-                keys_ = list(g)
+                keys_ = (list(zip(*[pdf[c].tolist() for c in by])) if len(by) > 1 else pdf[by[0]].tolist())
                 # continue groups that straddle Arrow batches
                 add = np.array([carry.get(k, fill) for k in keys_])
                 loc = loc + add if op == "sum" else np.maximum(loc, add)

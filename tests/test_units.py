@@ -220,3 +220,22 @@ def test_class_balance_shares_sum_to_one(spark):
     rows = P.class_balance(df, "t").collect()
     assert [(r["value"], r["count"]) for r in rows] == [("x", 20), ("y", 10)]
     assert sum(r["share"] for r in rows) == pytest.approx(1.0)
+
+
+def test_exact_quantiles_distributed_bracket_path(spark, monkeypatch):
+    from tabscale.functions import quantiles as Q
+    monkeypatch.setattr(Q, "WINDOW_MAX_BRACKET", 0)  # force the prefix-sum path
+    rng = np.random.RandomState(3)
+    vals = np.concatenate([rng.normal(size=700), rng.randint(0, 5, 300).astype(float), [np.nan] * 20])
+    df = spark.createDataFrame(pd.DataFrame({"x": vals, "g": np.arange(len(vals)) % 2}))
+    df = df.withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = quantile_dict(df, ["x"], probs, accuracy=100)
+    clean = vals[~np.isnan(vals)]
+    for p in probs:
+        assert got[("x", p)] == pytest.approx(np.quantile(clean, p))
+    grouped = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"]).collect()}
+    for g in range(2):
+        sub = vals[(np.arange(len(vals)) % 2 == g)]
+        for p in (0.25, 0.5):
+            assert grouped[(g, p)] == pytest.approx(np.quantile(sub[~np.isnan(sub)], p))
