@@ -53,7 +53,7 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = 10000,
         margin = min(margin * 16, float(accuracy))
 
 
-def _exact_pass(df, cols, probs, by, accuracy, margin):
+def _exact_pass(df, cols, probs, by, accuracy, margin, extra=(), local=False):
     pairs = _pairs(cols, probs)
     lo_p = [max(0.0, p - margin / accuracy) for p in probs]
     hi_p = [min(1.0, p + margin / accuracy) for p in probs]
@@ -65,7 +65,7 @@ def _exact_pass(df, cols, probs, by, accuracy, margin):
         if not full:
             aggs.append(F.percentile_approx(x, F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy)
                         .alias(f"_b{i}"))
-    bounds = df.groupBy(*by).agg(*aggs)
+    bounds = df.groupBy(*by).agg(*aggs, *extra)
     nprob = len(probs)
 
     def lo_b(i, j):
@@ -148,15 +148,28 @@ def _exact_pass(df, cols, probs, by, accuracy, margin):
     spark = df.sparkSession
     data = [(r["column"], float(r["prob"]), r["value"]) for r in rows]
     data += [(c, p, None) for _, c, _, p in pairs if (c, p) not in got]
+    if local:
+        return ({(c, p): v for c, p, v in data}, row), ok
     res_df = spark.createDataFrame(data, "column string, prob double, value double")
     return res_df, ok
 
 
-def quantile_dict(df: DataFrame, cols, probs, **kw) -> dict:
-    """Global quantiles as {(column, prob): value} (a few numbers on the driver)."""
-    if not list(cols):
-        return {}
-    return {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, probs, **kw).collect()}
+def quantile_dict(df: DataFrame, cols, probs, accuracy: int = 10000, margin: float = 3.0,
+                  extra=()):
+    """Global quantiles as {(column, prob): value} (a few numbers on the driver).
+
+    ``extra``: more aggregate expressions evaluated in the same first scan; when
+    given, returns ``(quantiles, row)`` with the row holding their values.
+    """
+    cols, probs = list(cols), [float(p) for p in probs]
+    if not cols:
+        res = ({}, df.agg(*extra).collect()[0] if extra else None)
+        return res if extra else {}
+    while True:
+        res, ok = _exact_pass(df, cols, probs, [], accuracy, margin, extra=list(extra), local=True)
+        if ok or margin >= accuracy:
+            return res if extra else res[0]
+        margin = min(margin * 16, float(accuracy))
 
 
 def is_finite(v) -> bool:

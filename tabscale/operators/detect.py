@@ -196,7 +196,11 @@ def infer_freq(df: DataFrame, ts: str):
                F.min(F.month("_t")).alias("m0"), F.count_distinct(F.month("_t")).alias("nm")).collect()[0]
     if st["n"] is None or st["n"] < 2:
         return None
-    mn, mx = st["mn"], st["mx"]
+    return _freq_alias(st["mn"], st["mx"], st["ms"], st["me"])
+
+
+def _freq_alias(mn, mx, ms, me):
+    """Alias from the smallest / largest gap (seconds) and the month-start / month-end flags."""
     if mn == mx and mn > 0:
         sec = int(round(mn))
         for unit, name in ((604800, "W"), (86400, "D"), (3600, "h"), (60, "min"), (1, "s")):
@@ -205,8 +209,8 @@ def infer_freq(df: DataFrame, ts: str):
                 return name if k == 1 else f"{k}{name}"
     # calendar frequencies: gaps of 28-31 days (month), 89-92 (quarter), 365-366 (year)
     days_lo, days_hi = mn / 86400.0, mx / 86400.0
-    if st["ms"] or st["me"]:
-        suffix = "S" if st["ms"] else "E"
+    if ms or me:
+        suffix = "S" if ms else "E"
         if 28 <= days_lo and days_hi <= 31:
             return "M" + suffix
         if 89 <= days_lo and days_hi <= 92:
@@ -253,16 +257,39 @@ def ts_summary(df: DataFrame, order_by) -> TsInfo:
     col, _ = detect_datetime_col(df)
     if col is None:
         return TsInfo(False, None, None, 0, "No datetime column detected.")
-    mono = monotonic(df, col, order_by)
-    if not mono["is_ts"]:
+    # One ordered pass answers all three questions: a monotone series (no nulls)
+    # has its sorted-time gaps equal to the row-order differences (negated when
+    # decreasing), so the series is sorted once, not once per question.
+    dtc = parse_datetime(q(col)) if isinstance(df.schema[col].dataType, T.StringType) else q(col)
+    okeys = [k for k in order_by if isinstance(k, str)]
+    x = df.select(*[q(k) for k in okeys], dtc.alias("_t"))
+    s = sequential(x, order_by, {"_prev": lambda w: F.lag("_t", 1).over(w)}, halo=1)
+    d = (F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))) \
+        .cast("double") / 1e6
+    s = s.select("_t", d.alias("_d")).checkpoint()
+    t = F.col("_t")
+    st = s.agg(
+        F.coalesce(F.bool_and(F.col("_d").isNull() | (F.col("_d") >= 0)), F.lit(True)).alias("inc"),
+        F.coalesce(F.bool_and(F.col("_d").isNull() | (F.col("_d") <= 0)), F.lit(True)).alias("dec"),
+        F.count(F.lit(1)).alias("n"), F.count("_t").alias("nn"),
+        F.count("_d").alias("ng"), F.min("_d").alias("dmin"), F.max("_d").alias("dmax"),
+        F.bool_and((F.dayofmonth(t) == 1) & (F.date_trunc("day", t) == t)).alias("ms"),
+        F.bool_and((t == F.date_trunc("day", t)) & (F.dayofmonth(F.date_add(t.cast("date"), 1)) == 1)).alias("me"),
+    ).collect()[0]
+    has_null = st["nn"] < st["n"]
+    inc, dec = bool(st["inc"]) and not has_null, bool(st["dec"]) and not has_null
+    if not (inc or dec):
         return TsInfo(False, col, None, 0, f"`{col}` is datetime but not monotonic — may not be a time series.")
-    x = df.select(parse_datetime(q(col)).alias("_t")) if isinstance(df.schema[col].dataType, T.StringType) \
-        else df.select(q(col).alias("_t"))
-    n = x.filter(F.col("_t").isNotNull()).count()
-    freq = infer_freq(x, "_t") if n >= 3 else None
-    if freq is None:
-        freq, _ = estimate_freq(x, "_t")
-    return TsInfo(True, col, freq, int(n),
+    n = int(st["nn"])
+    sign = 1.0 if inc else -1.0
+    freq = None
+    if n >= 3 and st["ng"] >= 2:
+        lo, hi = (st["dmin"], st["dmax"]) if inc else (-st["dmax"], -st["dmin"])
+        freq = _freq_alias(lo, hi, st["ms"], st["me"])
+    if freq is None and st["ng"] >= 1:
+        med = quantile_dict(s.select((F.col("_d") * sign).alias("gap")), ["gap"], [0.5]).get(("gap", 0.5))
+        freq = next((name for limit, name in FREQ_BUCKETS if med < limit), "A") if med is not None else None
+    return TsInfo(True, col, freq, n,
                   f"Time series detected via `{col}`. Frequency: {freq or 'unknown'}, {n} periods.")
 
 

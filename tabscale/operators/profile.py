@@ -28,7 +28,7 @@ def describe_numeric(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 %, max, skew G1, kurtosis G2 per numeric column."""
     cols = numeric_columns(df) if cols is None else list(cols)
     spark = df.sparkSession
-    parts = []
+    parts, qd = [], {}
     for ch in chunks(cols, 12):
         aggs = []
         for i, c in enumerate(ch):
@@ -36,8 +36,10 @@ def describe_numeric(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), skew_g1(x).alias(f"g{i}"),
                      kurt_g2(x).alias(f"k{i}")]
-        parts.append((ch, df.agg(*aggs).collect()[0]))
-    qd = quantile_dict(df, cols, [0.25, 0.5, 0.75])
+        # moments ride along in the quantiles' first scan
+        qch, row = quantile_dict(df, ch, [0.25, 0.5, 0.75], extra=aggs)
+        qd.update(qch)
+        parts.append((ch, row))
     rows = []
 
     def r(v):
