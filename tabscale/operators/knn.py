@@ -5,21 +5,27 @@ up to two always-present coordinates. A donor outside the 3x3 neighbourhood
 of cell size R differs by more than R in a shared coordinate, and the
 nan-Euclidean distance sqrt(p/m * sum of squares over the m shared
 coordinates) is at least that difference, so a recipient whose k-th
-candidate distance is <= R has its exact answer. Unresolved recipients are
-retried with R x 4; the last round (R spanning the data) is exhaustive for
-the few that remain. Distance ties go to the smaller donor id.
+candidate distance is <= R has its exact answer. Every recipient carries its
+own grid level (cell = r0 * 2^level): an unresolved one moves to the level
+whose cell covers its own k-th candidate distance (an upper bound on the
+true one), so it is resolved in the next round without widening the search
+of the others; with too few candidates it moves up two levels. The top
+level (cell spanning the data) is exhaustive. Distance ties go to the
+smaller donor id.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
 
 
-def _shift(name):
-    return lambda o: F.col(name) + o
+def _shift_expr(base):
+    return lambda o: base + o
 
 
 def _dist(cols, r, d):
@@ -71,47 +77,59 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
         if n_don == 0:
             filled[t] = rec.select("_id", F.lit(nn[f"_avg_{t}"]).alias(t))
             continue
-        # radius so that a cell of the widest coordinate holds ~ 4k donors on average
-        radius = start_radius or span * 4.0 * k / n_don
+        # base radius so that a cell of the widest coordinate holds ~ 4k donors on average
+        r0 = start_radius or span * 4.0 * k / n_don
+        top_lvl = max(0, math.ceil(math.log2(span / r0))) + 1   # cell >= span: exhaustive
+        need = min(k, n_don)
         results = []
-        todo = rec.select("_id", *feats).checkpoint()
+        todo = rec.select("_id", *feats).withColumn("_lvl", F.lit(0)).checkpoint()
         while True:
-            last = radius >= span
-            rc = [F.floor(F.col(g) / radius).alias(f"_c{i}") for i, g in enumerate(grid)]
-            rr = todo.select("*", *rc).alias("r")
+            levels = sorted(r["_lvl"] for r in todo.select("_lvl").distinct().collect())
+            cell = F.lit(r0) * F.pow(F.lit(2.0), F.col("_lvl"))
+            rr = todo.select("*", *[F.floor(F.col(g) / cell).cast("long").alias(f"_c{i}")
+                                    for i, g in enumerate(grid)]).alias("r")
             offs = F.array(*[F.lit(o) for o in (-1, 0, 1)])
-            dd = don.select("*", *[F.floor(F.col(g) / radius).alias(f"_b{i}") for i, g in enumerate(grid)])
-            for i, _ in enumerate(grid):
-                dd = dd.withColumn(f"_c{i}", F.explode(F.transform(offs, _shift(f"_b{i}"))))
+            # donors are placed on the grid of every level some recipient needs this round
+            dd = don.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
+            for i, g in enumerate(grid):
+                dd = dd.withColumn(f"_c{i}", F.explode(F.transform(
+                    offs, _shift_expr(F.floor(F.col(g) / cell).cast("long")))))
             dd = dd.alias("d")
-            cond = [F.col(f"r._c{i}") == F.col(f"d._c{i}") for i in range(len(grid))]
-            cand = rr.join(dd, cond, "inner")
-            cand = cand.select(F.col("r._id").alias("_rid"), F.col("d._id").alias("_did"),
-                               F.col(f"d.{t}").alias("_v"), _dist(feats, "r", "d").alias("_dist"))
+            cond = [F.col("r._lvl") == F.col("d._lvl")] + \
+                [F.col(f"r._c{i}") == F.col(f"d._c{i}") for i in range(len(grid))]
+            cand = rr.join(dd, cond, "inner").select(
+                F.col("r._id").alias("_rid"), F.col("r._lvl").alias("_lvl"), F.col("d._id").alias("_did"),
+                F.col(f"d.{t}").alias("_v"), _dist(feats, "r", "d").alias("_dist"))
             cand = cand.filter(F.col("_dist").isNotNull())
+            # top-k per recipient; Spark limits each recipient to k rows per map partition
+            # (WindowGroupLimit) before the shuffle
             w = Window.partitionBy("_rid").orderBy("_dist", "_did")
             top = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-            agg = top.groupBy("_rid").agg(F.avg("_v").alias(t), F.max("_dist").alias("_kd"),
-                                          F.count(F.lit(1)).alias("_n")).checkpoint()
-            if last:
-                results.append(agg.select(F.col("_rid").alias("_id"), t))
-                got = agg.select(F.col("_rid").alias("_id"))
-                rest = todo.join(got, "_id", "left_anti").select("_id", F.lit(nn[f"_avg_{t}"]).alias(t))
-                results.append(rest)
-                break
-            ok = agg.filter((F.col("_kd") <= radius) & (F.col("_n") >= min(k, n_don)))
-            results.append(ok.select(F.col("_rid").alias("_id"), t))
-            todo = todo.join(ok.select(F.col("_rid").alias("_id")), "_id", "left_anti").checkpoint()
+            agg = top.groupBy("_rid", "_lvl").agg(F.avg("_v").alias(t), F.max("_dist").alias("_kd"),
+                                                  F.count(F.lit(1)).alias("_n")).checkpoint()
+            # the k nearest lie within the k-th candidate distance, hence in the 3x3 cells
+            # of any level whose cell is at least that distance
+            done = agg.filter(((F.col("_kd") <= F.lit(r0) * F.pow(F.lit(2.0), F.col("_lvl"))) &
+                               (F.col("_n") >= need)) | (F.col("_lvl") >= top_lvl))
+            results.append(done.select(F.col("_rid").alias("_id"), t))
+            if top_lvl in levels:
+                # exhaustive level: recipients sharing no coordinate with any donor get the mean
+                rest = todo.filter(F.col("_lvl") >= top_lvl).join(
+                    agg.select(F.col("_rid").alias("_id")), "_id", "left_anti")
+                results.append(rest.select("_id", F.lit(nn[f"_avg_{t}"]).alias(t)))
+            left = todo.filter(F.col("_lvl") < top_lvl).join(done.select(F.col("_rid").alias("_id")),
+                                                              "_id", "left_anti")
+            # next level per recipient: enough to cover its own k-th candidate distance
+            # (resolves it next round), else four times wider
+            kd = agg.select(F.col("_rid").alias("_id"), "_kd", "_n")
+            nxt = F.when((F.col("_n") >= need) & F.col("_kd").isNotNull(),
+                         F.greatest(F.col("_lvl") + 1,
+                                    F.ceil(F.log2(F.greatest(F.col("_kd"), F.lit(r0)) / F.lit(r0))).cast("int"))
+                         ).otherwise(F.col("_lvl") + 2)
+            todo = (left.join(kd, "_id", "left").withColumn("_lvl", F.least(nxt, F.lit(top_lvl)).cast("int"))
+                    .drop("_kd", "_n").checkpoint())
             if todo.limit(1).count() == 0:
                 break
-            # the k-th candidate distance bounds the true k-th distance from above, so a
-            # radius covering the largest unresolved one finishes them in the next round
-            kd = agg.join(todo.select(F.col("_id").alias("_rid")), "_rid", "left_semi").agg(
-                F.max("_kd"), F.min("_n")).collect()[0]
-            nxt = radius * 4.0
-            if kd[0] is not None and kd[1] is not None and kd[1] >= min(k, n_don):
-                nxt = max(radius * 1.01, min(float(kd[0]), nxt * 16))
-            radius = nxt
         out = results[0]
         for r_ in results[1:]:
             out = out.unionByName(r_)
