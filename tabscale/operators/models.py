@@ -245,7 +245,7 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
             return name, i, None, str(e)[:200]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         results = list(pool.map(run, jobs))
-    rows, fitted = [], {}
+    rows, ok = [], []
     for name, est in models.items():
         sc = [r[2] for r in results if r[0] == name and r[2] is not None]
         err = next((r[3] for r in results if r[0] == name and r[3]), None)
@@ -253,9 +253,16 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
             rows.append((name, metric, None, None, err))
             continue
         rows.append((name, metric, round(float(np.mean(sc)), 4), round(float(np.std(sc)), 4), None))
+        ok.append((name, est))
+
+    def refit(item):
+        name, est = item
         g = rbf_gamma(data, features) if name in ("SVM", "SVR") else None
         full, feats = _prepare(data, features, label, task, name, g)
-        fitted[name] = fit_cached(build_pipeline(est, feats, label, task), full)
+        return name, fit_cached(build_pipeline(est, feats, label, task), full)
+    # refits on all rows are independent Spark jobs too: run them concurrently
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        fitted = dict(pool.map(refit, ok))
     lb = spark.createDataFrame(rows, "model string, metric string, score double, std double, error string")
     lb = lb.filter(F.col("score").isNotNull()).orderBy(F.col("score").asc() if lower_is_better(metric)
                                                        else F.col("score").desc(), "model")
