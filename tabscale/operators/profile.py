@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chunks, dtype_name, is_numeric, maybe_broadcast, numeric_columns, q
-from ..functions.moments import kurt_g2, safe_corr, skew_g1
+from ..functions.moments import kurt_g2, pairwise_corr, skew_g1
 from ..functions.quantiles import exact_quantiles, quantile_dict
 
 MAX_OVERVIEW_COLS = 30
@@ -123,16 +123,14 @@ def column_overview(df: DataFrame, max_cols: int = MAX_OVERVIEW_COLS, digits: in
                                        "max double, mean double, std double, skew double, top_values string")
 
 
-def corr_long(df: DataFrame, cols=None, digits: int = 6, chunk_pairs: int = 40) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair i < j (schema order): (col_a, col_b, i, j, r)."""
+def corr_long(df: DataFrame, cols=None, digits: int = 6, means=None) -> DataFrame:
+    """Pairwise-complete Pearson r for every pair i < j (schema order): (col_a, col_b, i, j, r).
+
+    Two scans for any width (``pairwise_corr``), not one aggregate per chunk of pairs."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    rows = []
-    for ch in chunks(pairs, chunk_pairs):
-        row = df.agg(*[safe_corr(q(cols[i]), q(cols[j])).alias(f"r{i}_{j}") for i, j in ch]).collect()[0]
-        for i, j in ch:
-            v = row[f"r{i}_{j}"]
-            rows.append((cols[i], cols[j], i, j, None if v is None else round(float(v), digits)))
+    r = pairwise_corr(df, cols, means)
+    rows = [(cols[i], cols[j], i, j, None if v is None else round(float(v), digits))
+            for (i, j), v in sorted(r.items())]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, i int, j int, r double")
 
 

@@ -239,3 +239,25 @@ def test_exact_quantiles_distributed_bracket_path(spark, monkeypatch):
         sub = vals[(np.arange(len(vals)) % 2 == g)]
         for p in (0.25, 0.5):
             assert grouped[(g, p)] == pytest.approx(np.quantile(sub[~np.isnan(sub)], p))
+
+
+def test_pairwise_corr_matches_pandas_with_nulls_and_constants(spark):
+    from tabscale.functions.moments import pairwise_corr
+    rng = np.random.RandomState(7)
+    n = 400
+    a = rng.normal(1e6, 3.0, n)                 # large mean: needs the shift
+    b = a * 2 + rng.normal(0, 1.0, n)
+    c = rng.normal(size=n)
+    c[::5] = np.nan
+    d = np.where(np.isnan(c), rng.normal(size=n), 3.0)   # constant where c is present
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
+    df = spark.createDataFrame(pdf).repartition(3)
+    df = df.select(*[F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in pdf.columns])
+    got = pairwise_corr(df, list(pdf.columns))
+    cols = list(pdf.columns)
+    for (i, j), v in got.items():
+        sub = pdf[[cols[i], cols[j]]].dropna()
+        if cols[j] == "d" and cols[i] == "c":
+            assert v is None                     # d is constant on the rows where c is present
+            continue
+        assert v == pytest.approx(sub[cols[i]].corr(sub[cols[j]]), abs=1e-9)
