@@ -2,8 +2,8 @@
 
 The same statistics as the batch profile (missing values, count, mean,
 sample std, min, max) maintained by a streaming aggregation: cells are
-unpivoted to (column, value), aggregated per column into additive state
-(counts, sums, sums of squares, extremes), and each micro-batch replaces a
+unpivoted to (column, value), aggregated per column into mergeable state
+(counts, running mean and centred second moment, extremes), and each micro-batch replaces a
 Parquet snapshot of the finished profile. State is one row per column, so it
 does not grow with the data; progress lives in the query's checkpoint folder.
 """
@@ -18,22 +18,18 @@ from ..functions.columns import is_numeric, q
 
 
 def profile_stream_frame(stream: DataFrame) -> DataFrame:
-    """Streaming aggregate (column, n_rows, n_null, n, s1, s2, lo, hi) for numeric columns."""
+    """Streaming aggregate (column, n_rows, n_null, n, mean, std, lo, hi) for numeric columns."""
     cols = [f.name for f in stream.schema.fields if is_numeric(f.dataType)]
     items = [F.struct(F.lit(c).alias("column"), q(c).cast("double").alias("v")) for c in cols]
     long = stream.select(F.inline(F.array(*items)))
     return long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_null"),
-        F.count("v").alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"),
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def finish(state: DataFrame) -> DataFrame:
-    n = F.col("n").cast("double")
-    mean = F.col("s1") / n
-    var = F.when(n > 1, (F.col("s2") - n * mean * mean) / (n - 1))
-    return state.select("column", "n_rows", "n_null", "n", mean.alias("mean"),
-                        F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.col("lo").alias("min"),
+    return state.select("column", "n_rows", "n_null", "n", "mean", "std", F.col("lo").alias("min"),
                         F.col("hi").alias("max"))
 
 

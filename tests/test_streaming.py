@@ -21,6 +21,7 @@ def test_stream_profile_matches_batch(spark):
     exp = events.agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev("value").alias("s"),
                      F.min("value").alias("lo"), F.max("value").alias("hi")).collect()[0]
     v = got["value"]
+    assert got["event_id"]["std"] == pytest.approx(events.agg(F.stddev("event_id")).collect()[0][0], rel=1e-9)
     assert v["n"] == exp["n"] and v["n_null"] == 0
     assert v["mean"] == pytest.approx(exp["m"]) and v["std"] == pytest.approx(exp["s"])
     assert (v["min"], v["max"]) == (exp["lo"], exp["hi"])
