@@ -74,6 +74,13 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
         n_don = don.count()
         if rec.limit(1).count() == 0:
             continue
+        if id_col not in feats:
+            # donors with the same feature vector are interchangeable (same distance to every
+            # recipient, ties to the smaller id): only the k smallest ids of a vector can be
+            # chosen, so a heavily repeated vector cannot flood its grid cell. row_number <= k
+            # is limited map-side (WindowGroupLimit) before the shuffle.
+            wv = Window.partitionBy(*[q(c) for c in feats]).orderBy("_id")
+            don = don.withColumn("_vr", F.row_number().over(wv)).filter(F.col("_vr") <= k).drop("_vr").checkpoint()
         if n_don == 0:
             filled[t] = rec.select("_id", F.lit(nn[f"_avg_{t}"]).alias(t))
             continue

@@ -261,3 +261,28 @@ def test_pairwise_corr_matches_pandas_with_nulls_and_constants(spark):
             assert v is None                     # d is constant on the rows where c is present
             continue
         assert v == pytest.approx(sub[cols[i]].corr(sub[cols[j]]), abs=1e-9)
+
+
+def test_knn_hot_duplicate_vector_and_string_id(spark):
+    rng = np.random.RandomState(11)
+    n = 240
+    a = rng.rand(n) * 50
+    b = rng.rand(n) * 5
+    hot = np.arange(n) < n // 3              # a third of the rows share one vector
+    a[hot], b[hot] = 7.0, 1.0
+    y = a * 0.3 + b
+    y[(rng.rand(n) < 0.25) & ~hot] = np.nan
+    y[np.arange(n) % 17 == 0] = np.nan       # some hot-vector recipients too
+    ids = [f"r{i:04d}" for i in range(n)]
+    pdf = pd.DataFrame({"rid": ids, "a": a, "b": b, "y": y})
+    from tabscale.operators.knn import knn_impute
+    df = spark.createDataFrame(pdf).withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    got = {r["rid"]: r["y"] for r in knn_impute(df, ["y"], id_col="rid").collect()}
+    M_ = pdf[["a", "b", "y"]].to_numpy()
+    for i in np.where(np.isnan(y))[0]:
+        d = []
+        for j in np.where(~np.isnan(y))[0]:
+            both = ~np.isnan(M_[i]) & ~np.isnan(M_[j])
+            d.append((math.sqrt(3 / both.sum() * ((M_[i, both] - M_[j, both]) ** 2).sum()), ids[j], j))
+        d.sort()
+        assert got[ids[i]] == pytest.approx(np.mean([y[j] for _, _, j in d[:5]]))
