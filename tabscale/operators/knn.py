@@ -43,7 +43,7 @@ def _dist(cols, r, d):
 
 
 def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_radius=None,
-               all_numeric: bool = False) -> DataFrame:
+               all_numeric: bool = False, level_base: float = 2.0) -> DataFrame:
     """Fill nulls of ``cols`` (numeric) from the k nearest donors over all numeric columns.
 
     ``all_numeric=True`` fills every numeric column with nulls (the reference's side effect).
@@ -86,13 +86,13 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
             continue
         # base radius so that a cell of the widest coordinate holds ~ 4k donors on average
         r0 = start_radius or span * 4.0 * k / n_don
-        top_lvl = max(0, math.ceil(math.log2(span / r0))) + 1   # cell >= span: exhaustive
+        top_lvl = max(0, math.ceil(math.log(span / r0, level_base))) + 1   # cell >= span: exhaustive
         need = min(k, n_don)
         results = []
         todo = rec.select("_id", *feats).withColumn("_lvl", F.lit(0)).checkpoint()
         while True:
             levels = sorted(r["_lvl"] for r in todo.select("_lvl").distinct().collect())
-            cell = F.lit(r0) * F.pow(F.lit(2.0), F.col("_lvl"))
+            cell = F.lit(r0) * F.pow(F.lit(level_base), F.col("_lvl"))
             rr = todo.select("*", *[F.floor(F.col(g) / cell).cast("long").alias(f"_c{i}")
                                     for i, g in enumerate(grid)]).alias("r")
             offs = F.array(*[F.lit(o) for o in (-1, 0, 1)])
@@ -116,7 +116,7 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
                                                   F.count(F.lit(1)).alias("_n")).checkpoint()
             # the k nearest lie within the k-th candidate distance, hence in the 3x3 cells
             # of any level whose cell is at least that distance
-            done = agg.filter(((F.col("_kd") <= F.lit(r0) * F.pow(F.lit(2.0), F.col("_lvl"))) &
+            done = agg.filter(((F.col("_kd") <= F.lit(r0) * F.pow(F.lit(level_base), F.col("_lvl"))) &
                                (F.col("_n") >= need)) | (F.col("_lvl") >= top_lvl))
             results.append(done.select(F.col("_rid").alias("_id"), t))
             if top_lvl in levels:
@@ -131,7 +131,7 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
             kd = agg.select(F.col("_rid").alias("_id"), "_kd", "_n")
             nxt = F.when((F.col("_n") >= need) & F.col("_kd").isNotNull(),
                          F.greatest(F.col("_lvl") + 1,
-                                    F.ceil(F.log2(F.greatest(F.col("_kd"), F.lit(r0)) / F.lit(r0))).cast("int"))
+                                    F.ceil(F.log(float(level_base), F.greatest(F.col("_kd"), F.lit(r0)) / F.lit(r0))).cast("int"))
                          ).otherwise(F.col("_lvl") + 2)
             todo = (left.join(kd, "_id", "left").withColumn("_lvl", F.least(nxt, F.lit(top_lvl)).cast("int"))
                     .drop("_kd", "_n").checkpoint())
