@@ -103,15 +103,34 @@ def _exact_pass(df, cols, probs, by, accuracy, margin, extra=(), local=False):
         max_n = max(int(row[f"_n{i}"]) for i in range(len(cols)))
         src = df
 
-    items = []
+    # Only values inside a bracket are exploded (rows in no bracket are dropped first by one
+    # codegen'd predicate); the values below each bracket are counted by a plain aggregate
+    # and join the per-value counts as one null-valued row per (group, column, prob).
+    items, inside, below = [], [], []
     for k, (i, c, j, p) in enumerate(pairs):
         x = q(c).cast("double")
-        keep = x.isNotNull() & (hi[(i, j)].isNull() | (x <= hi[(i, j)]))
-        v = F.when(lo[(i, j)].isNull() | (x >= lo[(i, j)]), x)
-        items.append(F.when(keep, F.struct(F.lit(k).alias("_k"), n[i].alias("_n"), v.alias("_v"))))
-    exploded = src.select(*by, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("_s"))
+        cond = x.isNotNull() & (hi[(i, j)].isNull() | (x <= hi[(i, j)])) & \
+            (lo[(i, j)].isNull() | (x >= lo[(i, j)]))
+        inside.append(cond)
+        items.append(F.when(cond, F.struct(F.lit(k).alias("_k"), n[i].alias("_n"), x.alias("_v"))))
+        below.append(F.count_if(x < lo[(i, j)]).alias(f"_lt{k}"))
+    any_inside = inside[0]
+    for e in inside[1:]:
+        any_inside = any_inside | e
+    exploded = src.filter(any_inside).select(
+        *by, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("_s"))
     counted = (exploded.select(*by, "_s._k", "_s._n", "_s._v")
                .groupBy(*by, "_k", "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if by:
+        lt = src.groupBy(*by, *[F.col(f"_n{i}") for i in range(len(cols))]).agg(*below)
+        nk = {k: F.col(f"_n{i}") for k, (i, _, _, _) in enumerate(pairs)}
+    else:
+        lt = src.agg(*below)
+        nk = {k: n[i] for k, (i, _, _, _) in enumerate(pairs)}
+    lt_rows = lt.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_k"), nk[k].cast("long").alias("_n"), F.lit(None).cast("double").alias("_v"),
+                 F.col(f"_lt{k}").cast("long").alias("_c")) for k in range(len(pairs))])))
+    counted = counted.unionByName(lt_rows)
     # a bracket spans ~ (2 margin + 2) n / accuracy ranks; while that is small, one
     # window task per (group, column, prob) sorts it; beyond, the running count
     # is a distributed prefix sum over range partitions of (group, prob, value)
