@@ -6,8 +6,9 @@ one final aggregation buffer, which does not survive 100 TB. Here:
 1. one wide aggregate computes ``count`` and a ``percentile_approx`` bracket
    [a, b] around every requested rank (rank error <= n/accuracy, so a margin
    of a few 1/accuracy steps contains the true order statistics);
-2. one scan emits, per (column, prob), only values inside the bracket plus a
-   "below" marker, and counts them by value (map-side combined);
+2. one scan emits, per (column, prob), only values inside the bracket and
+   counts them by value (map-side combined); a plain aggregate counts the
+   values below each bracket;
 3. a cumulative count over the few bracket values per (group, column, prob)
    picks the exact order statistics ranks floor(p(n-1)) and the next one, and
    interpolates like pandas / DuckDB ``quantile_cont`` / Spark ``percentile``.
