@@ -171,12 +171,70 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     idx = np.arange(int(out_first[-1])) - out_first[row] + first[row]
     out = acc[idx] if len(idx) else np.zeros(0, np.uint64)
     for r in np.flatnonzero((counts > 0) & (counts < k)):
-        h = np.uint64(0)
-        for w in words[first[r]:first[r + 1]]:
-            h = (h * _MULT + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
-        out[out_first[r]] = h ^ np.uint64(int(counts[r]))
+        h = 0
+        for w in words[first[r]:first[r + 1]].tolist():
+            h = (h * int(_MULT) + w) % (1 << 64)
+        out[out_first[r]] = h ^ int(counts[r])
     return mix64(out), out_first
 
 
-def with_output(rb: pa.RecordBatch, names: list[str], arrays: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+# ---------------------------------------------------------- groups and graphs
+
+def complete_groups(batches, n_keys: int):
+    """Tables of whole groups from batches sorted by their first ``n_keys``
+    integer columns, with the row index at which each group starts. A group that
+    continues in the next batch is carried over; nothing else is held."""
+    carry: list[pa.RecordBatch] = []
+
+    def keys_of(t):
+        return np.column_stack([np.asarray(t.column(k)) for k in range(n_keys)])
+
+    def starts_of(keys):
+        return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        keys = keys_of(rb)
+        s = starts_of(keys)
+        if carry and (keys_of(carry[-1].slice(carry[-1].num_rows - 1))[0] == keys[0]).all():
+            if len(s) == 1:
+                carry.append(rb)
+                continue
+            cut = int(s[-1])
+        else:
+            if carry:
+                t = pa.Table.from_batches(carry)
+                yield t.combine_chunks(), starts_of(keys_of(t))
+                carry = []
+            cut = int(s[-1])
+        if cut:
+            t = pa.Table.from_batches([*carry, rb.slice(0, cut)])
+            yield t.combine_chunks(), starts_of(keys_of(t))
+            carry = []
+        carry.append(rb.slice(cut))
+    if carry:
+        t = pa.Table.from_batches(carry)
+        yield t.combine_chunks(), starts_of(keys_of(t))
+
+
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
+    """(v, label) of every vertex of the edges (a, b): label is the component's least vertex.
+
+    Least-label propagation with pointer jumping; each round is written to the
+    shared folder and only a count of changed labels reaches the driver."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialise(both, f"{name}-edges")
+    lab = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+                      .select("v", F.least("v", "m").alias("label")), f"{name}-0")
+    step = 0
+    while True:
+        step += 1
+        near = (both.join(lab.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v"))
+                .agg(F.min("label").alias("m")))
+        got = lab.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("l"))
+        jump = lab.select(F.col("v").alias("l"), F.col("label").alias("j"))
+        new = materialise(got.join(jump, "l").select("v", "old", F.least("l", "j").alias("label")), f"{name}-{step}")
+        if new.where("label <> old").limit(1).count() == 0:
+            return new.select("v", "label")
+        lab = new.select("v", "label")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, lang_id, mixing, mtree, quality
+from . import exact_dedup, html_extract, lang_id, mixing, mtree, ngram_join, quality, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -73,3 +73,15 @@ WITH v AS (SELECT vec_id, row_number() OVER () AS r,
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5""")
 def op10(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_ngram_jaccard_join")
+def op4(spark, sf_dir):
+    out = ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), "class_id", "n_links", "kept")
+
+
+@register("op2_suffix_array_dedup")
+def op2(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
