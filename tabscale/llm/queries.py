@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, lang_id, mixing, mtree, ngram_join, quality, suffix_dedup
+from . import exact_dedup, html_extract, lang_id, mixing, mtree, ngram_join, pii, quality, sentencepiece, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -85,3 +85,20 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_pii")
+def op5(spark, sf_dir):
+    out = pii.report(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
+@register("op8_sentencepiece")
+def op8(spark, sf_dir):
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
