@@ -181,7 +181,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                      F.ceil(F.sum("_size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     dealt = members.join(extent, "label").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
     texts_of = docs.select(F.monotonically_increasing_id().alias("v"), F.col(text_col).alias("_text"))
-    dealt = dealt.join(texts_of, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.join(texts_of.hint("merge"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = dealt.select("label", F.least("blk", "other").cast("long").alias("i"), F.greatest("blk", "other").cast("long").alias("j"),
                          "v", "copies", F.col("blk").cast("long").alias("blk"), "_text")
     units = units.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
