@@ -220,7 +220,7 @@ def _deal_on(buckets: DataFrame, span: int, length: int, anchor: int) -> DataFra
                 h = span_hashes(text, core0, core1, seed=31)
                 s = at[k] - last  # first window of the range, from the segment's start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(h ^ mix64(b.astype(np.uint64) + np.uint64(key[k] % (1 << 63)))).view(np.int64)),
+                    [pa.array(mix64(h ^ mix64(b.astype(np.uint64) + key.view(np.uint64)[k])).view(np.int64)),
                      pa.array(np.full(len(b), c1[k])), pa.array(np.full(len(b), c2[k])), pa.array((sub[k] + s).astype(np.int32)),
                      pa.array((last - first).astype(np.int32)), pa.array(last.astype(np.int32)),
                      pa.array([text[x:x + y].tobytes() for x, y in zip(s, last - first + length)], pa.binary())],
@@ -243,7 +243,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     # a segment's bytes are cut out of its text right after the join
     cut = F.substring(F.col("_text").cast("binary"), (F.col("s0") + 1).cast("int"), F.col("n") + length)
-    fetched = (texts.join(kinds.join(mixed, "h"), "_rid")
+    fetched = (texts.hint("merge").join(kinds.join(mixed, "h"), "_rid")
                .select(F.col("h").alias("key"), "c1", "c2", F.lit(0).alias("sub"), "n", "at", cut.alias("bytes"), "kinds"))
     fetched = materialise(fetched, "suffix-fetched")
     found = whole.unionByName(_construct(fetched.where(F.col("kinds") <= bucket), length))
