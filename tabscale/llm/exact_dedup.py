@@ -64,6 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      F.col("_id").alias("i"), F.col("_rid").alias("r"))
     groups = (rows.where("_full is not null").groupBy("_full")
               .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_best")))
+    groups = materialise(groups, "exact-groups")  # a join of two plain shuffles, so AQE can split a hot group
     out = rows.join(groups, "_full", "left")
     alone = F.col("_n").isNull()
     cols = ["_rid", "_id",
