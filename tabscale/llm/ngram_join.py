@@ -172,6 +172,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = sig.select(F.col("_rid").alias("v"), "_size", "_bands").join(texts.select("v", "copies"), "v")
     met = reps.select("v", F.posexplode("_bands").alias("band", "hash"))
     buckets = met.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("m")).where("c > 1")
+    buckets = materialise(buckets, "join-buckets")  # a plain shuffle on both sides lets AQE split a hot bucket
     edges = met.join(buckets, ["band", "hash"]).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     clusters = connected_components(edges, "join-candidates")
 
@@ -211,7 +212,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "_h1", "_h2", F.coalesce("label", "v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows_ = materialise(sig.select("_rid", "_id", "_h1", "_h2", "_size").where("_size > 0").join(of_text, ["_h1", "_h2"])
                         .select("_rid", "_id", "_class", "n_links"), "join-rows")
-    heads = rows_.groupBy("_class").agg(F.min(order).alias("_head"))
+    heads = materialise(rows_.groupBy("_class").agg(F.min(order).alias("_head")), "join-heads")
     some = rows_.join(heads, "_class").select("_rid", "_id", F.col("_head.i").alias("class_id"), F.col("n_links").cast("long"),
                                               (F.col("_rid") == F.col("_head.r")).alias("kept"))
     none = sig.where("_size = 0").select("_rid", "_id", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
