@@ -233,13 +233,14 @@ def _deal_on(buckets: DataFrame, span: int, length: int, anchor: int) -> DataFra
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
     """(_rid, start, end) byte ranges of ``texts`` (_rid, _text) covered by repeated strings (may overlap)."""
     segs = materialise(_all_segments(texts, length, anchor), "suffix-segments")
-    common = segs.groupBy("h").count().where("count > 1").select("h")
+    # written first: a plain shuffle on both sides lets AQE split a hot anchor
+    common = materialise(segs.groupBy("h").count().where("count > 1").select("h"), "suffix-common")
     segs = materialise(segs.join(common, "h"), "suffix-shared")
 
     kinds = segs.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_rid", "s0", "n", "at")).alias("r"))
     kinds = materialise(kinds.select("h", "c1", "c2", "copies", "r.*"), "suffix-kinds")
     whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-mixed")
 
     # a segment's bytes are cut out of its text right after the join
     cut = F.substring(F.col("_text").cast("binary"), (F.col("s0") + 1).cast("int"), F.col("n") + length)
@@ -252,14 +253,14 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     for span in (64, 1):
         dealt = _deal_on(hot, span, length, anchor)
         dealt = materialise(dealt, f"suffix-dealt-{span}")
-        sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        sizes = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"suffix-sizes-{span}")
         dealt = dealt.join(sizes, "key")
         if span == 1:  # the common bytes are the whole window
             found = found.unionByName(dealt.select("c1", "c2", F.col("sub").alias("lo"), F.col("sub").alias("hi")))
         else:
             found = found.unionByName(_construct(dealt.where(F.col("kinds") <= bucket), length))
             hot = dealt.where(F.col("kinds") > bucket)
-    got = segs.join(found, ["c1", "c2"])
+    got = segs.join(materialise(found, "suffix-found"), ["c1", "c2"])
     return got.select("_rid", (F.col("s0") + F.col("lo")).alias("start"), (F.col("s0") + F.col("hi") + length).alias("end"))
 
 
