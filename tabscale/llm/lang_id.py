@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, held_out, text_buffer
+from .common import doc_chunks, held_out, materialise, text_buffer
 
 SAMPLE = 1200      # labelled rows used for the fit, all languages together
 LANDMARKS = 128    # of these, landmarks
@@ -69,12 +69,16 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> DataF
     base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
                        F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     ok = base.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.length("_text") > 0) & ~held_out("_id"))
-    langs = ok.select("_lang").distinct().count()
+    sizes = materialise(ok.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_size")), "lang-sizes")
+    langs = sizes.count()
     if not langs:
         return None
-    w = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", "_rid"), "_rid")
-    pick = (ok.select("_lang", "_id", "_rid").withColumn("_n", F.row_number().over(w))
-            .where(F.col("_n") <= max(2, SAMPLE // langs)).select("_rid", "_n"))
+    per = max(2, SAMPLE // langs)
+    # a language's rows are thinned by hash to about 8 * per before they are ranked
+    drawn = ok.select("_lang", "_rid", F.xxhash64("_id", "_rid").alias("_draw")).join(sizes, F.col("_lang") == F.col("_l"))
+    drawn = drawn.where(F.pmod("_draw", F.lit(1 << 30)) * F.col("_size") <= float(8 * per) * (1 << 30))
+    w = Window.partitionBy("_lang").orderBy(F.pmod("_draw", F.lit(1 << 30)), "_rid")
+    pick = drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per).select("_rid", "_n")
     rows = ok.join(F.broadcast(pick), "_rid")  # at most max(SAMPLE, 2 * languages) rows
 
     def grams(batches):
