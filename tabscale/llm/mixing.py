@@ -31,52 +31,64 @@ TARGET_ENTROPY = 0.9  # of the logarithm of the number of sources
 MAX_EPOCHS = 1.5      # repetition limit of the most repeated source
 BLOCKS = 4096
 SEED = 17
+HALVINGS = 40
+DEPTH = 4             # halvings answered by one Spark job
 
 
-def weights_of(tokens: list[float], a: float) -> list[float]:
-    total = sum(tokens)
-    powed = [(t / total) ** a if t > 0 else 0.0 for t in tokens]
-    z = sum(powed)
-    return [x / z for x in powed]
+def _halvings(lo: float, hi: float, depth: int) -> list[float]:
+    """All middles that ``depth`` halvings of [lo, hi] can ask for, in order."""
+    n = 1 << depth
+    return [lo + (hi - lo) * i / n for i in range(1, n)]
 
 
-def entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
-
-
-def epochs_of(tokens: list[float], w: list[float], total: float | None = None) -> list[float]:
-    """Epochs of each source under ``total`` tokens (default: the total at which the least used gets 1)."""
-    if total is None:
-        total = max((t / x for t, x in zip(tokens, w) if t > 0), default=0.0)
-    return [total * x / t if t > 0 else 0.0 for t, x in zip(tokens, w)]
-
-
-def _bisect(ok) -> float:
-    """The border in [0, 1] of a predicate that holds from some point on."""
-    if ok(0.0):
+def _bisect(evaluate, ok) -> float:
+    """The border in [0, 1] of a predicate that holds from some point on. ``evaluate`` gives the
+    state of many exponents at once, so one Spark job serves ``DEPTH`` halvings."""
+    if ok(0.0, evaluate([0.0])[0]):
         return 0.0
     lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if ok(mid) else (mid, hi)
+    for _ in range(HALVINGS // DEPTH):
+        at = _halvings(lo, hi, DEPTH)
+        known = dict(zip(at, evaluate(at)))
+        for _ in range(DEPTH):
+            mid = min(known, key=lambda x: abs(x - (lo + hi) / 2))
+            lo, hi = (lo, mid) if ok(mid, known[mid]) else (mid, hi)
     return hi
 
 
-def solve_exponent(tokens: list[float], target_entropy: float | None = TARGET_ENTROPY,
+def _powers(shares: DataFrame, at: list[float]) -> list[tuple[float, float]]:
+    """(sum of p^a, sum of p^a ln p) over the sources for each exponent: one aggregate row."""
+    p = F.col("p")
+    cols = [f(F.pow(p, F.lit(a))) for a in at for f in (F.sum, lambda x: F.sum(x * F.log(p)))]
+    row = shares.agg(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(at))]
+
+
+def solve_exponent(shares: DataFrame, target_entropy: float | None = TARGET_ENTROPY,
                    max_epochs: float | None = MAX_EPOCHS, total: float | None = None) -> float:
-    """Exponent for the target entropy (share of the log of the source count) and the repetition limit."""
-    live = [t for t in tokens if t > 0]
-    if len(live) < 2:
+    """Exponent for the target entropy (share of the log of the source count) and the repetition
+    limit; ``shares`` has one row (p, t) per source with tokens and never leaves Spark."""
+    got = shares.agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("least"), F.max("p").alias("most"), F.sum("t").alias("t")).first()
+    if got["n"] < 2:
         return 1.0
-    a = 1.0
+
+    def evaluate(at):
+        return _powers(shares, at)
+
+    def entropy(a, s):
+        return math.log(s[0]) - a * s[1] / s[0]
+
+    def most_epochs(a, s):  # the smallest source is repeated most
+        scale = got["most"] ** (1 - a) if total is None else total / got["t"] / s[0]
+        return got["least"] ** (a - 1) * scale
+
+    a = 1.0 if target_entropy is not None else 0.0
     if target_entropy is not None:
-        want = target_entropy * math.log(len(live))
-        below = _bisect(lambda x: entropy(weights_of(live, x)) < want)
-        a = below if entropy(weights_of(live, 1.0)) < want else 1.0
-    elif max_epochs is not None:
-        a = 0.0
-    if max_epochs is not None:
-        a = max(a, _bisect(lambda x: max(epochs_of(live, weights_of(live, x), total)) <= max_epochs + 1e-9))
+        want = target_entropy * math.log(got["n"])
+        if entropy(1.0, evaluate([1.0])[0]) < want:
+            a = _bisect(evaluate, lambda x, s: entropy(x, s) < want)
+    if max_epochs is not None and most_epochs(a, evaluate([a])[0]) > max_epochs:
+        a = max(a, _bisect(evaluate, lambda x, s: most_epochs(x, s) <= max_epochs * (1 + 1e-9)))
     return a
 
 
@@ -87,7 +99,6 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     ``copies`` is how often the mix uses the row; copy c (from 0) stands at
     (c + mix_pos) / epochs of the mix, mix_pos being its place in the permutation."""
-    spark = docs.sparkSession
     text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
     n_tokens = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
     stats = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
@@ -95,17 +106,25 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # the same place in every epoch's base permutation; epochs rotate it by their own offset
     stats = materialise(stats.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_id", "_rid"), F.lit(1 << 40))), "mix-stats")
 
-    per_source = stats.groupBy("_source").agg(F.sum("n_tokens").alias("t")).collect()  # one row a source
-    tokens = [float(r["t"] or 0) for r in per_source]
-    live = sum(tokens) > 0
-    a = solve_exponent(tokens, target_entropy, max_epochs, total) if live else 1.0
-    w = weights_of(tokens, a) if live else [0.0] * len(tokens)
-    epochs = epochs_of(tokens, w, total)
-    plan = [(r["_source"], x, e if t > 0 else 1.0, int(math.floor(e + 1e-9)) if t > 0 else 1,
-             int(round(max(0.0, e - math.floor(e + 1e-9)) * t)))
-            for r, t, x, e in zip(per_source, tokens, w, epochs)]
-    plan = spark.createDataFrame(plan, "_s string, weight double, epochs double, _whole long, _rest long")
-    rows = stats.join(F.broadcast(plan), stats["_source"].eqNullSafe(plan["_s"])).drop("_s")
+    per_source = materialise(stats.groupBy(F.col("_source").alias("_s")).agg(F.sum("n_tokens").cast("double").alias("t")), "mix-sources")
+    everything = per_source.agg(F.sum("t")).first()[0] or 0.0
+    shares = per_source.where("t > 0").select((F.col("t") / everything).alias("p"), "t") if everything else None
+    a = solve_exponent(shares, target_entropy, max_epochs, total) if everything else 1.0
+    z = _powers(shares, [a])[0][0] if everything else 1.0
+    p = F.col("t") / (everything or 1.0)
+    weight = F.when(F.col("t") > 0, F.pow(p, F.lit(a)) / z).otherwise(0.0)
+    # by default the least repeated source, the largest one, gets one epoch
+    if total is None:
+        most = shares.agg(F.max("p")).first()[0] if everything else 1.0
+        epochs = F.pow(p / most, F.lit(a - 1))
+    else:
+        epochs = weight * total / F.col("t")
+    epochs = F.when(F.col("t") > 0, epochs).otherwise(1.0)
+    plan = per_source.select("_s", weight.alias("weight"), epochs.alias("epochs"), "t")
+    whole = F.floor(F.col("epochs") + 1e-9)
+    plan = plan.select("_s", "weight", "epochs", whole.alias("_whole"),
+                       F.round(F.greatest(F.col("epochs") - whole, F.lit(0.0)) * F.col("t")).cast("long").alias("_rest"))
+    rows = stats.join(plan, stats["_source"].eqNullSafe(plan["_s"])).drop("_s")
     rows = rows.withColumn("_blk", F.floor(F.col("_u") / ((1 << 40) // BLOCKS)).cast("int"))
 
     # the partial epoch: whole blocks by their token sums, one block row by row
