@@ -103,7 +103,7 @@ def _value(kind: Column, m: Column) -> Column:
 def term_spans(texts: DataFrame, base: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
     """(_rid, start, end, level) of the terms whose disclosure reaches the threshold; level from 0 to 1."""
     ents = base.select("_rid", F.col("start").alias("e0"), F.col("end").alias("e1"), _value(F.col("kind"), F.col("m")).alias("entity"))
-    near = ents.join(texts, "_rid")
+    near = ents.join(texts.hint("merge"), "_rid")
     e0, e1 = F.col("e0").cast("int"), F.col("e1").cast("int")
     left = F.substring("_text", F.greatest(e0 - REACH, F.lit(0)) + 1, F.least(e0, F.lit(REACH)))
     right = F.substring("_text", e1 + 1, F.lit(REACH))
