@@ -108,9 +108,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
         if inside == DROP:
             kind = DROP
         elif kind == HEAD:  # a heading inside an article's own header is text, the rest of a header is not
-            kind = HEAD if art else DROP
-        elif inside == HEAD and kind != DROP:
-            kind = ARTICLE if tag in _HEADING else HEAD
+            kind = DROP if not art else ARTICLE if tag in _HEADING else HEAD
         if kind == ARTICLE and not art:
             state["articles"] += 1
             art = state["articles"]

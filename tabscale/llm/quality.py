@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     live = norm[:, 0] > 0
     out[live] /= norm[live]
-    out[live] -= out[live].mean(axis=0)
+    out[live] -= out[live].mean(axis=0) if live.any() else 0
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.maximum(norm, 1e-9)).astype(np.float32)
 
