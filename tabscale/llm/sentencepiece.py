@@ -33,7 +33,7 @@ from .common import byte_table, mix64, powers, text_buffer
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64               # longer units stream one by one
-CHUNK_CHARS = 1 << 22   # characters encoded by one round of numpy calls
+CHUNK_CHARS = 1 << 20   # characters encoded by one round of numpy calls
 CACHE_UNITS = 1 << 20   # remembered units of a task
 SPACE = "▁"
 
