@@ -50,6 +50,8 @@ def q(name: str) -> Column:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Spark keeps NaN and null apart; the analyses have one notion of missing."""
+    if not any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema.fields):
+        return df
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
@@ -59,10 +61,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def as_double(c: Column) -> Column:
-    return c.cast("double")
-
-
 def chunks(items, size):
     """Split a long column list so one aggregate stays inside codegen limits."""
     items = list(items)
@@ -70,6 +68,18 @@ def chunks(items, size):
         yield items[i:i + size]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null (a null group is a group); the keys come from the left."""
+    keys = list(keys)
+    r = right.select(*[q(c).alias(f"__r_{c}") if c in keys else q(c) for c in right.columns
+                       if c in keys or how not in ("left_semi", "left_anti")])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & q(k).eqNullSafe(q(f"__r_{k}"))
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
+
+
 def maybe_broadcast(df: DataFrame, bytes_per_row: int = 128, limit: int = 32 << 20) -> DataFrame:
     """Broadcast ``df`` only after counting it proves the side small; else a shuffle join."""
     n = df.count()

@@ -24,16 +24,6 @@ def kurt_g2(c: Column) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r over rows where both are present; null (not an ANSI error) for a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    xm = F.when(both, x.cast("double"))
-    ym = F.when(both, y.cast("double"))
-    # constant side -> null; tested with min = max (a merged stddev of a constant is not exactly 0)
-    varying = (F.max(xm) > F.min(xm)) & (F.max(ym) > F.min(ym))
-    return F.when(varying, F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym)))
-
-
 def pairwise_corr(df, cols, means=None) -> dict:
     """Pairwise-complete Pearson r for every pair i < j as {(i, j): r or None}.
 
@@ -42,7 +32,7 @@ def pairwise_corr(df, cols, means=None) -> dict:
     (counts, sums, sums of squares and cross products: four p x p matrix
     products per Arrow batch, plus per-pair masked min / max for the constant
     test), summed per pair by one aggregate. A constant side gives None, like
-    ``safe_corr``.
+    a ``corr`` that is null for constants.
     """
     import numpy as np
     import pandas as pd

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import q
+from .columns import join_null_safe, q
 
 # distinct bracket values one window task may sort; larger brackets use the
 # distributed prefix sum
@@ -84,7 +84,7 @@ def _exact_pass(df, cols, probs, by, accuracy, margin, extra=(), local=False):
         # ~ (2*#pairs doubles + keys) per group; broadcast only while provably small
         est = n_groups * (16 * len(pairs) + 64)
         b = F.broadcast(bounds) if est <= 64 << 20 else bounds
-        src = df.join(b, by, "inner")
+        src = join_null_safe(df, b, by)
         lo = {(i, j): lo_b(i, j) for i, _, j, _ in pairs}
         hi = {(i, j): hi_b(i, j) for i, _, j, _ in pairs}
         n = {i: F.col(f"_n{i}") for i in range(len(cols))}
@@ -170,7 +170,3 @@ def quantile_dict(df: DataFrame, cols, probs, accuracy: int = 10000, margin: flo
         if ok or margin >= accuracy:
             return res if extra else res[0]
         margin = min(margin * 16, float(accuracy))
-
-
-def is_finite(v) -> bool:
-    return v is not None and not (isinstance(v, float) and (math.isnan(v) or math.isinf(v)))

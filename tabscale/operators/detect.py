@@ -27,11 +27,16 @@ DATETIME_FORMATS = [
     "yyyy-MM-dd",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "dd-MMM-yyyy",
+    "yyyyMMdd",
 ]
 
 NUMERIC_SHARE = 0.8      # coerce a string column when > 80 % of rows parse as numbers
-DATETIME_SAMPLE = 10     # values inspected by the datetime sniff
-DATETIME_SHARE = 0.6     # share of the sample that must parse
+DATETIME_SHARE = 0.6     # share of the non-null values that must parse
 CLASS_MAX_DISTINCT = 20  # numeric target with <= 20 distinct values -> classification
 
 
@@ -64,25 +69,22 @@ def coerce_numeric(df: DataFrame, cols=None, share: float = NUMERIC_SHARE) -> tu
     return out, chosen
 
 
-def datetime_sniff(df: DataFrame, cols, order_by, k: int = DATETIME_SAMPLE) -> dict:
-    """{column: share of its first k non-null values (in ``order_by`` order) that parse}.
-
-    A bounded read: one ``limit``-ed top-k per column; never the whole column.
-    """
-    res = {}
-    for c in cols:
-        sample = df.filter(q(c).isNotNull()).orderBy(*order_by).limit(k)
-        row = sample.agg(F.count(F.lit(1)).alias("n"), F.count(parse_datetime(q(c))).alias("p")).collect()[0]
-        res[c] = row["p"] / max(row["n"], 1)
-    return res
+def datetime_shares(df: DataFrame, cols) -> dict:
+    """{column: parsed / non-null values} over all rows, one aggregate job for all columns."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    row = df.agg(*[a for i, c in enumerate(cols) for a in (F.count(q(c)).alias(f"_n{i}"),
+                                                           F.count(parse_datetime(q(c))).alias(f"_p{i}"))]).collect()[0]
+    return {c: row[f"_p{i}"] / max(row[f"_n{i}"], 1) for i, c in enumerate(cols)}
 
 
 def coerce_datetime(df: DataFrame, cols=None, order_by=None, share: float = DATETIME_SHARE):
-    """Parse string columns whose first values look like datetimes; failures -> null."""
+    """Parse string columns whose values are datetimes in > ``share`` of the non-null rows; failures -> null.
+
+    All rows decide, so neither their order (``order_by`` is not used any more) nor a prefix matters."""
     cols = string_columns(df) if cols is None else list(cols)
-    order_by = order_by or [df.columns[0]]
-    sniff = datetime_sniff(df, cols, order_by)
-    chosen = [c for c, s in sniff.items() if s > share]
+    chosen = [c for c, s in datetime_shares(df, cols).items() if s > share]
     out = df.select(*[parse_datetime(q(c)).alias(c) if c in chosen else q(c) for c in df.columns])
     return out, chosen
 
@@ -161,7 +163,9 @@ def detect_datetime_col(df: DataFrame, share: float = NUMERIC_SHARE):
 def monotonic(df: DataFrame, ts: str, order_by, by=()) -> dict:
     """Non-strictly increasing / decreasing in row order; any null -> neither."""
     dtc = parse_datetime(q(ts)) if isinstance(df.schema[ts].dataType, T.StringType) else q(ts)
-    x = df.withColumn("_t", dtc)
+    keys = [k for k in [*order_by, *by] if isinstance(k, str)]
+    x = df.select(*[q(k) for k in dict.fromkeys(keys)], dtc.alias("_t")) if len(keys) == len([*order_by, *by]) \
+        else df.withColumn("_t", dtc)  # only the order keys travel with the timestamp
     s = sequential(x, order_by, {"_prev": lambda w: F.lag("_t", 1).over(w)}, halo=1, by=by)
     row = s.agg(
         F.coalesce(F.bool_and(F.col("_prev").isNull() | (F.col("_t") >= F.col("_prev"))), F.lit(True)).alias("inc"),
@@ -225,13 +229,6 @@ FREQ_BUCKETS = [(3600, "T"), (86400, "H"), (86400 * 4, "D"), (86400 * 10, "W"),
                 (86400 * 35, "M"), (86400 * 100, "Q")]
 
 
-def freq_case(gap_seconds):
-    e = F.lit("A")
-    for limit, name in reversed(FREQ_BUCKETS):
-        e = F.when(gap_seconds < limit, F.lit(name)).otherwise(e)
-    return e
-
-
 def estimate_freq(df: DataFrame, ts: str):
     """Bucket the exact median gap of the sorted timestamps (None if < 2 values)."""
     g = _sorted_gaps(df, ts)
@@ -256,7 +253,7 @@ class TsInfo:
 def ts_summary(df: DataFrame, order_by) -> TsInfo:
     col, _ = detect_datetime_col(df)
     if col is None:
-        return TsInfo(False, None, None, 0, "No datetime column detected.")
+        return TsInfo(False, None, None, 0, "no datetime column")
     # One ordered pass answers all three questions: a monotone series (no nulls)
     # has its sorted-time gaps equal to the row-order differences (negated when
     # decreasing), so the series is sorted once, not once per question.
@@ -279,7 +276,7 @@ def ts_summary(df: DataFrame, order_by) -> TsInfo:
     has_null = st["nn"] < st["n"]
     inc, dec = bool(st["inc"]) and not has_null, bool(st["dec"]) and not has_null
     if not (inc or dec):
-        return TsInfo(False, col, None, 0, f"`{col}` is datetime but not monotonic — may not be a time series.")
+        return TsInfo(False, col, None, 0, f"{col} is not in time order")
     n = int(st["nn"])
     sign = 1.0 if inc else -1.0
     freq = None
@@ -290,7 +287,7 @@ def ts_summary(df: DataFrame, order_by) -> TsInfo:
         med = quantile_dict(s.select((F.col("_d") * sign).alias("gap")), ["gap"], [0.5]).get(("gap", 0.5))
         freq = next((name for limit, name in FREQ_BUCKETS if med < limit), "A") if med is not None else None
     return TsInfo(True, col, freq, n,
-                  f"Time series detected via `{col}`. Frequency: {freq or 'unknown'}, {n} periods.")
+                  f"{n} periods of {freq or 'unknown'} spacing by {col}")
 
 
 def outcome_types(df: DataFrame, cols=None) -> DataFrame:

@@ -117,10 +117,3 @@ def residuals(df: DataFrame, actual: str, predicted: str, keep=(), digits: int =
     return df.select(*[q(k) for k in keep], F.round(q(predicted).cast("double"), digits).alias("predicted"),
                      F.round(q(actual).cast("double"), digits).alias("actual"),
                      F.round(q(actual).cast("double") - q(predicted).cast("double"), digits).alias("residual"))
-
-
-def residual_bins(df: DataFrame, actual: str, predicted: str, bins: int = 40) -> DataFrame:
-    """Binned predicted-vs-actual summary (the data behind the scatter plots at any size)."""
-    from .profile import histogram
-    x = df.withColumn("_res", q(actual).cast("double") - q(predicted).cast("double"))
-    return histogram(x, "_res", bins)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import maybe_broadcast, q
+from ..functions.columns import join_null_safe, maybe_broadcast, q
 from . import metrics as M
 from .order import row_index
 
@@ -94,7 +94,7 @@ def train_test_split(df: DataFrame, order_by, test_size: float = 0.2, label: str
     by = [label] if label else []
     x = row_index(x, ["_h", key], by=by, name="_i")
     sizes = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    x = x.join(maybe_broadcast(sizes.checkpoint()), by) if by else x.withColumn("_n", F.lit(sizes.collect()[0]["_n"]))
+    x = join_null_safe(x, maybe_broadcast(sizes.checkpoint()), by) if by else x.withColumn("_n", F.lit(sizes.collect()[0]["_n"]))
     return x.withColumn("is_train", F.col("_i") >= F.ceil(F.col("_n") * test_size)).drop("_i", "_h", "_n")
 
 
@@ -120,11 +120,13 @@ def rff_columns(features, dim: int = RFF_DIM, gamma: float | None = None, seed:
 def classification_models(n_rows: int, n_classes: int):
     binary = n_classes == 2
     gbt = GBTClassifier(maxIter=GBT_ITERS, maxDepth=6, stepSize=0.1, seed=SEED)
+    svc = LinearSVC(regParam=1.0 / max(n_rows, 1), standardization=False)  # the penalty is on the raw features
     return {
-        "LogisticRegression": LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, maxIter=1000),
+        "LogisticRegression": LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, maxIter=1000,
+                                                 standardization=False),
         "RandomForest": RandomForestClassifier(numTrees=100, seed=SEED),
         "GradientBoosting": gbt if binary else OneVsRest(classifier=gbt),
-        "SVM": LinearSVC(regParam=1.0 / max(n_rows, 1)) if binary else OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n_rows, 1))),
+        "SVM": svc if binary else OneVsRest(classifier=svc),
     }
 
 
@@ -327,8 +329,8 @@ def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name
 
 # ------------------------------------------------------------------ importance / evaluation
 
-def feature_importance(model: PipelineModel, names, top: int = 20) -> DataFrame | None:
-    """Tree importances, else |coefficients| (first class row), sorted desc, top k."""
+def feature_importance(model: PipelineModel, names, top: int | None = None) -> DataFrame | None:
+    """Tree importances, else |coefficients| (first class row), sorted desc: all, or the first ``top``."""
     from pyspark.sql import SparkSession
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):

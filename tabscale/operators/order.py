@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import join_null_safe
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -56,7 +58,7 @@ def row_index(df: DataFrame, order_by, by=(), name: str = "idx", num_partitions=
     if checkpoint:
         summ = summ.checkpoint()
     n = summ.count()
-    out = s.join(_small(summ, n), ["_ri_pid", *by], "inner")
+    out = join_null_safe(s, _small(summ, n), ["_ri_pid", *by])
     return out.withColumn(name, F.col("_ri_off") + F.col("_ri_pos") - F.col("_ri_first")).drop(
         "_mid", "_ri_pid", "_ri_pos", "_ri_first", "_ri_off")
 
@@ -77,7 +79,7 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
                                              T.StructField("_loc", T.DoubleType())])
 
     def local(it):
-        carry = {}
+        carry = (None, None)  # key and last value of the group that the batch before ended in
         for pdf in it:
             if pdf.empty:
                 continue
@@ -87,16 +89,18 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
             if by:
                 grp = pd.Series(w, index=pdf.index).groupby([pdf[c] for c in by], sort=False, dropna=False)
                 loc = (grp.cumsum() if op == "sum" else grp.cummax()).to_numpy()
-                keys_ = (list(zip(*[pdf[c].tolist() for c in by])) if len(by) > 1 else pdf[by[0]].tolist())
-                # continue groups that straddle Arrow batches
-                add = np.array([carry.get(k, fill) for k in keys_])
-                loc = loc + add if op == "sum" else np.maximum(loc, add)
-                for k, v in zip(keys_, loc):
-                    carry[k] = v
+                # rows are sorted by group: only the first group can go on from the batch before
+                ends = [tuple(None if pd.isna(v) else v for v in pdf[by].iloc[i].tolist()) for i in (0, -1)]
+                if carry[0] == ends[0]:
+                    same = np.ones(len(pdf), bool)
+                    for c, v in zip(by, ends[0]):
+                        same &= (pdf[c].isna() if v is None else pdf[c] == v).to_numpy()
+                    loc[same] = loc[same] + carry[1] if op == "sum" else np.maximum(loc[same], carry[1])
+                carry = (ends[1], loc[-1])
             else:
-                loc = (np.cumsum(w) + carry.get(None, 0.0) if op == "sum"
-                       else np.maximum(np.maximum.accumulate(w), carry.get(None, -np.inf)))
-                carry[None] = loc[-1]
+                before = fill if carry[1] is None else carry[1]
+                loc = np.cumsum(w) + before if op == "sum" else np.maximum(np.maximum.accumulate(w), before)
+                carry = (None, loc[-1])
             pdf = pdf.assign(_pid=pid, _loc=loc)
             yield pdf
 
@@ -111,7 +115,7 @@ def prefix_sum(df: DataFrame, order_by, weight: str, by=(), name: str = "cum",
     if checkpoint:
         summ = summ.checkpoint()
     n = summ.count()
-    out = loc.join(_small(summ, n), ["_pid", *by], "inner")
+    out = join_null_safe(loc, _small(summ, n), ["_pid", *by])
     val = (F.coalesce(F.col("_off"), F.lit(0.0)) + F.col("_loc") if op == "sum"
            else F.greatest(F.col("_off"), F.col("_loc")))
     return out.withColumn(name, val).drop("_mid", "_pid", "_loc", "_off")
@@ -129,7 +133,7 @@ def midrank(df: DataFrame, value: str, by=(), name: str = "rank") -> DataFrame:
     cnt = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_t"))
     cum = prefix_sum(cnt, [value], "_t", by=by, name="_cum")
     ranks = cum.select(*by, value, (F.col("_cum") - F.col("_t") + (F.col("_t") + 1) / 2.0).alias(name))
-    return x.join(ranks, [*by, value], "inner")
+    return join_null_safe(x, ranks, [*by, value])
 
 
 def value_ranks(df: DataFrame, value: str, by=(), weight_cols=()) -> DataFrame:
@@ -180,8 +184,9 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
             pdf = pdf.assign(_pid=(pdf["_mid"].to_numpy() >> 33).astype("int64"), _prev=np.nan, _next=np.nan)
             if pend is not None:
                 pdf = pd.concat([pend, pdf], ignore_index=True)
-            gk = (pd.Series(list(zip(*[pdf[b] for b in by])), index=pdf.index) if len(by) > 1
-                  else (pdf[by[0]] if by else pd.Series(0, index=pdf.index)))
+            # null keys are a group of their own
+            gk = pd.Series(list(zip(*[pdf[b].astype(object).where(pdf[b].notna(), "\0null") for b in by])) if by else [0] * len(pdf),
+                           index=pdf.index)
             rr = pdf["_r"]
             prev = rr.groupby(gk).ffill()
             carry_in = gk.map(lambda g: last.get(g, np.nan))
@@ -207,14 +212,17 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     carry = summ.select("_pid", *by, F.max("_mx").over(w_before).alias("_cprev"),
                         F.min("_mn").over(w_after).alias("_cnext")).checkpoint()
     n = carry.count()
-    out = s.join(_small(carry, n), ["_pid", *by], "left")
+    out = join_null_safe(s, _small(carry, n), ["_pid", *by], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_cprev"))
     nxt = F.coalesce(F.col("_next"), F.col("_cnext"))
     dp, dn = F.col("_x") - prev, nxt - F.col("_x")
     nearest = (F.when(prev.isNull(), nxt).when(nxt.isNull(), prev)
                .when(dp <= dn, prev).otherwise(nxt))
-    return out.select(*[F.col(c) for c in lcols], nearest.alias("nearest"),
-                      F.abs(F.col("_x") - nearest).alias("distance"))
+    found = out.select(*[F.col(c) for c in lcols], nearest.alias("nearest"), F.abs(F.col("_x") - nearest).alias("distance"))
+    # a left row without a value has no nearest one but stays
+    none = F.lit(None).cast("double")
+    return found.unionByName(left.filter(F.col(on).cast("double").isNull()).select(
+        *[F.col(c) for c in lcols], none.alias("nearest"), none.alias("distance")))
 
 
 def sample_per_group(df: DataFrame, n: int, by=(), id_col: str = "id", seed: int = 42,
@@ -238,7 +246,7 @@ def sample_per_group(df: DataFrame, n: int, by=(), id_col: str = "id", seed: int
     sizes = sizes.withColumn("_thr", thr).checkpoint()
     ng = sizes.count()
     if by:
-        cand = x.join(_small(sizes, ng), by, "inner")
+        cand = join_null_safe(x, _small(sizes, ng), by)
     else:
         one = sizes.collect()[0]
         cand = x.withColumn("_size", F.lit(one["_size"])).withColumn("_thr", F.lit(one["_thr"]).cast("double"))
@@ -248,7 +256,7 @@ def sample_per_group(df: DataFrame, n: int, by=(), id_col: str = "id", seed: int
     picked = picked.checkpoint()
     got = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("_got"))
     if by:
-        short = sizes.join(got, by, "left").filter(
+        short = join_null_safe(sizes, got, by, "left").filter(
             F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_size"), F.lit(n)))
         redo_needed = short.limit(1).count() > 0
     else:
@@ -257,9 +265,9 @@ def sample_per_group(df: DataFrame, n: int, by=(), id_col: str = "id", seed: int
         short = None
     if redo_needed:
         redo_keys = short.select(*by) if by else None
-        redo = x.join(redo_keys, by, "left_semi") if by else x
+        redo = join_null_safe(x, redo_keys, by, "left_semi") if by else x
         w2 = Window.partitionBy(*by).orderBy(name, id_col)
         redo = redo.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n)
-        keep = picked.join(redo_keys, by, "left_anti") if by else picked.limit(0)
+        keep = join_null_safe(picked, redo_keys, by, "left_anti") if by else picked.limit(0)
         picked = keep.drop("_size", "_thr").unionByName(redo)
     return picked.drop("_size", "_thr", "_rn")

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import chunks, dtype_name, is_numeric, maybe_broadcast, numeric_columns, q
+from ..functions.columns import (chunks, dtype_name, is_numeric, join_null_safe, maybe_broadcast, nan_to_null,
+                                 numeric_columns, q)
 from ..functions.moments import kurt_g2, pairwise_corr, skew_g1
 from ..functions.quantiles import exact_quantiles, quantile_dict
 
-MAX_OVERVIEW_COLS = 30
 DESCRIBE_CHUNK = 12         # columns per (two-scan) quantile + moments pass
 HIGH_NULL_PCT = 20.0
 HIGH_CORR = 0.95
@@ -26,7 +26,8 @@ def _long(df, items):
 
 
 def describe_numeric(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max, skew G1, kurtosis G2 per numeric column."""
+    """count, mean, std (n-1), min, 25/50/75 %, max, skew G1, kurtosis G2 per numeric column (NaN is missing)."""
+    df = nan_to_null(df)
     cols = numeric_columns(df) if cols is None else list(cols)
     spark = df.sparkSession
     parts, qd = [], {}
@@ -90,9 +91,10 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, position int, n_rows long, n_cols int")
 
 
-def column_overview(df: DataFrame, max_cols: int = MAX_OVERVIEW_COLS, digits: int = 6) -> DataFrame:
-    """First ``max_cols`` columns: dtype, null %, distinct, numeric stats or top-3 values."""
+def column_overview(df: DataFrame, max_cols: int | None = None, digits: int = 6) -> DataFrame:
+    """All columns (or the first ``max_cols``): dtype, null %, distinct, numeric stats or top-3 values."""
     from .detect import distinct_counts
+    df = nan_to_null(df)
     cols = df.columns[:max_cols]
     spark = df.sparkSession
     num = [c for c in cols if is_numeric(df.schema[c].dataType)]
@@ -129,6 +131,7 @@ def corr_long(df: DataFrame, cols=None, digits: int = 6, means=None) -> DataFram
     """Pairwise-complete Pearson r for every pair i < j (schema order): (col_a, col_b, i, j, r).
 
     Two scans for any width (``pairwise_corr``), not one aggregate per chunk of pairs."""
+    df = nan_to_null(df)
     cols = numeric_columns(df) if cols is None else list(cols)
     r = pairwise_corr(df, cols, means)
     rows = [(cols[i], cols[j], i, j, None if v is None else round(float(v), digits))
@@ -136,10 +139,10 @@ def corr_long(df: DataFrame, cols=None, digits: int = 6, means=None) -> DataFram
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, i int, j int, r double")
 
 
-def high_corr_pairs(df: DataFrame, cols=None, threshold: float = HIGH_CORR, limit: int = 5) -> DataFrame:
-    """Pairs with |r| > threshold, first ``limit`` in (later column, earlier column) order."""
-    c = corr_long(df, cols)
-    return (c.filter(F.abs("r") > threshold).orderBy("j", "i").limit(limit)
+def high_corr_pairs(df: DataFrame, cols=None, threshold: float = HIGH_CORR, limit: int | None = None) -> DataFrame:
+    """Pairs with |r| > threshold in (later column, earlier column) order: all, or the first ``limit``."""
+    c = corr_long(df, cols).filter(F.abs("r") > threshold).orderBy("j", "i")
+    return ((c if limit is None else c.limit(limit))
             .select("col_a", "col_b", F.round(F.abs("r"), 6).alias("abs_r")))
 
 
@@ -150,8 +153,11 @@ def flag_high_null(df: DataFrame, pct: float = HIGH_NULL_PCT) -> DataFrame:
 
 def flag_zero_variance(df: DataFrame, cols=None) -> DataFrame:
     cols = numeric_columns(df) if cols is None else list(cols)
-    row = df.agg(*[F.stddev_samp(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
-    rows = [(c,) for i, c in enumerate(cols) if row[f"s{i}"] is not None and row[f"s{i}"] == 0]
+    df = nan_to_null(df)
+    # one value in at least two rows; a merged deviation of a constant need not be exactly 0
+    row = df.agg(*[a for i, c in enumerate(cols) for a in (F.min(q(c)).alias(f"a{i}"), F.max(q(c)).alias(f"b{i}"),
+                                                           F.count(q(c)).alias(f"n{i}"))]).collect()[0] if cols else {}
+    rows = [(c,) for i, c in enumerate(cols) if row[f"n{i}"] > 1 and row[f"a{i}"] == row[f"b{i}"]]
     return df.sparkSession.createDataFrame(rows, "column string")
 
 
@@ -182,20 +188,20 @@ def flag_issues(df: DataFrame, target: str | None = None, task_type: str | None
     rows = []
     for r in flag_high_null(df).collect():
         rows.append(("high_null", r["column"], float(r["null_pct"]),
-                     f"**{r['column']}** has {r['null_pct']:.1f}% missing values."))
+                     f"{r['null_pct']:.1f} % of {r['column']} is missing"))
     num = numeric_columns(df)
     if len(num) > 1:
         for r in high_corr_pairs(df, num).collect():
             rows.append(("high_corr", f"{r['col_b']}|{r['col_a']}", float(r["abs_r"]),
-                         f"**{r['col_b']}** and **{r['col_a']}** are {r['abs_r']:.2f} correlated — consider dropping one."))
+                         f"|r| of {r['col_a']} with {r['col_b']} is {r['abs_r']:.2f}"))
     if task_type == "classification" and target and target in df.columns:
         for r in flag_class_imbalance(df, target).collect():
             if r["severity"] != "none":
                 rows.append(("class_imbalance", target, float(r["minority_pct"]),
-                             f"{r['severity'].capitalize()} class imbalance: minority class is {r['minority_pct']:.1f}%."))
+                             f"rarest class has {r['minority_pct']:.1f} % of the rows ({r['severity']})"))
     for r in flag_zero_variance(df, num).collect():
         rows.append(("zero_variance", r["column"], 0.0,
-                     f"**{r['column']}** has zero variance — will be dropped in feature engineering."))
+                     f"{r['column']} holds one value only"))
     return spark.createDataFrame(rows, "kind string, column string, value double, message string")
 
 
@@ -211,7 +217,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by=(), digits: int = 6) -
     mm = t.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     # one row per group; a proven-small side is broadcast, else joined by shuffle
     if by:
-        j = t.join(maybe_broadcast(mm.checkpoint()), by, "inner")
+        j = join_null_safe(t, maybe_broadcast(mm.checkpoint()), by)
     else:
         r = mm.collect()[0]
         j = t.withColumn("_lo", F.lit(r["_lo"]).cast("double")).withColumn("_hi", F.lit(r["_hi"]).cast("double"))
@@ -230,8 +236,8 @@ def target_distribution(df: DataFrame, target: str, task_type: str, bins: int =
 
 
 def ts_line(df: DataFrame, ts: str, cols, every: str = "1 day", digits: int = 6) -> DataFrame:
-    """Downsampled series: per time bucket n and avg / min / max of up to 4 numeric columns."""
-    cols = list(cols)[:4]
+    """Downsampled series: per time bucket n and avg / min / max of each given column."""
+    cols = list(cols)
     aggs = [F.count(F.lit(1)).cast("long").alias("n")]
     for c in cols:
         x = q(c).cast("double")
@@ -251,7 +257,7 @@ def box_stats(df: DataFrame, value: str, by=(), factor: float = 1.5, digits: int
     hi = F.col("q3") + factor * (F.col("q3") - F.col("q1"))
     x = q(value).cast("double")
     if by:
-        j = df.filter(x.isNotNull()).join(maybe_broadcast(wide.checkpoint()), by, "inner")
+        j = join_null_safe(df.filter(x.isNotNull()), maybe_broadcast(wide.checkpoint()), by)
     else:
         r = wide.collect()[0]
         j = df.filter(x.isNotNull()).select("*", *[F.lit(r[c]).cast("double").alias(c) for c in ("q1", "median", "q3")])

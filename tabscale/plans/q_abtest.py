@@ -10,6 +10,23 @@ CONT = X.SQL_FX_AB_CONT
 BIN = X.SQL_FX_AB_BIN
 Z = 1.959963984540054  # z_{0.975}, as computed by the operator for alpha = 0.05
 
+
+
+def _phi(x):
+    """Normal CDF in SQL by its odd power series (|x| cut at 8, where it is 0 or 1 to 15 digits)."""
+    x = f"greatest(-8.0, least(8.0, {x}))"
+    return (f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), "
+            f"lambda k: pow({x}, 2 * k + 1) * exp(k * ln(2.0) + lgamma(k + 1.0) - lgamma(2.0 * k + 2)))))")
+
+
+def _t_sf2(t, df):
+    """Two-sided t p-value in SQL: Simpson's rule on the density over [0, |t|]."""
+    n = 4000
+    f = f"pow(1 + pow(abs({t}) * k / {n}, 2) / ({df}), -(({df}) + 1) / 2)"
+    return (f"greatest(0.0, 1 - 2 * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * abs({t}) / {3 * n} * "
+            f"list_sum(list_transform(range(0, {n + 1}), lambda k: (CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {f})))")
+
+
 _ROWS = """rows_ AS (SELECT {g}
     count(*) FILTER (WHERE arm = 'click') AS n_c, count(*) FILTER (WHERE arm = 'view') AS n_t,
     avg(outcome) FILTER (WHERE arm = 'click') AS mean_c, avg(outcome) FILTER (WHERE arm = 'view') AS mean_t,
@@ -30,18 +47,20 @@ def q_ab_group_stats(spark, d):
 
 
 @register("ab_welch_t", X.with_ctes(
-    """SELECT segment, n_c, n_t, round((mean_c - mean_t) / sqrt(var_c / n_c + var_t / n_t), 6) AS t,
-       round(pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)), 6) AS df
-    FROM rows_""", CONT, _rows("segment")))
+    f"""SELECT segment, n_c, n_t, round(t, 6) AS t, round(df, 6) AS df, round({_t_sf2("t", "df")}, 6) AS p_value FROM (
+       SELECT segment, n_c, n_t, (mean_c - mean_t) / sqrt(var_c / n_c + var_t / n_t) AS t,
+       pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)) AS df
+    FROM rows_)""", CONT, _rows("segment")))
 def q_ab_welch_t(spark, d):
-    return A.welch_t(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_p=False)
+    return A.welch_t(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"])
 
 
 @register("ab_mann_whitney", X.with_ctes(
-    """SELECT s.segment, n_c, n_t, round(r_c - n_c * (n_c + 1) / 2.0, 6) AS u_stat,
-       round((greatest(r_c - n_c * (n_c + 1) / 2.0, n_c * n_t - (r_c - n_c * (n_c + 1) / 2.0)) - n_c * n_t / 2.0 - 0.5)
-             / sqrt(n_c * n_t / 12.0 * ((n_c + n_t + 1) - ties / ((n_c + n_t) * (n_c + n_t - 1.0)))), 6) AS z
-    FROM s JOIN ties USING (segment)""", CONT,
+    f"""SELECT segment, n_c, n_t, u_stat, round(z, 6) AS z, round(least(1.0, 2 * (1 - {_phi("z")})), 6) AS p_value FROM (
+       SELECT s.segment, n_c, n_t, round(r_c - n_c * (n_c + 1) / 2.0, 6) AS u_stat,
+       (greatest(r_c - n_c * (n_c + 1) / 2.0, n_c * n_t - (r_c - n_c * (n_c + 1) / 2.0)) - n_c * n_t / 2.0 - 0.5)
+             / sqrt(n_c * n_t / 12.0 * ((n_c + n_t + 1) - ties / ((n_c + n_t) * (n_c + n_t - 1.0)))) AS z
+    FROM s JOIN ties USING (segment))""", CONT,
     """ranked AS (SELECT segment, arm, outcome,
         rank() OVER (PARTITION BY segment ORDER BY outcome) + (count(*) OVER (PARTITION BY segment, outcome) - 1) / 2.0 AS mr
       FROM fx_ab_cont WHERE outcome IS NOT NULL)""",
@@ -51,7 +70,7 @@ def q_ab_welch_t(spark, d):
         CAST(count(*) FILTER (WHERE arm = 'click') AS BIGINT) AS n_c,
         CAST(count(*) FILTER (WHERE arm = 'view') AS BIGINT) AS n_t FROM ranked GROUP BY 1)"""))
 def q_ab_mann_whitney(spark, d):
-    return A.mann_whitney(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_p=False)
+    return A.mann_whitney(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"])
 
 
 _D = ("CASE WHEN sqrt(((n_c - 1) * var_c + (n_t - 1) * var_t) / (n_c + n_t - 2)) > 0 THEN (mean_t - mean_c) / "
@@ -74,10 +93,11 @@ def q_ab_mean_ci(spark, d):
 
 
 @register("ab_power_continuous", X.with_ctes(
-    f"SELECT segment, round({Z} - abs({_D}) * sqrt(n_c * n_t / (n_c + n_t)), 6) AS power_arg FROM rows_",
+    f"""SELECT segment, round(a, 6) AS power_arg, round(1 - {_phi("a")}, 6) AS power
+    FROM (SELECT segment, {Z} - abs({_D}) * sqrt(n_c * n_t / (n_c + n_t)) AS a FROM rows_)""",
     CONT, _rows("segment")))
 def q_ab_power_continuous(spark, d):
-    return A.power_continuous(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"], with_power=False)
+    return A.power_continuous(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"])
 
 
 _CT = """ct AS (SELECT a.arm, o.outcome, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count
@@ -89,7 +109,7 @@ _CT = """ct AS (SELECT a.arm, o.outcome, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS c
 
 @register("ab_contingency", X.with_ctes("SELECT * FROM ct", BIN, _CT))
 def q_ab_contingency(spark, d):
-    return A.contingency(X.fx_ab_bin(spark, d), "arm", "outcome")
+    return A.contingency(X.fx_ab_bin(spark, d), "arm", "outcome", zero_cells=True)
 
 
 _CHI = """chi AS (SELECT sum(dv * dv / e) AS chi2, CAST((max(nr) - 1) * (max(nc) - 1) AS BIGINT) AS dof, max(n) AS n,
@@ -102,12 +122,12 @@ _CHI = """chi AS (SELECT sum(dv * dv / e) AS chi2, CAST((max(nr) - 1) * (max(nc)
 
 
 @register("ab_chi_square", X.with_ctes(
-    """SELECT round(chi2, 6) AS chi2, dof, round(sqrt(chi2 / (n * (k - 1))), 6) AS cramers_v,
+    f"""SELECT round(chi2, 6) AS chi2, dof, round(2 * (1 - {_phi("sqrt(chi2)")}), 6) AS p_value, round(sqrt(chi2 / (n * (k - 1))), 6) AS cramers_v,
        CASE WHEN sqrt(chi2 / (n * (k - 1))) < 0.1 THEN 'negligible' WHEN sqrt(chi2 / (n * (k - 1))) < 0.3 THEN 'small'
             WHEN sqrt(chi2 / (n * (k - 1))) < 0.5 THEN 'medium' ELSE 'large' END AS interpretation FROM chi""",
     BIN, _CT, _CHI))
 def q_ab_chi_square(spark, d):
-    return A.chi_square(X.fx_ab_bin(spark, d), "arm", "outcome", with_p=False)
+    return A.chi_square(X.fx_ab_bin(spark, d), "arm", "outcome")  # two by two: one degree of freedom
 
 
 @register("ab_cramers_v", X.with_ctes("SELECT round(sqrt(chi2 / (n * (k - 1))), 6) AS cramers_v FROM chi", BIN, _CT, _CHI))
@@ -136,14 +156,22 @@ def q_ab_conversion(spark, d):
 @register("ab_rate_ci_power", X.with_ctes(
     f"""SELECT round({_RT} - {_RC} - 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 6) AS ci_low,
        round({_RT} - {_RC} + 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 6) AS ci_high,
-       round(CASE WHEN {_SE0} > 0 THEN ({_RT} - {_RC}) / {_SE0} ELSE 0.0 END, 6) AS z_pooled FROM cv""", BIN, _CONV))
+       round(CASE WHEN {_SE0} > 0 THEN ({_RT} - {_RC}) / {_SE0} ELSE 0.0 END, 6) AS z_pooled,
+       round({_phi(f"abs(CASE WHEN {_SE0} > 0 THEN ({_RT} - {_RC}) / {_SE0} ELSE 0.0 END) - {Z}")}, 6) AS power FROM cv""", BIN, _CONV))
 def q_ab_rate_ci_power(spark, d):
-    return A.conversion(X.fx_ab_bin(spark, d), "arm", "outcome", with_power=False).select("ci_low", "ci_high", "z_pooled")
+    return A.conversion(X.fx_ab_bin(spark, d), "arm", "outcome").select("ci_low", "ci_high", "z_pooled", "power")
 
 
-@register("ab_normality_gate")
+@register("ab_normality_gate", X.with_ctes(
+    """SELECT segment, max(p) FILTER (WHERE arm = 'click') AS p_control, max(p) FILTER (WHERE arm = 'view') AS p_treatment,
+       bool_and(p0 > 0.05) AS normal
+    FROM (SELECT segment, arm, p0, round(p0, 6) AS p FROM (
+       SELECT segment, arm, exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) AS p0 FROM (
+         SELECT segment, arm, count(*) AS n, avg(pow(y - m, 2)) AS m2, avg(pow(y - m, 3)) AS m3, avg(pow(y - m, 4)) AS m4 FROM (
+           SELECT segment, arm, outcome AS y, avg(outcome) OVER (PARTITION BY segment, arm) AS m
+           FROM fx_ab_cont WHERE outcome IS NOT NULL) GROUP BY 1, 2))) GROUP BY segment""", CONT))
 def q_ab_normality_gate(spark, d):
-    return A.normality_gate(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id", by=["segment"])
+    return A.normality_gate(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"])
 
 
 @register("ab_test")

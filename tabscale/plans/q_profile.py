@@ -146,13 +146,13 @@ def q_flag_class_imbalance(spark, d):
 
 @register("flag_issues", _w(
     f"""SELECT 'high_null' AS kind, {COL}, null_pct AS value,
-       printf('**%s** has %.1f%% missing values.', {COL}, null_pct) AS message FROM ({_NULLPCT}) WHERE null_pct > 20
+       printf('%.1f %% of %s is missing', null_pct, {COL}) AS message FROM ({_NULLPCT}) WHERE null_pct > 20
     UNION ALL
     SELECT 'high_corr', col_b || '|' || col_a, round(abs(r), 6),
-       printf('**%s** and **%s** are %.2f correlated — consider dropping one.', col_b, col_a, round(abs(r), 6))
-    FROM (SELECT * FROM ({_CORR}) WHERE abs(r) > 0.95 ORDER BY j, i LIMIT 5)
+       printf('|r| of %s with %s is %.2f', col_a, col_b, round(abs(r), 6))
+    FROM (SELECT * FROM ({_CORR}) WHERE abs(r) > 0.95)
     UNION ALL
-    SELECT 'zero_variance', {COL}, 0.0, printf('**%s** has zero variance — will be dropped in feature engineering.', {COL})
+    SELECT 'zero_variance', {COL}, 0.0, printf('%s holds one value only', {COL})
     FROM (""" + union_all([f"SELECT '{c}' AS {COL}, stddev_samp({c}) AS s FROM fx_dirty" for c in NUM]) + ") WHERE s = 0"))
 def q_flag_issues(spark, d):
     return P.flag_issues(X.fx_dirty(spark, d))

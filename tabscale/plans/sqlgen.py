@@ -5,7 +5,3 @@ from __future__ import annotations
 
 def union_all(parts) -> str:
     return "\nUNION ALL\n".join(parts)
-
-
-def clip_expr(col: str, lo: str, hi: str) -> str:
-    return f"CASE WHEN {col} IS NULL THEN NULL ELSE LEAST(GREATEST({col}, {lo}), {hi}) END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,7 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "tabsca
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TABSCALE_DRIVER_MEMORY", "16g"))
     )
     spark = b.getOrCreate()
@@ -34,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The cluster's ``spark.checkpoint.dir`` always wins; a private folder is
-    created only when the setting is absent (local tests).
+    created only when the setting is absent and the master is local (tests).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tabscale-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -51,3 +55,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for tables we write."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tabscale-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers (a zip through ``addPyFile``), once per application.
+
+    Workers do not share the driver's ``sys.path``; a job submitted with ``--py-files`` has the same effect."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(root)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tabscale-ship-")), "tabscale.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), top))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

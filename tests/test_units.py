@@ -93,13 +93,13 @@ def test_outlier_summary_without_numeric_columns(spark):
 
 
 def test_load_table_rejects_unknown_extension(spark):
-    with pytest.raises(ValueError, match="Unsupported file type"):
+    with pytest.raises(ValueError, match="cannot read .xlsx"):
         R.load_table(spark, "/tmp/whatever.xlsx")
 
 
 def test_ab_requires_two_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "t string, y double")
-    with pytest.raises(ValueError, match="exactly 2 groups"):
+    with pytest.raises(ValueError, match="needs two values"):
         A.arms(df, "t")
 
 
@@ -115,7 +115,7 @@ def test_mann_whitney_small_exact_and_ties(spark):
 
 def test_causal_errors(spark):
     df = spark.createDataFrame([(1, 1, 2.0)], "id int, t int, y double")
-    with pytest.raises(ValueError, match="binary"):
+    with pytest.raises(ValueError, match="needs two values"):
         K.treatment_flag(df, "t")
     with pytest.raises(ValueError, match="covariate"):
         K.covariate_matrix(df, [])
