@@ -143,13 +143,42 @@ def test_psm_equals_serial_greedy_and_invariants(spark):
     pairs = K.psm_match(df, "id").toPandas()
     ref = _brute_greedy(pdf.rename(columns={"id": "_id"}).assign(_rank=pdf.id))
     assert dict(zip(pairs.t_id, pairs.c_id)) == ref
-    # blocked path: every control used once, min(n_t, n_c) pairs, disjoint support handled
-    small = K.psm_match(df, "id", block_rows=50).toPandas()
-    assert small.c_id.is_unique and small.t_id.is_unique
-    assert len(small) == min((pdf._T == 1).sum(), (pdf._T == 0).sum())
-    disjoint = pdf.assign(_ps=np.where(pdf._T == 1, 0.9 + pdf._ps / 10, pdf._ps / 10))
-    d = K.psm_match(spark.createDataFrame(disjoint), "id", block_rows=60).toPandas()
-    assert len(d) == min((pdf._T == 1).sum(), (pdf._T == 0).sum()) and d.c_id.is_unique
+
+
+@pytest.mark.parametrize("shape", ["surplus", "balanced", "short", "disjoint", "ties"])
+def test_psm_pairs_do_not_depend_on_the_packing(spark, shape):
+    rng = np.random.RandomState(11)
+    n = 2000
+    t = (rng.rand(n) < {"surplus": 0.15, "short": 0.7}.get(shape, 0.45 if shape != "disjoint" else 0.2)).astype(int)
+    ps = rng.beta(2, 3, n) + 0.05 * t
+    if shape == "ties":
+        ps = np.round(ps, 2)
+    if shape == "disjoint":
+        ps = np.where(t == 1, 2 + ps, ps)
+    pdf = pd.DataFrame({"id": np.arange(n), "_T": t, "_ps": ps})
+    ref = _brute_greedy(pdf.rename(columns={"id": "_id"}).assign(_rank=pdf.id))
+    df = spark.createDataFrame(pdf)
+    for rows in (1, 200, 2_000_000) if shape == "surplus" else (200,):
+        pairs = K.psm_match(df, "id", block_rows=rows).toPandas()
+        assert dict(zip(pairs.t_id, pairs.c_id)) == ref
+        if shape == "surplus" and rows == 1:  # no group holds the table
+            assert pairs.block.nunique() > 20
+            assert pairs.groupby("block").size().max() < len(pairs) / 2
+
+
+def test_psm_within_keys_and_null_scores(spark):
+    rng = np.random.RandomState(12)
+    n = 600
+    pdf = pd.DataFrame({"id": np.arange(n), "_T": (rng.rand(n) < 0.3).astype(int), "_ps": rng.rand(n),
+                        "g": np.where(rng.rand(n) < 0.3, None, np.where(rng.rand(n) < 0.5, "a", "b"))})
+    pdf.loc[::50, "_ps"] = np.nan
+    df = spark.createDataFrame(pdf, "id long, _T int, _ps double, g string")
+    df = df.withColumn("_ps", F.nanvl("_ps", F.lit(None).cast("double")))
+    pairs = K.psm_match(df, "id", block_rows=20, block_by=["g"]).toPandas()
+    want = {}
+    for _, part in pdf[pdf._ps.notna()].groupby("g", dropna=False):
+        want.update(_brute_greedy(part.rename(columns={"id": "_id"}).assign(_rank=part.id)))
+    assert dict(zip(pairs.t_id, pairs.c_id)) == want
 
 
 def test_bootstrap_se_close_to_analytic(spark):
