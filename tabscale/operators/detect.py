@@ -17,22 +17,23 @@ from .sequence import sequential
 # (pandas ``to_numeric`` rejects forms such as '1d' that a Spark cast accepts).
 NUMERIC_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Datetime layouts tried, in order, when parsing strings.
+# Datetime layouts tried, in order, when parsing strings; a value is parsed
+# only by the layouts whose shape it has.
 DATETIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "dd-MMM-yyyy",
-    "yyyyMMdd",
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{1,6}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d\d-\d\d \d\d:\d\d$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d\d/\d\d$"),
+    ("MM/dd/yyyy", r"^\d\d/\d\d/\d{4}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d\d/\d\d \d\d:\d\d:\d\d$"),
+    ("MM/dd/yyyy HH:mm:ss", r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$"),
+    ("MM/dd/yyyy HH:mm", r"^\d\d/\d\d/\d{4} \d\d:\d\d$"),
+    ("dd-MMM-yyyy", r"^\d\d-[A-Za-z]{3}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
 ]
 
 NUMERIC_SHARE = 0.8      # coerce a string column when > 80 % of rows parse as numbers
@@ -47,7 +48,8 @@ def parse_number(c):
 
 def parse_datetime(c):
     s = c.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    parsed = F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f))) for f, shape in DATETIME_FORMATS])
+    return F.when(s.rlike(r"^\d"), parsed).cast("timestamp_ntz")
 
 
 def numeric_shares(df: DataFrame, cols=None) -> dict:
