@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = materialise(base.select(
         F.octet_length("_norm").alias("_len"),
         F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix")), "exact-narrow")
-    lengths = narrow.groupBy("_len").count().where("count > 1").select("_len")
+    lengths = materialise(narrow.groupBy("_len").count().where("count > 1").select("_len"), "exact-lengths")
     prefixes = (narrow.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().where("count > 1"))
     slots = prefixes.select(_slot().alias("_slot")).distinct().withColumn("_hit", F.lit(True))
 
