@@ -6,8 +6,9 @@ one final aggregation buffer, which does not survive 100 TB. Here:
 1. one wide aggregate computes ``count`` and a ``percentile_approx`` bracket
    [a, b] around every requested rank (rank error <= n/accuracy, so a margin
    of a few 1/accuracy steps contains the true order statistics);
-2. one scan emits, per (column, prob), only values inside the bracket plus a
-   "below" marker, and counts them by value (map-side combined);
+2. one wide aggregate counts the values below every bracket, and a filtered
+   scan emits only the values inside one (about 0.1 % of the rows unless values
+   repeat), counted by value with map-side combining;
 3. a cumulative count over the few bracket values per (group, column, prob)
    picks the exact order statistics ranks floor(p(n-1)) and the next one, and
    interpolates like pandas / DuckDB ``quantile_cont`` / Spark ``percentile``.
@@ -53,6 +54,15 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = 10000,
         margin = min(margin * 16, float(accuracy))
 
 
+def _bracket_rows(src, by, inside, items):
+    """(by..., _k, _n, _v): one row per value inside a bracket; a row outside all of them is filtered before the explode."""
+    hit = inside[0]
+    for c in inside[1:]:
+        hit = hit | c
+    rows = src.filter(hit).select(*by, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("_s"))
+    return rows.select(*by, "_s._k", "_s._n", "_s._v")
+
+
 def _exact_pass(df, cols, probs, by, accuracy, margin, extra=(), local=False):
     pairs = _pairs(cols, probs)
     lo_p = [max(0.0, p - margin / accuracy) for p in probs]
@@ -103,15 +113,21 @@ def _exact_pass(df, cols, probs, by, accuracy, margin, extra=(), local=False):
         max_n = max(int(row[f"_n{i}"]) for i in range(len(cols)))
         src = df
 
-    items = []
+    inside, items, below = [], [], []
     for k, (i, c, j, p) in enumerate(pairs):
         x = q(c).cast("double")
-        keep = x.isNotNull() & (hi[(i, j)].isNull() | (x <= hi[(i, j)]))
-        v = F.when(lo[(i, j)].isNull() | (x >= lo[(i, j)]), x)
-        items.append(F.when(keep, F.struct(F.lit(k).alias("_k"), n[i].alias("_n"), v.alias("_v"))))
-    exploded = src.select(*by, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("_s"))
-    counted = (exploded.select(*by, "_s._k", "_s._n", "_s._v")
-               .groupBy(*by, "_k", "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
+        under = x < lo[(i, j)]  # null where the bracket is open below
+        keep = x.isNotNull() & F.coalesce(x <= hi[(i, j)], F.lit(True)) & ~F.coalesce(under, F.lit(False))
+        inside.append(keep)
+        items.append(F.when(keep, F.struct(F.lit(k).alias("_k"), n[i].alias("_n"), x.alias("_v"))))
+        below.append((F.count_if(under).alias(f"_u{k}"), F.max(n[i]).alias(f"_t{k}")))
+    counted = _bracket_rows(src, by, inside, items).groupBy(*by, "_k", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if not full:
+        under = src.groupBy(*by).agg(*[e for pair in below for e in pair])
+        under = under.select(*by, F.inline(F.array(*[
+            F.struct(F.lit(k).alias("_k"), F.col(f"_t{k}").alias("_n"), F.lit(None).cast("double").alias("_v"),
+                     F.col(f"_u{k}").alias("_c")) for k in range(len(pairs))])))
+        counted = counted.unionByName(under.filter(F.col("_c") > 0))
     # a bracket spans ~ (2 margin + 2) n / accuracy ranks; while that is small, one
     # window task per (group, column, prob) sorts it; beyond, the running count
     # is a distributed prefix sum over range partitions of (group, prob, value)
