@@ -9,9 +9,14 @@ candidate distance is <= R has its exact answer. Every recipient carries its
 own grid level (cell = r0 * 2^level): an unresolved one moves to the level
 whose cell covers its own k-th candidate distance (an upper bound on the
 true one), so it is resolved in the next round without widening the search
-of the others; with too few candidates it moves up two levels. The top
-level (cell spanning the data) is exhaustive. Distance ties go to the
-smaller donor id.
+of the others; with too few candidates it moves up. The top level (cell
+spanning the data) is exhaustive. Distance ties go to the smaller donor id.
+
+Cells that hold many donors are halved, again and again where needed, from
+grouped counts: a recipient in one starts at the level (below 0) at which its
+own cell holds at most ``CELL_DONORS`` times k donors, so its candidates stay
+near that number wherever the donors crowd. The few recipients are copied to
+their nine cells; every donor is placed once per level in use.
 """
 
 from __future__ import annotations
@@ -24,8 +29,45 @@ from pyspark.sql import functions as F
 from ..functions.columns import numeric_columns, q
 
 
-def _shift_expr(base):
-    return lambda o: base + o
+CELL_DONORS = 16  # a cell with more donors than this times k is halved
+
+
+def _cells(grid, origin, r0: float, base: float):
+    """Cell numbers of the grid coordinates at the row's ``_lvl``."""
+    size = F.lit(r0) * F.pow(F.lit(base), F.col("_lvl"))
+    return [F.floor((q(g) - F.lit(origin[g])) / size).cast("long").alias(f"_c{i}") for i, g in enumerate(grid)]
+
+
+def _start_levels(rec: DataFrame, don: DataFrame, grid, origin, r0, base, lowest: int, limit: int) -> DataFrame:
+    """``rec`` with its first ``_lvl``: 0, or the level at which its cell holds at most ``limit`` donors.
+
+    Each round counts the donors of the cells that were too full one level higher; a cell whose
+    donors share all grid coordinates cannot be halved and stays."""
+    keys = [f"_c{i}" for i in range(len(grid))]
+    deep = rec.withColumn("_lvl", F.lit(0))
+    out, lvl, don = [], 0, don.select(*[q(g) for g in grid])
+    while True:
+        placed = don.withColumn("_lvl", F.lit(lvl))
+        placed = placed.select(*[q(g) for g in grid], *_cells(grid, origin, r0, base))
+        wide = F.lit(False)
+        for g in grid:
+            wide = wide | (F.min(q(g)) < F.max(q(g)))
+        full = (placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), wide.alias("_wide"))
+                .filter((F.col("_n") > limit) & F.col("_wide")).select(*keys).checkpoint())
+        if lvl <= lowest or full.limit(1).count() == 0:
+            out.append(deep)
+            break
+        here = deep.select("*", *_cells(grid, origin, r0, base))
+        out.append(here.join(full, keys, "left_anti").drop(*keys))
+        deep = here.join(full, keys, "left_semi").drop(*keys).withColumn("_lvl", F.lit(lvl - 1)).checkpoint()
+        if deep.limit(1).count() == 0:
+            break
+        don = placed.join(full, keys, "left_semi").select(*[q(g) for g in grid]).checkpoint()
+        lvl -= 1
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res.checkpoint()
 
 
 def _dist(cols, r, d):
@@ -66,7 +108,8 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
         grid = sorted([c for c in feats if nn[c] == 0 and rng_[c] > 0], key=lambda c: -rng_[c])[:2]
     if not grid:
         raise ValueError("KNN imputation needs one numeric column without nulls (e.g. a numeric id)")
-    span = max([rng_[c] for c in grid] + [1.0]) if grid else 1.0
+    span = max([rng_[c] for c in grid] + [1.0])
+    origin = {c: nn[f"_mn_{c}"] for c in grid}
     filled = {}
     for t in targets:
         rec = base.filter(q(t).isNull())
@@ -89,19 +132,20 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
         top_lvl = max(0, math.ceil(math.log(span / r0, level_base))) + 1   # cell >= span: exhaustive
         need = min(k, n_don)
         results = []
-        todo = rec.select("_id", *feats).withColumn("_lvl", F.lit(0)).checkpoint()
+        # cell numbers stay below 2^50, where doubles are exact
+        lowest = -min(30, max(0, math.floor((50 - math.log2(max(span / r0, 1.0))) / math.log2(level_base))))
+        todo = _start_levels(rec.select("_id", *feats), don, grid, origin, r0, level_base, lowest, CELL_DONORS * k)
         while True:
             levels = sorted(r["_lvl"] for r in todo.select("_lvl").distinct().collect())
-            cell = F.lit(r0) * F.pow(F.lit(level_base), F.col("_lvl"))
-            rr = todo.select("*", *[F.floor(F.col(g) / cell).cast("long").alias(f"_c{i}")
-                                    for i, g in enumerate(grid)]).alias("r")
-            offs = F.array(*[F.lit(o) for o in (-1, 0, 1)])
             # donors are placed on the grid of every level some recipient needs this round
             dd = don.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
-            for i, g in enumerate(grid):
-                dd = dd.withColumn(f"_c{i}", F.explode(F.transform(
-                    offs, _shift_expr(F.floor(F.col(g) / cell).cast("long")))))
-            dd = dd.alias("d")
+            dd = dd.select("*", *_cells(grid, origin, r0, level_base)).alias("d")
+            # recipients go to the 3x3 cells around them
+            rr = todo.select("*", *_cells(grid, origin, r0, level_base))
+            for i in range(len(grid)):
+                around = F.array(*[F.col(f"_c{i}") + o for o in (-1, 0, 1)])
+                rr = rr.withColumn(f"_c{i}", F.explode(around))
+            rr = rr.alias("r")
             cond = [F.col("r._lvl") == F.col("d._lvl")] + \
                 [F.col(f"r._c{i}") == F.col(f"d._c{i}") for i in range(len(grid))]
             cand = rr.join(dd, cond, "inner").select(
@@ -127,12 +171,12 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5, grid=None, start_ra
             left = todo.filter(F.col("_lvl") < top_lvl).join(done.select(F.col("_rid").alias("_id")),
                                                               "_id", "left_anti")
             # next level per recipient: enough to cover its own k-th candidate distance
-            # (resolves it next round), else four times wider
+            # (resolves it next round), else wider: by one level where donors crowd, by two elsewhere
             kd = agg.select(F.col("_rid").alias("_id"), "_kd", "_n")
             nxt = F.when((F.col("_n") >= need) & F.col("_kd").isNotNull(),
                          F.greatest(F.col("_lvl") + 1,
-                                    F.ceil(F.log(float(level_base), F.greatest(F.col("_kd"), F.lit(r0)) / F.lit(r0))).cast("int"))
-                         ).otherwise(F.col("_lvl") + 2)
+                                    F.ceil(F.log(float(level_base), F.col("_kd") / F.lit(r0))).cast("int"))
+                         ).otherwise(F.col("_lvl") + F.when(F.col("_lvl") < 0, 1).otherwise(2))
             todo = (left.join(kd, "_id", "left").withColumn("_lvl", F.least(nxt, F.lit(top_lvl)).cast("int"))
                     .drop("_kd", "_n").checkpoint())
             if todo.limit(1).count() == 0:
