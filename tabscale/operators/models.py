@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe, maybe_broadcast, q
 from . import metrics as M
-from .order import row_index
+from .order import prefix_sum, row_index
 
 CV_FOLDS = 5
 N_TRIALS = 50
 RFF_DIM = 64          # random Fourier features standing in for the RBF kernel
 SEED = 42
-GBT_ITERS = 20        # Spark's default boosting rounds (each round is a distributed job)
+GBT_ROUNDS = 100      # boosting rounds
+GBT_DEPTH = 6
+FOREST_TREES = 100
+FOREST_DEPTH = 10     # Spark grows a level a job over all rows, up to 30; unlimited depth has no counterpart
 
 
 # ------------------------------------------------------------------ folds and splits
@@ -55,17 +58,19 @@ def kfold_assign(df: DataFrame, order_by, label: str | None = None, k: int = CV_
         return x.withColumn(name, fold.cast("int")).drop("_i")
     x = row_index(df, order_by, name="_i")
     x = row_index(x, ["_i"], by=[label], name="_ci")
-    first = x.groupBy(label).agg(F.min("_i").alias("_f"), F.count(F.lit(1)).alias("_n")).collect()
-    first.sort(key=lambda r: r["_f"])
-    bounds, start = {}, 0
-    for r in first:
-        nk = r["_n"]
-        quota = [len(range(start + ((i - start) % k), start + nk, k)) for i in range(k)]
-        bounds[r[label]] = list(np.cumsum(quota))
-        start += nk
-    m = F.create_map(*[v for key, b in bounds.items() for v in (F.lit(key), F.array(*[F.lit(int(c)) for c in b]))])
-    fold = F.size(F.filter(F.element_at(m, F.col(label)), lambda b: b <= F.col("_ci")))
-    return x.withColumn(name, fold.cast("int")).drop("_i", "_ci")
+    classes = x.groupBy(label).agg(F.min("_i").alias("_f"), F.count(F.lit(1)).alias("_n"))
+    end = F.col("_end").cast("long")
+    classes = prefix_sum(classes, ["_f"], "_n", name="_end").withColumn("_st", end - F.col("_n"))
+    # entries of the class at positions = i (mod k) of the class-sorted list, summed up to fold i
+    quota = [F.floor((end - 1 - i) / k) - F.floor((F.col("_st") - 1 - i) / k) for i in range(k)]
+    upto, total = [], F.lit(0)
+    for c in quota:
+        total = total + c
+        upto.append(total)
+    classes = classes.select(label, F.array(*upto).alias("_upto")).checkpoint()
+    x = join_null_safe(x, maybe_broadcast(classes), [label])
+    fold = F.size(F.filter("_upto", lambda b: b <= F.col("_ci")))
+    return x.withColumn(name, fold.cast("int")).drop("_i", "_ci", "_upto")
 
 
 def ts_split(df: DataFrame, order_by, n_splits: int = CV_FOLDS, name: str = "test_split") -> DataFrame:
@@ -117,24 +122,26 @@ def rff_columns(features, dim: int = RFF_DIM, gamma: float | None = None, seed:
     return cols
 
 
-def classification_models(n_rows: int, n_classes: int):
+def classification_models(n_rows: int, n_classes: int, rounds: int = GBT_ROUNDS, forest_depth: int = FOREST_DEPTH):
+    """The benchmark's classifiers; ``rounds`` of boosting and the depth to which forests grow are parameters."""
     binary = n_classes == 2
-    gbt = GBTClassifier(maxIter=GBT_ITERS, maxDepth=6, stepSize=0.1, seed=SEED)
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=0.1, seed=SEED)
     svc = LinearSVC(regParam=1.0 / max(n_rows, 1), standardization=False)  # the penalty is on the raw features
     return {
         "LogisticRegression": LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, maxIter=1000,
                                                  standardization=False),
-        "RandomForest": RandomForestClassifier(numTrees=100, seed=SEED),
+        "RandomForest": RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
         "GradientBoosting": gbt if binary else OneVsRest(classifier=gbt),
         "SVM": svc if binary else OneVsRest(classifier=svc),
     }
 
 
-def regression_models(n_rows: int):
+def regression_models(n_rows: int, rounds: int = GBT_ROUNDS, forest_depth: int = FOREST_DEPTH):
+    """The benchmark's regressors; parameters as in ``classification_models``."""
     return {
         "Ridge": LinearRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False),
-        "RandomForest": RandomForestRegressor(numTrees=100, seed=SEED),
-        "GradientBoosting": GBTRegressor(maxIter=GBT_ITERS, maxDepth=6, stepSize=0.1, seed=SEED),
+        "RandomForest": RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
+        "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=0.1, seed=SEED),
         "SVR": LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0),
     }
 
@@ -279,9 +286,13 @@ def search_space(model_name: str, rng: np.random.RandomState, n_rows: int) -> di
         return {"numTrees": int(rng.randint(50, 501)), "maxDepth": int(rng.randint(2, 21)),
                 "minInstancesPerNode": int(rng.randint(1, 11))}
     if model_name == "GradientBoosting":
+        # Spark's leaves have no ridge penalty: the least gain and the rows of a leaf regularise instead
         return {"maxIter": int(rng.randint(50, 501)), "maxDepth": int(rng.randint(2, 11)),
                 "stepSize": float(math.exp(rng.uniform(math.log(1e-3), math.log(0.3)))),
-                "subsamplingRate": float(rng.uniform(0.5, 1.0))}
+                "subsamplingRate": float(rng.uniform(0.5, 1.0)),
+                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 4)),
+                "minInfoGain": float(math.exp(rng.uniform(math.log(1e-6), math.log(1e-2)))),
+                "minInstancesPerNode": int(rng.randint(1, 21))}
     if model_name == "LogisticRegression":
         c = math.exp(rng.uniform(math.log(1e-4), math.log(100.0)))
         return {"regParam": 1.0 / (c * n_rows)}

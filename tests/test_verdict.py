@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,69 @@ def test_datetime_covariate_is_used(spark):
     assert names == ["_x_x", "_x_d"]
     with pytest.raises(ValueError, match="covariate"):
         K.covariate_matrix(df.withColumn("d", F.array("x")), ["x", "d"])
+
+
+def test_quantile_scan_keeps_only_bracket_rows(spark, monkeypatch):
+    from tabscale.functions import quantiles as Q
+    n, seen, plain = 20_000, [], Q._bracket_rows
+
+    def counted(*args):
+        out = plain(*args)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(Q, "_bracket_rows", counted)
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("x"))
+    got = Q.quantile_dict(df, ["x"], [0.25, 0.5, 0.75])
+    assert [got[("x", p)] for p in (0.25, 0.5, 0.75)] == [(n - 1) * p for p in (0.25, 0.5, 0.75)]
+    assert sum(seen) <= n // 100
+
+
+def test_knn_hot_cell_is_halved(spark):
+    from tabscale.operators import knn as K
+    rng = np.random.RandomState(3)
+    n, k = 3000, 3
+    a, b = rng.rand(n) * 1000, rng.rand(n) * 1000
+    hot = np.arange(n) < n // 3  # a third of the rows in a millionth of the area
+    a[hot], b[hot] = 500 + rng.rand(hot.sum()), 500 + rng.rand(hot.sum())
+    y = a + b
+    y[np.arange(n) % 20 == 0] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"rid": [f"r{i:04d}" for i in range(n)], "a": a, "b": b, "y": y}))
+    df = df.withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    rec, don = df.filter("y is null").select("a", "b"), df.filter("y is not null").select("a", "b")
+    origin, r0 = {"a": 0.0, "b": 0.0}, 1000 * 4.0 * k / n
+    todo = K._start_levels(rec, don, ["a", "b"], origin, r0, 2.0, -30, K.CELL_DONORS * k)
+    own = todo.select("_lvl", *K._cells(["a", "b"], origin, r0, 2.0))
+    levels = [r["_lvl"] for r in own.select("_lvl").distinct().collect()]
+    placed = don.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
+    placed = placed.select("_lvl", *K._cells(["a", "b"], origin, r0, 2.0))
+    assert own.count() == rec.count()
+    assert own.join(placed, ["_lvl", "_c0", "_c1"]).count() <= rec.count() * K.CELL_DONORS * k
+    got = {r["rid"]: r["y"] for r in K.knn_impute(df, ["y"], id_col="rid", k=k).collect()}
+    know = np.flatnonzero(~np.isnan(y))
+    for i in np.flatnonzero(np.isnan(y)):
+        d = (a[know] - a[i]) ** 2 + (b[know] - b[i]) ** 2
+        assert got[f"r{i:04d}"] == pytest.approx(y[know[np.argsort(d, kind="stable")[:k]]].mean())
+
+
+def test_kfold_many_classes_and_null_label(spark):
+    from tabscale.operators import models as ML
+    df = spark.range(400).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 83).alias("y"))
+    got = ML.kfold_assign(df, ["id"], label="y").collect()
+    assert len(got) == 400
+    of: dict = {}
+    for r in got:
+        of.setdefault(r["y"], []).append(r["fold"])
+    sizes = [sum(r["fold"] == i for r in got) for i in range(5)]
+    assert sum(sizes) == 400 and max(sizes) - min(sizes) <= 1
+    for folds in of.values():
+        each = [folds.count(i) for i in range(5)]
+        assert max(each) - min(each) <= 1
+
+
+def test_boosting_search_draws_subset_and_leaf_limits(spark):
+    from tabscale.operators import models as ML
+    draw = ML.search_space("GradientBoosting", np.random.RandomState(1), 100)
+    est = ML.regression_models(100, rounds=7, forest_depth=3)["GradientBoosting"]
+    assert est.getMaxIter() == 7
+    est = est.copy({est.getParam(k): v for k, v in draw.items()})
+    assert 0.5 <= float(est.getFeatureSubsetStrategy()) <= 1.0 and est.getMinInstancesPerNode() >= 1
