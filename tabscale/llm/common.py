@@ -27,6 +27,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_id(df: DataFrame):
+    """Column that numbers the rows of ``df``, alike in every scan of the same files.
+
+    Spark cuts files into tasks by the cores it has at that moment, so an executor lost or won
+    between two scans would renumber the rows. The number it cuts by is therefore fixed for the
+    session at first use, where the cluster has not set ``spark.sql.files.minPartitionNum`` itself."""
+    conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(sc.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

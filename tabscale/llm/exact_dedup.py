@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_id
 
 PREFIX_CHARS = 64
 SLOTS = 1 << 17  # upper bound of the broadcast rows
@@ -41,7 +41,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     SHA-256 of the normalised text where the refinement needed it (of every row
     with ``digest=True``)."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                       F.monotonically_increasing_id().alias("_rid"))
+                       row_id(docs).alias("_rid"))
     base = base.withColumn("_norm", _normal(F.col("_text")))
     narrow = materialise(base.select(
         F.octet_length("_norm").alias("_len"),
@@ -77,5 +77,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with the input's columns."""
     dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("_rid").alias("__llm_rid"))
-    return (docs.withColumn("__llm_rid", F.monotonically_increasing_id())
+    return (docs.withColumn("__llm_rid", row_id(docs))
             .join(dropped, "__llm_rid", "left_anti").drop("__llm_rid"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, held_out, materialise, text_buffer
+from .common import doc_chunks, held_out, materialise, row_id, text_buffer
 
 SAMPLE = 1200      # labelled rows used for the fit, all languages together
 LANDMARKS = 128    # of these, landmarks
@@ -66,7 +66,7 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> DataFrame:
     """(lang, slots) of a bounded sample of the labelled rows that are not held out."""
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
+    base = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                        F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     ok = base.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.length("_text") > 0) & ~held_out("_id"))
     sizes = materialise(ok.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_size")), "lang-sizes")

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_id
 
 TARGET_ENTROPY = 0.9  # of the logarithm of the number of sources
 MAX_EPOCHS = 1.5      # repetition limit of the most repeated source
@@ -101,7 +101,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     (c + mix_pos) / epochs of the mix, mix_pos being its place in the permutation."""
     text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
     n_tokens = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
-    stats = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
+    stats = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                         F.col(source_col).cast("string").alias("_source"), n_tokens.cast("long").alias("n_tokens"))
     # the same place in every epoch's base permutation; epochs rotate it by their own offset
     stats = materialise(stats.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_id", "_rid"), F.lit(1 << 40))), "mix-stats")
@@ -149,6 +149,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The input rows, each as often as the mix uses it, with the input's columns."""
     copies = mix_plan(docs, id_col, text_col, source_col, **targets).select(
         F.col("_rid").alias("__llm_rid"), F.col("copies").alias("__llm_copies"))
-    rows = docs.withColumn("__llm_rid", F.monotonically_increasing_id()).join(copies, "__llm_rid")
+    rows = docs.withColumn("__llm_rid", row_id(docs)).join(copies, "__llm_rid")
     return (rows.withColumn("__llm_copy", F.explode(F.expr("sequence(1, __llm_copies)")))
             .where("__llm_copies > 0").drop("__llm_rid", "__llm_copies", "__llm_copy"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (complete_groups, connected_components, doc_chunks, materialise, mix64, shingles, text_buffer,
+from .common import (complete_groups, connected_components, doc_chunks, materialise, mix64, row_id, shingles, text_buffer,
                      word_hashes)
 
 WORDS = 5
@@ -84,7 +84,7 @@ def _sequence_hash(words: np.ndarray, first: np.ndarray, seed: int) -> np.ndarra
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int) -> DataFrame:
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches):
         for rb in batches:
@@ -181,7 +181,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     extent = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK),
                                                      F.ceil(F.sum("_size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     dealt = members.join(extent, "label").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
-    texts_of = docs.select(F.monotonically_increasing_id().alias("v"), F.col(text_col).alias("_text"))
+    texts_of = docs.select(row_id(docs).alias("v"), F.col(text_col).alias("_text"))
     dealt = dealt.join(texts_of.hint("merge"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = dealt.select("label", F.least("blk", "other").cast("long").alias("i"), F.greatest("blk", "other").cast("long").alias("j"),
                          "v", "copies", F.col("blk").cast("long").alias("blk"), "_text")
@@ -223,5 +223,5 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each class, with the input's columns."""
     dropped = similarity_classes(docs, id_col, text_col, **how).where("not kept").select(F.col("_rid").alias("__llm_rid"))
-    return (docs.withColumn("__llm_rid", F.monotonically_increasing_id())
+    return (docs.withColumn("__llm_rid", row_id(docs))
             .join(dropped, "__llm_rid", "left_anti").drop("__llm_rid"))

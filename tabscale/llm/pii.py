@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_id
 
 REACH = 64        # characters on each side of an entity
 SUPPORT = 3       # different contexts that a disclosing pair needs
@@ -146,7 +146,7 @@ def _listed(spans: Column) -> Column:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclose: float = DISCLOSE,
                support: int = SUPPORT) -> DataFrame:
     """One row per input row: _rid, _id, found: array of (start, kind number, end, level) in order of start."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
+    rows = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = rows.select("_rid", "_text")
     base = materialise(base_spans(texts), "pii-base")
@@ -172,7 +172,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """One row per input row: _id and the text with its spans generalised to [KIND] or, for terms
     from the level ``remove`` on, removed. Overlapping spans are replaced by the first one's kind."""
     got = find_spans(docs, id_col, text_col, **how).select("_rid", "found")
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"),
+    rows = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(got, "_rid")
     name = F.array(*[F.lit(k.upper()) for k in KIND_NAMES])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, held_out, mix64, span_hashes, text_buffer
+from .common import doc_chunks, held_out, mix64, row_id, span_hashes, text_buffer
 
 SLOTS = 1 << 14
 DIM = 32
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str = "doc_id", tex
         label_col: str = "quality") -> dict | None:
     marks = (labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid"))
              .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("_y")))
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     pick = (base.select("_rid", "_id").where(~held_out("_id")).join(marks, F.col("_id") == F.col("_lid"))
             .orderBy(F.xxhash64("_id"), "_rid").limit(SAMPLE).select("_rid", "_y"))
     rows = base.select("_rid", "_text").join(F.broadcast(pick), "_rid").select("_y", "_text")  # at most SAMPLE rows

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_table, complete_groups, doc_chunks, materialise, mix64, powers, span_hashes, text_buffer
+from .common import CHUNK_BYTES, byte_table, complete_groups, doc_chunks, materialise, mix64, powers, row_id, span_hashes, text_buffer
 
 LENGTH = 400
 ANCHOR = 64
@@ -278,7 +278,7 @@ def merge(ranges) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    anchor: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: _id, n_bytes, n_removed, n_spans, spans (merged byte ranges), kept (remaining bytes)."""
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     texts = base.select("_rid", "_text")
     ranges = repeated_ranges(texts, length, anchor, bucket)
     per_row = ranges.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))  # one text's own

@@ -552,3 +552,30 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     copies = collections.Counter(r["doc_id"] for r in got)
     plan = mixing.mix_plan(docs.where(F.col("doc_id").isin(alive))).groupBy("_source").agg(F.max("epochs").alias("e")).collect()
     assert set(copies.values()) <= {1, 2} and max(p["e"] for p in plan) <= mixing.MAX_EPOCHS * (1 + 1e-6)
+
+
+def test_row_numbers_outlive_a_change_of_cores(spark, tmp_path):
+    """Rows keep their numbers between scans although the session's core count, read anew by every scan, changes."""
+    key = "spark.sql.files.minPartitionNum"
+    spark.range(3_000_000, numPartitions=1).select(F.xxhash64("id").alias("v")).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        one = docs.select("v", common.row_id(docs).alias("n"))
+        assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+        tasks = one.rdd.getNumPartitions()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")  # what a scan takes for the cores
+        again = spark.read.parquet(str(tmp_path / "t"))
+        again = again.select("v", common.row_id(again).alias("n"))
+        assert tasks > 1 and again.rdd.getNumPartitions() == tasks
+        assert one.join(again, ["v", "n"]).count() == 3_000_000
+        spark.conf.set(key, "3")
+        common.row_id(docs)
+        assert spark.conf.get(key) == "3"
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
