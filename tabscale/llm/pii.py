@@ -4,17 +4,27 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers,
 found by pattern, leftmost and non-overlapping per kind, and then tested (parts,
 Luhn sum, number of digits). Their values are the protected entities.
 
-The method adds terms that give an entity away. Over the whole corpus it counts
-in how many documents a term occurs (df_t), in how many an entity occurs (df_e)
-and in how many the term stands within ``REACH`` characters of the entity
-(df_te); pointwise mutual information log2(N df_te / (df_t df_e)) divided by
--log2(df_te / N) says how strongly the term reveals the entity (1: it occurs
-only there). From ``DISCLOSE`` on the term is generalised, from ``REMOVE`` on it
-is removed. Contexts that are copies of each other are one piece of evidence,
-and a pair needs ``SUPPORT`` different contexts.
-
-All counts are aggregates with map-side combining; a hot term or entity is one
-aggregate row and its joins are left to AQE's skew handling. Matches of one text
+The method adds terms that give an entity away. Protected entities are the single
+values and, as most values are rare, each kind as a whole. Over the whole corpus it
+counts in how many documents a term occurs (df_t), in how many an entity occurs
+(df_e) and in how many both occur, wherever they stand (df_te); pointwise mutual
+information log2(N df_te / (df_t df_e)) divided by -log2(df_te / N) says how
+strongly the term reveals the entity (1: it occurs only there). From ``DISCLOSE``
+on the term is generalised, from ``REMOVE`` on it is removed, at every place of
+every document, with the entity or without it.
+
+Every pair that occurs is scored. Chance hits are held down by the counts alone:
+pairs with equal (df_e, df_t, df_te) count only where chance explains at most the
+share ``CHANCE`` of them, as (entities with df_e) x (terms with df_t) x P(overlap
+>= df_te) gives the number to expect if terms fell into documents independently
+(P by Hoeffding's bound for the hypergeometric tail). One shared document is thus
+evidence where such terms are few, and none where every text has words of its own.
+
+All counts are aggregates with map-side combining. A pair can reach a level only
+if its document frequencies are alike (``_alike``, exact), and entities, as terms,
+that occur in the same documents are one class, so copies and words of a single
+text are counted once with a number. Hot terms and entities are one row of a
+written table and their joins are left to AQE's skew handling. Matches of one text
 are put in order by a window over that text's own matches only.
 
 Defined cases: a null text is empty; a text without personal data has no spans;
@@ -30,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, row_id
 
-REACH = 64        # characters on each side of an entity
-SUPPORT = 3       # different contexts that a disclosing pair needs
+CHANCE = 0.05     # share of pairs with equal counts that chance may explain
+SLOTS = 1 << 19   # upper bound of the broadcast rows that keep other rows out of a shuffle
 DISCLOSE = 0.8
 REMOVE = 0.95
 TERM = r"[\p{L}\p{N}]{4,}"
@@ -100,39 +110,85 @@ def _value(kind: Column, m: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), F.when(kind.isin(2, 3), _digits(m)).otherwise(F.lower(m)))
 
 
-def term_spans(texts: DataFrame, base: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
-    """(_rid, start, end, level) of the terms whose disclosure reaches the threshold; level from 0 to 1."""
-    ents = base.select("_rid", F.col("start").alias("e0"), F.col("end").alias("e1"), _value(F.col("kind"), F.col("m")).alias("entity"))
-    near = ents.join(texts.hint("merge"), "_rid")
-    e0, e1 = F.col("e0").cast("int"), F.col("e1").cast("int")
-    left = F.substring("_text", F.greatest(e0 - REACH, F.lit(0)) + 1, F.least(e0, F.lit(REACH)))
-    right = F.substring("_text", e1 + 1, F.lit(REACH))
-    near = near.select("_rid", "entity", F.explode(F.array(
-        F.struct(F.greatest(e0 - REACH, F.lit(0)).alias("at"), left.alias("ctx")),
-        F.struct(e1.alias("at"), right.alias("ctx")))).alias("c"), F.xxhash64(left, right).alias("context"))
-    near = near.select("_rid", "entity", "context", F.col("c.at").alias("at"), F.col("c.ctx").alias("_text"),
-                       F.monotonically_increasing_id().alias("_cid"))
-    near = materialise(near, "pii-contexts")
-    words = _matches(near.select(F.col("_cid").alias("_rid"), "_text"), TERM).withColumnRenamed("_rid", "_cid")
-    # words at the border of a context may be cut off there
-    words = words.where((F.col("start") > 0) & (F.col("end") < REACH))
-    seen = materialise(words.join(near.drop("_text"), "_cid").select(
-        "_rid", "entity", "context", F.lower("m").alias("term"), (F.col("at") + F.col("start")).cast("long").alias("start"),
-        (F.col("at") + F.col("end")).cast("long").alias("end")), "pii-near")
-
-    pairs = (seen.groupBy("entity", "term", "context", "_rid").count().groupBy("entity", "term", "context")
-             .agg(F.count(F.lit(1)).alias("docs")).groupBy("entity", "term")
-             .agg(F.sum("docs").alias("df_te"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support))
-    df_e = ents.select("entity", "_rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    df_t = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df_t")))
+def _alike(df_e: Column, df_t: Column, n: Column, disclose: float) -> Column:
+    """False where no overlap could reach the level: at best df_te is the lesser count."""
+    return F.log2(n / F.greatest(df_e, df_t)) >= (disclose - 1e-9) * F.log2(n / F.least(df_e, df_t))
+
+
+def _log_chance(df_te: Column, df_e: Column, df_t: Column, n: Column) -> Column:
+    """Bound on ln P(overlap >= df_te) of two independent sets of documents."""
+    def bound(draws, other):
+        a, b = df_te / draws, other / n
+        rest = F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - b))).otherwise(F.lit(0.0))
+        return -draws * (a * F.log(a / b) + rest)
+    return F.least(bound(df_e, df_t), bound(df_t, df_e))
+
+
+def _likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in ``wanted``: all that are, and few others while its hash slots are not full."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    slots = F.broadcast(wanted.select(slot.alias("_slot")).distinct())
+    return rows.withColumn("_slot", slot).join(slots, "_slot", "left_semi").drop("_slot")
+
+
+def _terms(texts: DataFrame) -> DataFrame:
+    """(_rid, term): the different terms of each text."""
+    words = F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), F.lower)
+    return texts.select("_rid", F.explode(F.array_distinct(words)).alias("term"))
+
+
+def _frequencies(held: DataFrame, key: str, a: str, b: str, df: str) -> DataFrame:
+    """(key, df, a, b) from distinct (_rid, key): number of documents and a 128-bit mark of their set."""
+    return held.groupBy(key).agg(F.count(F.lit(1)).alias(df), F.bit_xor(F.xxhash64("_rid")).alias(a),
+                                 F.bit_xor(F.xxhash64("_rid", F.lit(1))).alias(b))
+
+
+def disclosing_terms(texts: DataFrame, base: DataFrame, disclose: float = DISCLOSE, chance: float = CHANCE) -> DataFrame:
+    """(term, level) of the terms whose disclosure of a value or kind reaches the threshold."""
+    entity = F.explode(F.array(_value(F.col("kind"), F.col("m")), F.col("kind").cast("string")))
+    ents = materialise(base.select("_rid", entity.alias("entity")).distinct(), "pii-entities")
     total = texts.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
-    scored = pairs.join(df_t, "term").join(df_e, "entity").join(F.broadcast(total))
+    total = F.broadcast(materialise(total, "pii-total"))
+    of_e = materialise(_frequencies(ents, "entity", "e1", "e2", "df_e"), "pii-entity-counts")
+    of_t = materialise(_frequencies(_terms(texts), "term", "t1", "t2", "df_t"), "pii-term-counts")
+
+    # terms too frequent for even the most frequent entity are left out before they are shuffled
+    top = of_e.agg(F.max("df_e").alias("top")).join(total)
+    fit = (F.col("df_t") <= F.col("top")) | _alike(F.col("top"), F.col("df_t"), F.col("n"), disclose)
+    few_t = of_t.join(F.broadcast(top)).where(fit).select("term", "t1", "t2", "df_t")
+    held_e = ents.join(of_e, "entity").select("_rid", "e1", "e2", "df_e").distinct()
+    held_t = _terms(_likely(texts, "_rid", ents)).join(few_t.hint("merge"), "term").select("_rid", "t1", "t2", "df_t").distinct()
+    both = held_t.hint("merge").join(held_e, "_rid").join(total)
+    both = both.where(_alike(F.col("df_e"), F.col("df_t"), F.col("n"), disclose))
+    pairs = both.groupBy("e1", "e2", "t1", "t2", "df_e", "df_t", "n").agg(F.count(F.lit(1)).alias("df_te"))
     share = F.col("df_te") / F.col("n")
     pmi = F.log2(share * F.col("n") * F.col("n") / (F.col("df_t") * F.col("df_e")))
     level = F.when(F.col("df_te") >= F.col("n"), F.lit(0.0)).otherwise(pmi / -F.log2(share))
-    scored = scored.withColumn("level", level).where(F.col("level") >= disclose).select("entity", "term", "level")
-    found = seen.join(scored, ["entity", "term"]).groupBy("_rid", "start", "end").agg(F.max("level").alias("level"))
+    pairs = pairs.withColumn("level", level).where(F.col("level") >= disclose)
+    alike_e = of_e.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n_e"))
+    alike_t = of_t.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = materialise(pairs.join(alike_e, ["e1", "e2"]).join(alike_t, ["t1", "t2"]), "pii-pairs")
+
+    counts = pairs.groupBy("df_e", "df_t", "df_te", "n", "level").agg(F.sum(F.col("n_e") * F.col("n_t")).alias("seen"))
+    counts = counts.join(of_e.groupBy("df_e").agg(F.count(F.lit(1)).alias("all_e")), "df_e")
+    counts = counts.join(of_t.groupBy("df_t").agg(F.count(F.lit(1)).alias("all_t")), "df_t")
+    expected = (F.log(F.col("all_e").cast("double")) + F.log(F.col("all_t").cast("double"))
+                + _log_chance(F.col("df_te"), F.col("df_e"), F.col("df_t"), F.col("n")))
+    real = counts.where(expected <= F.log(chance * F.col("seen"))).select("df_e", "df_t", "df_te")
+    real = materialise(real, "pii-real")
+    classes = pairs.join(real, ["df_e", "df_t", "df_te"]).groupBy("t1", "t2").agg(F.max("level").alias("level"))
+    classes = materialise(classes, "pii-classes")
+    return materialise(of_t.join(classes, ["t1", "t2"]).select("term", "level"), "pii-terms")
+
+
+def term_spans(texts: DataFrame, base: DataFrame, disclose: float = DISCLOSE, chance: float = CHANCE) -> DataFrame:
+    """(_rid, start, end, level) of every occurrence of a disclosing term; level from 0 to 1."""
+    terms = disclosing_terms(texts, base, disclose, chance)
+    hits = _likely(_terms(texts), "term", terms).join(terms.hint("merge"), "term").select("_rid", "term", "level")
+    hits = materialise(hits, "pii-hits")
+    marked = _likely(texts, "_rid", hits).hint("merge").join(hits.select("_rid").distinct(), "_rid")
+    words = _likely(_matches(marked, TERM).withColumn("term", F.lower("m")), "term", terms)
+    found = words.join(hits.hint("merge"), ["_rid", "term"]).select("_rid", "start", "end", "level")
     taken = base.select("_rid", F.col("start").alias("b0"), F.col("end").alias("b1"))
     return found.join(taken, (found["_rid"] == taken["_rid"]) & (F.col("start") < F.col("b1")) & (F.col("end") > F.col("b0")), "left_anti")
 
@@ -144,13 +200,13 @@ def _listed(spans: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclose: float = DISCLOSE,
-               support: int = SUPPORT) -> DataFrame:
+               chance: float = CHANCE) -> DataFrame:
     """One row per input row: _rid, _id, found: array of (start, kind number, end, level) in order of start."""
     rows = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = rows.select("_rid", "_text")
     base = materialise(base_spans(texts), "pii-base")
-    terms = term_spans(texts, base, disclose, support)
+    terms = term_spans(texts, base, disclose, chance)
     spans = base.select("_rid", "start", "kind", "end", F.lit(None).cast("double").alias("level")).unionByName(
         terms.select("_rid", "start", F.lit(len(KINDS)).alias("kind"), "end", "level"))
     per_text = spans.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "level"))).alias("found"))

@@ -369,6 +369,46 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert "[TERM] [EMAIL] [TERM]" in mild[203]
 
 
+def terms_in(spans, text):
+    return {(text[int(a):int(b)], int(a)) for k, a, b in (x.split(":") for x in spans.split(",") if x) if k == "term"}
+
+
+def test_pii_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(12)
+    filler = [f"word{i}" for i in range(40)]
+
+    def prose(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+
+    texts = [prose(60) for _ in range(400)]
+    for _ in range(6):  # a name at the head, the address 300 characters later, the name once more
+        texts.append("zorblax " + prose(60) + " jane@corp.example " + prose(60) + " Zorblax " + prose(9))
+    texts.append(prose(30) + " zorblax " + prose(30))
+    got = {r["_id"]: r["spans"] for r in pii.report(rows_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert terms_in(got[i], t) == {(m[0], m.start()) for m in re.finditer("(?i)zorblax", t)}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 30])
+def test_pii_terms_of_rare_and_copied_entities(spark, copies):
+    rng = random.Random(13)
+    filler = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(filler) for _ in range(30)) for _ in range(200)]
+    texts += ["zorblax " + " ".join(rng.choice(filler) for _ in range(20)) + " jane@corp.example"] * copies
+    got = {r["_id"]: r["spans"] for r in pii.report(rows_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert terms_in(got[i], t) == ({("zorblax", 0)} if i >= 200 else set())
+
+
+def test_pii_words_of_a_single_text_are_no_terms_by_chance(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"own{i}x{j}" for j in range(20)) + (f" p{i}@corp.example" if i % 10 == 0 else "") for i in range(200)]
+    rng.shuffle(texts)
+    got = {r["_id"]: r["spans"] for r in pii.report(rows_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert terms_in(got[i], t) == set()
+
+
 # ----------------------------------------------------------------- op6 HTML
 
 def test_html_structure():
