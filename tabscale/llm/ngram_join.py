@@ -127,8 +127,8 @@ def _presence(shingle: np.ndarray, doc: np.ndarray, n: int):
         yield x
 
 
-def verify(data: np.ndarray, offsets: np.ndarray, side: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    """Boolean link matrix of the texts of a unit; with two sides only pairs across them."""
+def verify(data: np.ndarray, offsets: np.ndarray, side: np.ndarray, k: int, threshold: float, across: bool) -> np.ndarray:
+    """Boolean link matrix of the texts of a unit: all pairs of one block, or only those across two."""
     n = len(offsets) - 1
     sh, at = shingles(*word_hashes(data, offsets), k)
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -142,7 +142,7 @@ def verify(data: np.ndarray, offsets: np.ndarray, side: np.ndarray, k: int, thre
         both += x @ x.T
     link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
     link &= (both > 0) & ~np.eye(n, dtype=bool)
-    if side.min() != side.max():
+    if across:
         link &= side[:, None] != side[None, :]
     return link
 
@@ -189,13 +189,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for t, starts in complete_groups(batches, 3):
-            v, copies, blk = (np.asarray(t.column(c)) for c in (3, 4, 5))
+            i, j, v, copies, blk = (np.asarray(t.column(c)) for c in (1, 2, 3, 4, 5))
             data, off = text_buffer(t.column(6))
             out = [[], [], []]
             for a, b in zip(starts, [*starts[1:], t.num_rows]):
-                if b - a < 2:
+                across = bool(i[a] != j[a])
+                # with one block empty the pairs of the other are left to its own unit
+                if b - a < 2 or across and blk[a:b].min() == blk[a:b].max():
                     continue
-                link = verify(data[off[a]:off[b]], off[a:b + 1] - off[a], blk[a:b], k, threshold)
+                link = verify(data[off[a]:off[b]], off[a:b + 1] - off[a], blk[a:b], k, threshold, across)
                 some = np.flatnonzero(link.any(axis=1))
                 if len(some):
                     out[0].append(v[a:b][some])

@@ -303,6 +303,17 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
     assert [i for i in range(len(texts)) if got[i]["kept"]] == [i for i, (c, _) in enumerate(want) if c == i]
 
 
+def test_ngram_join_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 20)  # a cluster of two texts has up to 12 blocks
+    rng = random.Random(10)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([20, 120]))]
+        texts += [" ".join(words + [f"end{e}"]) for e in range(2)]
+    got = {r["_id"]: r for r in ngram_join.similarity_classes(rows_of(spark, texts)).collect()}
+    assert [(got[i]["class_id"], got[i]["n_links"]) for i in range(len(texts))] == jaccard_classes(texts)
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9995), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = ngram_join.choose_bands(threshold, recall)
