@@ -5,11 +5,12 @@ to the same norm, the largest inner product is the smallest Euclidean distance,
 so the triangle inequality holds. Routing objects are ``PIVOTS`` vectors chosen
 by hash; every distinct vector goes to its nearest one and keeps its parent
 distance. A routing object's subtree is cut into pages of about ``PAGE``
-entries, dealt by hash. The search is best-first in two rounds of blocks: a
+entries, dealt by hash. The search has two rounds of blocks and is not best-first: a
 query first visits one page of its nearest routing object, which bounds its
 k-th distance; then only the pages whose lower bound d(q, p) - radius is within
-that bound, nearest first in the bound's order, and in a page only entries
-whose stored parent distance passes |d(q, p) - d(x, p)| <= bound are computed.
+that bound, in no order and without lowering the bound on the way. There is one
+level of routing objects and all pages of one share its radius, so they are
+visited or left out together. In a page only entries whose stored parent distance passes |d(q, p) - d(x, p)| <= bound are computed.
 Results are exact: bounds only skip entries that cannot enter the top k.
 
 Equal vectors are one entry with their k + 1 smallest ids, which no result of
