@@ -7,7 +7,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscale.session import scratch_path
@@ -15,16 +15,26 @@ from tabscale.session import scratch_path
 CHUNK_BYTES = 1 << 20  # bytes of text handled by one round of numpy calls
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
+def materialise(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as Parquet, a folder for each value of ``folders``, and read it back.
 
     Cuts lineage with files every executor can read, so a lost executor costs
     a re-read and never a recomputation of earlier stages.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_scratch", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_id(df: DataFrame):
@@ -233,10 +243,17 @@ def complete_groups(batches, n_keys: int):
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(v, label) of every vertex of the edges (a, b): label is the component's least vertex.
 
-    Least-label propagation with pointer jumping; each round is written to the
-    shared folder and only a count of changed labels reaches the driver."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, f"{name}-edges")
+    First every vertex keeps the edge to its least smaller neighbour and hands its other smaller
+    neighbours to that one, which leaves about one edge a vertex (a vertex may have many greater
+    neighbours; its smaller ones pass one window group, which spills). Then least-label propagation
+    with pointer jumping; each round is written to the shared folder, the round before is deleted,
+    and only whether a label changed reaches the driver."""
+    up = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    up = materialise(up.withColumn("m", F.min("b").over(Window.partitionBy("a"))), f"{name}-edges")
+    thin = (up.where("b = m").select("a", "b").unionByName(up.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+            .distinct())
+    both = materialise(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-thin")
+    discard(up)
     lab = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
                       .select("v", F.least("v", "m").alias("label")), f"{name}-0")
     step = 0
@@ -247,6 +264,8 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         got = lab.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("l"))
         jump = lab.select(F.col("v").alias("l"), F.col("label").alias("j"))
         new = materialise(got.join(jump, "l").select("v", "old", F.least("l", "j").alias("label")), f"{name}-{step}")
+        discard(lab)
         if new.where("label <> old").limit(1).count() == 0:
+            discard(both)
             return new.select("v", "label")
-        lab = new.select("v", "label")
+        lab, lab._scratch = new.select("v", "label"), new._scratch
