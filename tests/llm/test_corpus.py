@@ -448,6 +448,52 @@ def test_html_edge_cases(spark):
     assert got[7]["text"] == "the quoted and the sign of it that was here"
 
 
+EN = "The house of the old man was in the middle of a wood, and it was hard to find for all of us who had not been there before."
+PL = ("Zażółć gęślą jaźń, ponieważ każdy człowiek potrzebuje odpoczynku oraz spokoju, szczególnie gdy pracuje długo "
+      "i ciężko przez cały tydzień.")
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content with-sidebar"><p>{EN}</p><p>{EN}</p><p>{EN}</p></div><div class="sidebar"><p>{EN}</p></div>',
+    f'<div id="page" class="has-banner"><ul class="main-nav"><li><a href="/">Home</a></ul><p>{EN}<p>{EN}<p>{EN}</div>',
+    f'<div class="banner-layout"><p>{EN}<p>{EN}<p>{EN}</p><div class="comments-list"><p>{EN * 9}</p><p>{EN * 9}</div></div>',
+    f'<div class="share-page"><article><p>{EN}<p>{EN}<p>{EN}</article><div class="related"><p>{EN}</p></div></div>',
+    f'<article class="teaser"><p>Read on</article><div><p>{EN}<p>{EN}<p>{EN}</div>'])
+def test_html_wrappers_named_as_furniture(page):
+    assert html_extract.main_text(page).removeprefix("Read on\n\n") == "\n\n".join([EN] * 3)
+
+
+@pytest.mark.parametrize("menu", ["", '<nav><a href="/a">Strona</a></nav><div class="menu"><a href="/b">Kontakt</a></div>'])
+def test_html_in_a_language_without_stop_words(menu):
+    page = f'{menu}<div><h2>Tytuł</h2><p>{PL}</p><p>{PL}</p><ul><li><a href="/x">{PL}</a></li></ul><p>{PL}</p></div><footer>{PL}</footer>'
+    assert html_extract.main_text(page).replace("Tytuł\n\n", "") == "\n\n".join([PL] * 3)
+
+
+def test_html_furniture_stays_furniture():
+    page = f'<div class="ad"><p>{EN}</p></div><article><p>Short text here.</p></article><div class="comments"><p>{EN}<p>{EN}</div>'
+    assert html_extract.main_text(page) == "Short text here."
+
+
+@pytest.mark.parametrize("part", ["<b ", '<b ">"', "<div>", "</span>", '<b "', "<script", "</script", "<div class=sidebar>", "<!--", "<!", "&",
+                                  "<p>" + EN + "</p>", "<a class='x", "<li><b>x"])
+def test_html_time_is_linear(part):
+    """A megabyte of anything takes seconds: twice the page, not four times the time."""
+    import time
+    page = part * ((1 << 20) // len(part))
+    for wrap in (page, f"<div>{page}", page + "</div>" * 50_000, f"<article><p>{EN}</p>" + page + ">"):
+        began = time.thread_time()
+        html_extract.main_text(wrap)
+        assert time.thread_time() - began < 8
+    assert EN in html_extract.main_text(f"<article><p>{EN}</p></article>" + part * 20_000)
+
+
+def test_html_tokens():
+    got = list(html_extract.tokens_of("a < b <i title='>' x>c</i ><!-- <p> -->d<?xml?><script>'<p>'</SCRIPT >e<br/><p class=\"x>y<b"))
+    assert got == [("a <", False, None, ""), (" b ", False, None, ""), ("", False, "i", " title='>' x"), ("c", False, None, ""),
+                   ("", True, "i", " "), ("d", False, None, ""), ("e", False, None, ""), ("", False, "br", "/"),
+                   ("", False, "p", ' class="x'), ("y<b", False, None, "")]
+
+
 def test_html_on_given_pages(spark):
     for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect():
         text = html_extract.main_text(r["html"])
