@@ -11,7 +11,10 @@ k-th distance; then only the pages whose lower bound d(q, p) - radius is within
 that bound, in no order and without lowering the bound on the way. There is one
 level of routing objects and all pages of one share its radius, so they are
 visited or left out together. In a page only entries whose stored parent distance passes |d(q, p) - d(x, p)| <= bound are computed.
-Results are exact: bounds only skip entries that cannot enter the top k.
+Results are exact: bounds only skip entries that cannot enter the top k. Distances are float64 and the
+bounds give way by their rounding error, which grows with the longest vector (``_slack``); scores are exact
+integers, in float64 while the largest squared norm is below 2^53 and in int64 beyond. That norm must be
+below 2^63 (an overflow is an error). A page is copied only to the blocks of queries that visit it.
 
 Equal vectors are one entry with their k + 1 smallest ids, which no result of
 k can exceed, and equal queries are searched once, so a vector that a third of
@@ -71,8 +74,8 @@ def _from_arrow(col, dim: int) -> np.ndarray:
     return _matrix(np.asarray(col.values, np.int64) if len(col.values) else np.zeros(0, np.int64), np.asarray(col.offsets), dim)
 
 
-def _from_pandas(col, dim: int) -> np.ndarray:
-    out = np.zeros((len(col), dim))
+def _from_pandas(col, dim: int, kind=np.float64) -> np.ndarray:
+    out = np.zeros((len(col), dim), kind)
     for i, x in enumerate(col):
         out[i, :len(x)] = x
     return out
@@ -88,6 +91,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def _slack(dim: int, top: float) -> float:
+    """Largest rounding error that three distances between vectors of squared norm ``top`` can add up to."""
+    return 3 * np.sqrt(8 * np.finfo(float).eps * (dim + 4) * top) + 1e-6
+
+
 def _best(ids, dups, same, score, k):
     order = np.lexsort((dups, ids, -score))[:k]
     return ids[order], dups[order], same[order], score[order]
@@ -133,6 +141,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     norm = F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     stats = entries.agg(F.max(F.size("_v")).alias("d"), F.max(norm).alias("m")).first()
     dim, top = max(stats["d"] or 0, 1), float(stats["m"] or 0)
+    # |x y| and all its partial sums are at most the largest squared norm
+    kind, slack = np.float64 if top < 2 ** 53 else np.int64, _slack(dim, top)
     # PIVOTS rows at most reach the driver
     seeds = entries.orderBy(F.xxhash64("_v"), "_v").limit(PIVOTS).select("_v").collect()
     pivots = _lift(_from_pandas([r["_v"] for r in seeds], dim), top) if seeds else np.zeros((1, dim + 1))
@@ -155,30 +165,31 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                           .select("_q", "_v"), "mtree-queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
-    def pages():
+    def pages(wanted):
         split_of = spark.createDataFrame([(p, int(s)) for p, s in enumerate(splits)], "_p int, _of long")  # PIVOTS rows
         dealt = leaves.join(F.broadcast(split_of), "_p").withColumn("_s", F.pmod(F.xxhash64("_v"), F.col("_of")))
-        return dealt.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("_p", "_s", "_b", "_v", "_ids", "_d")
+        return dealt.join(wanted, ["_p", "_s"]).select("_p", "_s", "_b", "_v", "_ids", "_d")
 
     def visit(key, entry, query):
         if not len(entry) or not len(query):
             return pd.DataFrame(columns=["_q", "vec_id", "dup", "same", "score"])
         entry = entry.sort_values("_d", kind="stable")
-        x = _from_pandas(entry["_v"], dim)
+        x = _from_pandas(entry["_v"], dim, kind)
         parent, members = entry["_d"].to_numpy(), entry["_ids"].to_list()
-        qs = _from_pandas(query["_v"], dim)
-        dq = _distances(_lift(qs, top, query=True), pivots[[key[0]]])[:, 0]
+        qs = _from_pandas(query["_v"], dim, kind)
+        dq = _distances(_lift(qs.astype(np.float64), top, query=True), pivots[[key[0]]])[:, 0]
         found = []
         for i, (qid, bound) in enumerate(zip(query["_q"], query["_bound"])):
-            got = search_page(x, parent, members, qs[i], float(qs[i] @ qs[i]), dq[i], bound, top, need)
+            got = search_page(x, parent, members, qs[i], qs[i] @ qs[i], dq[i], bound, top, need)
             if got is not None:
                 ids, dups, same, vals = got
                 found.append(pd.DataFrame({"_q": qid, "vec_id": ids, "dup": dups, "same": same, "score": vals.astype(np.int64)}))
         return pd.concat(found) if found else pd.DataFrame(columns=["_q", "vec_id", "dup", "same", "score"])
 
-    def search(routed):
+    def search(routed, name):
         keys = ["_p", "_s", "_b"]
-        return (pages().groupBy(*keys).cogroup(routed.groupBy(*keys))
+        routed = materialise(routed, name)
+        return (pages(routed.select(*[F.col(c).alias(c) for c in keys]).distinct()).groupBy(*keys).cogroup(routed.groupBy(*keys))
                 .applyInPandas(visit, "_q long, vec_id long, dup long, same boolean, score long"))
 
     def route(first: bool):
@@ -196,7 +207,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 else:
                     score = np.array([np.nan if s is None else s for s in rb.column(3).to_pylist()], np.float64)
                     bound = np.sqrt(np.maximum((q * q).sum(axis=1) + top - 2 * score, 0))
-                    bound = np.where(np.isnan(score), 1e300, bound * (1 + 1e-9) + 1e-6)
+                    bound = np.where(np.isnan(score), 1e300, bound * (1 + 1e-9) + slack)
                     reach = d - radius[None, :] <= bound[:, None]
                 out = []
                 for i, p in zip(*np.nonzero(reach)):
@@ -220,9 +231,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     def best(found):
         return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= need)
 
-    one = materialise(best(search(hashed.mapInArrow(route(True), routed))), "mtree-first")
+    one = materialise(best(search(hashed.mapInArrow(route(True), routed), "mtree-route-first")), "mtree-first")
     bound = one.where(F.col("_n") == need).select("_q", F.col("score").alias("_kth"))
-    two = search(hashed.join(bound, "_q", "left").select("_q", "_v", "_h", "_kth").mapInArrow(route(False), routed))
+    two = search(hashed.join(bound, "_q", "left").select("_q", "_v", "_h", "_kth").mapInArrow(route(False), routed), "mtree-route-second")
     found = best(one.drop("_n").unionByName(two)).select("_q", "vec_id", "dup", "same", "score")
 
     ask = asked.select(F.monotonically_increasing_id().alias("_row"), F.col("_id").alias("query_id"), "_v")

@@ -619,6 +619,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == top5(rows)
 
 
+@pytest.mark.parametrize("scale", [1e3, 1e5, 3e6])
+def test_top_k_of_large_components(spark, monkeypatch, scale):
+    """Sums of products pass 2^53, where float64 no longer holds every integer."""
+    monkeypatch.setattr(mtree, "PIVOTS", 4)
+    monkeypatch.setattr(mtree, "PAGE", 32)
+    rng = np.random.default_rng(int(scale))
+    base = rng.normal(0, scale / 4, (12, 16))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.normal(0, 1e-2, 16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(df).collect())
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, a in q[::50]:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in mtree.top_k(df).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
