@@ -145,25 +145,45 @@ def test_psm_equals_serial_greedy_and_invariants(spark):
     assert dict(zip(pairs.t_id, pairs.c_id)) == ref
 
 
-@pytest.mark.parametrize("shape", ["surplus", "balanced", "short", "disjoint", "ties"])
-def test_psm_pairs_do_not_depend_on_the_packing(spark, shape):
+@pytest.mark.parametrize("shape", ["surplus", "balanced", "short", "disjoint", "ties", "hot"])
+def test_psm_by_deferred_acceptance_equals_the_serial_rule(spark, monkeypatch, shape):
+    """The serial loop's pairs in every shape, and no group above block_rows."""
+    from tabscale.operators import matching
     rng = np.random.RandomState(11)
-    n = 2000
-    t = (rng.rand(n) < {"surplus": 0.15, "short": 0.7}.get(shape, 0.45 if shape != "disjoint" else 0.2)).astype(int)
+    n, rows = (4000, 200) if shape == "balanced" else (1200, 240)
+    t = (rng.rand(n) < {"surplus": 0.15, "short": 0.7, "disjoint": 0.2, "balanced": 0.5}.get(shape, 0.45)).astype(int)
     ps = rng.beta(2, 3, n) + 0.05 * t
     if shape == "ties":
         ps = np.round(ps, 2)
+    if shape == "hot":      # one score holds over a third of all units
+        ps = np.where(rng.rand(n) < 0.4, 0.5, np.round(ps, 1))
     if shape == "disjoint":
         ps = np.where(t == 1, 2 + ps, ps)
     pdf = pd.DataFrame({"id": np.arange(n), "_T": t, "_ps": ps})
     ref = _brute_greedy(pdf.rename(columns={"id": "_id"}).assign(_rank=pdf.id))
+    seen = spark.sparkContext.accumulator(0)
+    real = matching._settle
+
+    def settle(ctrl, units, *where):
+        if len(ctrl) + len(units) > rows:
+            seen.add(1)
+        return real(ctrl, units, *where)
+
+    monkeypatch.setattr(matching, "_settle", settle)
+    pairs = K.psm_match(spark.createDataFrame(pdf), "id", block_rows=rows).toPandas()
+    assert dict(zip(pairs.t_id, pairs.c_id)) == ref
+    assert seen.value == 0
+    assert pairs.block.nunique() > 4 and pairs.groupby("block").size().max() <= rows // 4
+
+
+def test_psm_with_text_ids_in_one_group_and_in_blocks(spark):
+    rng = np.random.RandomState(5)
+    pdf = pd.DataFrame({"id": [f"u{i:04d}" for i in range(400)], "_T": rng.randint(0, 2, 400), "_ps": np.round(rng.rand(400), 2)})
     df = spark.createDataFrame(pdf)
-    for rows in (1, 200, 2_000_000) if shape == "surplus" else (200,):
-        pairs = K.psm_match(df, "id", block_rows=rows).toPandas()
-        assert dict(zip(pairs.t_id, pairs.c_id)) == ref
-        if shape == "surplus" and rows == 1:  # no group holds the table
-            assert pairs.block.nunique() > 20
-            assert pairs.groupby("block").size().max() < len(pairs) / 2
+    one, many = (K.psm_match(df, "id", block_rows=r).toPandas() for r in (1000, 120))
+    assert one.block.nunique() == 1 < many.block.nunique()
+    assert dict(zip(one.t_id, one.c_id)) == dict(zip(many.t_id, many.c_id))
+    assert dict(zip(one.t_id, one.c_id)) == _brute_greedy(pdf.rename(columns={"id": "_id"}).assign(_rank=range(400)))
 
 
 def test_psm_within_keys_and_null_scores(spark):
