@@ -175,6 +175,8 @@ def _across(met: DataFrame, distance: int) -> DataFrame:
 def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, label) of every distinct fingerprint of ``_fp``: label is alike within a component."""
     fps = materialise(prints.select(F.col("_fp").alias("fp")).distinct(), "simhash-vertices")
+    # the few bytes of fingerprints would be read by a task or two, each of which makes 64 rows of one
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     heads = (_variant_rows(fps, distance).groupBy("place", "rest").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("head"))
              .where("c > 1"))
     heads = materialise(heads, "simhash-heads")  # a plain shuffle on both sides lets Spark split a hot bucket
