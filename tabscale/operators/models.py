@@ -10,26 +10,26 @@ the cluster stays busy. Scores are computed with the metric aggregates of
 from __future__ import annotations
 
 import json
-import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe, maybe_broadcast, q
 from . import metrics as M
+from .boosting import LeafBoosting
+from .kernel import KernelMachine
 from .order import prefix_sum, row_index
+from .tpe import Param, Search
 
 CV_FOLDS = 5
 N_TRIALS = 50
-RFF_DIM = 64          # random Fourier features standing in for the RBF kernel
 SEED = 42
 GBT_ROUNDS = 100      # boosting rounds
 GBT_DEPTH = 6
@@ -105,34 +105,14 @@ def train_test_split(df: DataFrame, order_by, test_size: float = 0.2, label: str
 
 # ------------------------------------------------------------------ estimators
 
-def rff_columns(features, dim: int = RFF_DIM, gamma: float | None = None, seed: int = SEED):
-    """Random Fourier features sqrt(2/D) cos(w.x + b), w ~ N(0, 2 gamma) (Rahimi & Recht 2007)
-    as plain column expressions (JVM-side). gamma defaults to 1 / n_features."""
-    rng = np.random.RandomState(seed)
-    p = len(features)
-    gamma = gamma or 1.0 / max(p, 1)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(dim, p))
-    b = rng.uniform(0, 2 * math.pi, size=dim)
-    cols = []
-    for d_ in range(dim):
-        z = F.lit(float(b[d_]))
-        for j, f in enumerate(features):
-            z = z + F.lit(float(W[d_, j])) * q(f).cast("double")
-        cols.append((F.lit(math.sqrt(2.0 / dim)) * F.cos(z)).alias(f"_rff{d_}"))
-    return cols
-
-
 def classification_models(n_rows: int, n_classes: int, rounds: int = GBT_ROUNDS, forest_depth: int = FOREST_DEPTH):
     """The benchmark's classifiers; ``rounds`` of boosting and the depth to which forests grow are parameters."""
-    binary = n_classes == 2
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=0.1, seed=SEED)
-    svc = LinearSVC(regParam=1.0 / max(n_rows, 1), standardization=False)  # the penalty is on the raw features
     return {
         "LogisticRegression": LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, maxIter=1000,
                                                  standardization=False),
         "RandomForest": RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
-        "GradientBoosting": gbt if binary else OneVsRest(classifier=gbt),
-        "SVM": svc if binary else OneVsRest(classifier=svc),
+        "GradientBoosting": LeafBoosting(task="classification", rounds=rounds, max_depth=GBT_DEPTH, seed=SEED),
+        "SVM": KernelMachine(task="classification"),
     }
 
 
@@ -141,31 +121,11 @@ def regression_models(n_rows: int, rounds: int = GBT_ROUNDS, forest_depth: int =
     return {
         "Ridge": LinearRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False),
         "RandomForest": RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
-        "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=0.1, seed=SEED),
-        "SVR": LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0),
+        "GradientBoosting": LeafBoosting(task="regression", rounds=rounds, max_depth=GBT_DEPTH, seed=SEED),
+        "SVR": KernelMachine(task="regression"),
     }
 
 
-def rbf_gamma(df: DataFrame, features) -> float:
-    """Kernel width like gamma='scale': 1 / (n_features * variance of all feature values)."""
-    p = len(features)
-    row = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
-                 *[F.avg(q(c).cast("double") * q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).collect()[0]
-    means = [row[f"m{i}"] or 0.0 for i in range(p)]
-    sq = [row[f"s{i}"] or 0.0 for i in range(p)]
-    var = sum(sq) / p - (sum(means) / p) ** 2
-    return 1.0 / (p * var) if var > 0 else 1.0
-
-
-def _prepare(df: DataFrame, features, label, task, model_name, gamma: float | None = None):
-    cols = [q(c) for c in df.columns]
-    feats = list(features)
-    if model_name in ("SVM", "SVR"):
-        df = df.select(*cols, *rff_columns(features, gamma=gamma))
-        feats = [f"_rff{i}" for i in range(RFF_DIM)]
-    return df, feats
-
-
 def fit_cached(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Iterative estimators re-read their input every iteration: keep it persisted for the fit."""
     from pyspark import StorageLevel
@@ -198,7 +158,7 @@ def primary_metric(task: str, n_classes: int | None = None) -> str:
 
 
 def lower_is_better(metric: str) -> bool:
-    return "RMSE" in metric or "MAE" in metric
+    return metric in {"RMSE", "MAE"}
 
 
 def score_predictions(pred: DataFrame, label: str, metric: str) -> float:
@@ -226,11 +186,8 @@ def _folds(df: DataFrame, label: str, task: str, order_by, is_ts: bool, k: int):
 
 
 def _cv_fold(name, est, tr, te, features, label, task, metric):
-    g = rbf_gamma(tr, features) if name in ("SVM", "SVR") else None
-    tr2, feats = _prepare(tr, features, label, task, name, g)
-    te2, _ = _prepare(te, features, label, task, name, g)
-    model = fit_cached(build_pipeline(est, feats, label, task), tr2)
-    return score_predictions(model.transform(te2), label, metric)
+    model = fit_cached(build_pipeline(est, features, label, task), tr)
+    return score_predictions(model.transform(te), label, metric)
 
 
 def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, is_ts: bool = False,
@@ -266,9 +223,7 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
 
     def refit(item):
         name, est = item
-        g = rbf_gamma(data, features) if name in ("SVM", "SVR") else None
-        full, feats = _prepare(data, features, label, task, name, g)
-        return name, fit_cached(build_pipeline(est, feats, label, task), full)
+        return name, fit_cached(build_pipeline(est, features, label, task), data)
     # refits on all rows are independent Spark jobs too: run them concurrently
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fitted = dict(pool.map(refit, ok))
@@ -280,61 +235,71 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
 
 # ------------------------------------------------------------------ tuning
 
-def search_space(model_name: str, rng: np.random.RandomState, n_rows: int) -> dict:
-    """One seeded draw from the tuning space (reference ranges mapped to Spark params)."""
-    if model_name == "RandomForest":
-        return {"numTrees": int(rng.randint(50, 501)), "maxDepth": int(rng.randint(2, 21)),
-                "minInstancesPerNode": int(rng.randint(1, 11))}
-    if model_name == "GradientBoosting":
-        # Spark's leaves have no ridge penalty: the least gain and the rows of a leaf regularise instead
-        return {"maxIter": int(rng.randint(50, 501)), "maxDepth": int(rng.randint(2, 11)),
-                "stepSize": float(math.exp(rng.uniform(math.log(1e-3), math.log(0.3)))),
-                "subsamplingRate": float(rng.uniform(0.5, 1.0)),
-                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 4)),
-                "minInfoGain": float(math.exp(rng.uniform(math.log(1e-6), math.log(1e-2)))),
-                "minInstancesPerNode": int(rng.randint(1, 21))}
-    if model_name == "LogisticRegression":
-        c = math.exp(rng.uniform(math.log(1e-4), math.log(100.0)))
-        return {"regParam": 1.0 / (c * n_rows)}
-    if model_name == "Ridge":
-        a = math.exp(rng.uniform(math.log(1e-4), math.log(100.0)))
-        return {"regParam": a / n_rows}
-    raise ValueError(f"no search space for {model_name}")
+def search_space(model_name: str) -> dict[str, Param]:
+    """The tuning ranges of a model. ``C`` and ``alpha`` are penalties per data set, not per row."""
+    spaces = {
+        "RandomForest": {"numTrees": Param(50, 500, whole=True), "maxDepth": Param(2, 20, whole=True),
+                         "minInstancesPerNode": Param(1, 10, whole=True)},
+        "GradientBoosting": {"rounds": Param(50, 500, whole=True), "max_depth": Param(2, 10, whole=True),
+                             "learning_rate": Param(1e-3, 0.3, log=True), "subsample": Param(0.5, 1.0),
+                             "colsample": Param(0.5, 1.0), "reg_lambda": Param(1e-3, 10.0, log=True),
+                             "num_leaves": Param(20, 300, whole=True)},
+        "LogisticRegression": {"C": Param(1e-4, 100.0, log=True)},
+        "Ridge": {"alpha": Param(1e-4, 100.0, log=True)},
+        "SVM": {"C": Param(1e-2, 100.0, log=True)},
+        "SVR": {"C": Param(1e-2, 100.0, log=True), "epsilon": Param(1e-3, 1.0, log=True)},
+    }
+    if model_name not in spaces:
+        raise ValueError(f"no search space for {model_name}")
+    return spaces[model_name]
+
+
+def with_params(estimator, params: dict, n_rows: int):
+    """A copy of the estimator with the drawn parameters."""
+    own = {}
+    for name, v in params.items():
+        if name == "C" and not estimator.hasParam("C"):
+            own["regParam"] = 1.0 / (v * n_rows)
+        elif name == "alpha":
+            own["regParam"] = v / n_rows
+        else:
+            own[name] = v
+    return estimator.copy({estimator.getParam(k): v for k, v in own.items()})
 
 
 def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name: str, order_by,
                       n_trials: int = N_TRIALS, is_ts: bool = False, seed: int = SEED, parallelism: int = 8,
                       k: int = CV_FOLDS):
-    """Seeded random search: n_trials candidates, each scored by k-fold CV on folds computed
-    once; trials run as concurrent Spark jobs. Returns (trials DataFrame, best params,
-    baseline score, best score, model refit on all rows)."""
+    """Tree-structured Parzen search: batches of ``parallelism`` proposals, each scored by k-fold CV on folds
+    computed once, their fits run as concurrent Spark jobs. Returns (trials DataFrame, best params, baseline
+    score, best score, model refit on all rows); a failed trial has no score and its error's text."""
     spark = df.sparkSession
     data, splits = _folds(df, label, task, order_by, is_ts, k)
     n = data.count()
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     metric = primary_metric(task, n_classes)
     base = (classification_models(n, n_classes) if task == "classification" else regression_models(n))[model_name]
-    rng = np.random.RandomState(seed)
-    cands = [search_space(model_name, rng, n) for _ in range(n_trials)]
 
     def cv(params):
-        est = base.copy({base.getParam(k_): v for k_, v in params.items()} if params else {})
         try:
-            return float(np.mean([_cv_fold(model_name, est, tr, te, features, label, task, metric) for tr, te in splits]))
-        except Exception:  # noqa: BLE001 - a failing trial scores None
-            return None
+            est = with_params(base, params, n)
+            return float(np.mean([_cv_fold(model_name, est, tr, te, features, label, task, metric) for tr, te in splits])), None
+        except Exception as e:  # noqa: BLE001 - a failing trial is reported, not fatal
+            return None, str(e)[:200]
+    search = Search(search_space(model_name), seed, lower_is_better(metric))
+    errors = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(cv, [{}] + cands))
-    baseline, scores = scores[0], scores[1:]
-    rows = [(i, json.dumps(p, sort_keys=True), s) for i, (p, s) in enumerate(zip(cands, scores))]
-    trials = spark.createDataFrame(rows, "trial int, params string, score double")
-    ok = [(s, i) for i, s in enumerate(scores) if s is not None]
-    best_s, best_i = (min(ok) if lower_is_better(metric) else max(ok)) if ok else (None, None)
-    best_p = cands[best_i] if best_i is not None else {}
-    est = base.copy({base.getParam(k_): v for k_, v in best_p.items()})
-    g = rbf_gamma(data, features) if model_name in ("SVM", "SVR") else None
-    full, feats = _prepare(data, features, label, task, model_name, g)
-    model = fit_cached(build_pipeline(est, feats, label, task), full)
+        first = pool.submit(cv, {})
+        while len(search.trials) < n_trials:
+            batch = [search.ask() for _ in range(min(parallelism, n_trials - len(search.trials)))]
+            for (number, _), (score, error) in zip(batch, pool.map(cv, [p for _, p in batch])):
+                search.tell(number, score)
+                errors.append(error)
+        baseline = first.result()[0]
+    rows = [(i, json.dumps(p, sort_keys=True), s, e) for i, (p, s, e) in enumerate(zip(search.trials, search.scores, errors))]
+    trials = spark.createDataFrame(rows, "trial int, params string, score double, error string")
+    best_s, best_p = search.best()
+    model = fit_cached(build_pipeline(with_params(base, best_p, n), features, label, task), data)
     return trials, best_p, baseline, best_s, model
 
 
@@ -370,11 +335,8 @@ def evaluate_model(df: DataFrame, features, label: str, task: str, order_by, mod
     train, test = split.filter("is_train"), split.filter(~F.col("is_train"))
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     est = (classification_models(n, n_classes) if task == "classification" else regression_models(n))[model_name]
-    g = rbf_gamma(train, features) if model_name in ("SVM", "SVR") else None
-    tr2, feats = _prepare(train, features, label, task, model_name, g)
-    te2, _ = _prepare(test, features, label, task, model_name, g)
-    model = fit_cached(build_pipeline(est, feats, label, task), tr2)
-    pred = model.transform(te2)
+    model = fit_cached(build_pipeline(est, features, label, task), train)
+    pred = model.transform(test)
     out = {}
     if task == "classification":
         pred = pred.withColumn("_pred_label", F.element_at(
@@ -388,7 +350,7 @@ def evaluate_model(df: DataFrame, features, label: str, task: str, order_by, mod
     else:
         out["metrics"] = M.regression_metrics(pred, label, "prediction")
         out["residuals"] = M.residuals(pred, label, "prediction")
-    imp = feature_importance(model, feats)
+    imp = feature_importance(model, features)
     if imp is not None:
         out["feature_importance"] = imp
     out["model"] = model

@@ -184,10 +184,8 @@ def _fit(spark, d, name, task):
     else:
         df, feats, y, key = fx_model_reg(spark, d), REG_X, "value_sum", "hour"
         est = ML.regression_models(df.count())[name]
-    g = ML.rbf_gamma(df, feats) if name in ("SVM", "SVR") else None
-    x, f2 = ML._prepare(df, feats, y, task, name, g)
-    model = ML.fit_cached(ML.build_pipeline(est, f2, y, task), x)
-    out = model.transform(x)
+    model = ML.fit_cached(ML.build_pipeline(est, feats, y, task), df)
+    out = model.transform(df)
     return out.select(key, F.col(y).alias("label"), F.col("prediction").cast("double").alias("prediction"))
 
 
