@@ -21,31 +21,32 @@ def best_so_far(df: DataFrame, order_col: str, score: str, higher_is_better: boo
     return out.withColumn(name, best).drop("_s", "_best")
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(actual, predicted, count) over the union of observed classes, zero cells included."""
+def confusion_matrix(df: DataFrame, label: str, prediction: str, zero_cells: bool = False) -> DataFrame:
+    """(actual, predicted, count) of the cells that occur, null a class of its own. ``zero_cells`` adds the empty cells
+    between all observed non-null classes, for a table of few classes."""
     x = df.select(q(label).cast("string").alias("actual"), q(prediction).cast("string").alias("predicted"))
     cnt = x.groupBy("actual", "predicted").agg(F.count(F.lit(1)).cast("long").alias("count"))
-    classes = sorted(r["c"] for r in x.select(F.col("actual").alias("c")).union(
-        x.select(F.col("predicted").alias("c"))).distinct().filter(F.col("c").isNotNull()).limit(100_001).collect())
-    if len(classes) > 100_000:
-        raise ValueError("more than 100000 classes")
-    lits = F.array(*[F.lit(c) for c in classes])
-    # the k x k cells are generated from the class list, not by joining rows
-    grid = (x.sparkSession.range(1).select(F.explode(lits).alias("actual"))
-            .select("actual", F.explode(lits).alias("predicted")))
-    return grid.join(cnt, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    if not zero_cells:
+        return cnt
+    seen = cnt.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c IS NOT NULL")
+    # one row with the list of classes makes the grid
+    lists = seen.agg(F.collect_set("c").alias("cs"))
+    grid = lists.select(F.explode("cs").alias("actual"), "cs").select("actual", F.explode("cs").alias("predicted"), F.lit(0).alias("z"))
+    return cnt.unionByName(grid.select("actual", "predicted", F.col("z").cast("long").alias("count"))).groupBy(
+        "actual", "predicted").agg(F.sum("count").cast("long").alias("count"))
 
 
 def classification_report(df: DataFrame, label: str, prediction: str, digits: int = 6) -> DataFrame:
     """Per class precision, recall, f1, support; plus accuracy, macro avg and weighted avg rows
-    (undefined ratios count as 0)."""
-    cm = confusion_matrix(df, label, prediction)
+    (undefined ratios count as 0). Rows without a label are left out; a null prediction is a wrong one.
+
+    Two grouped sums of the cells that occur and a full join by class: no list of classes, no grid."""
+    cm = confusion_matrix(df, label, prediction).where("actual IS NOT NULL").checkpoint()
     per = cm.groupBy(F.col("actual").alias("cls")).agg(
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count"))).alias("tp"),
         F.sum("count").alias("support"))
-    pred = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
-    j = per.join(pred, "cls")
+    pred = cm.where("predicted IS NOT NULL").groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
+    j = per.join(pred, "cls", "full").fillna(0, ["tp", "support", "npred"])
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("npred")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))

@@ -105,6 +105,17 @@ def train_test_split(df: DataFrame, order_by, test_size: float = 0.2, label: str
 
 # ------------------------------------------------------------------ estimators
 
+class Ridge(LinearRegression):
+    """Linear regression whose ``regParam`` is the penalty per row of the plain objective, |r|^2 / (2 n) + regParam |w|^2 / 2.
+
+    Spark's solver scales the label to unit deviation and with it the penalty by 1 / deviation; this undoes it."""
+
+    def _fit(self, dataset):
+        sd = dataset.agg(F.stddev_pop(q(self.getLabelCol()).cast("double"))).collect()[0][0]
+        own = self.copy({self.regParam: self.getRegParam() * sd} if sd else {})
+        return super(Ridge, own)._fit(dataset)
+
+
 def classification_models(n_rows: int, n_classes: int, rounds: int = GBT_ROUNDS, forest_depth: int = FOREST_DEPTH):
     """The benchmark's classifiers; ``rounds`` of boosting and the depth to which forests grow are parameters."""
     return {
@@ -119,7 +130,7 @@ def classification_models(n_rows: int, n_classes: int, rounds: int = GBT_ROUNDS,
 def regression_models(n_rows: int, rounds: int = GBT_ROUNDS, forest_depth: int = FOREST_DEPTH):
     """The benchmark's regressors; parameters as in ``classification_models``."""
     return {
-        "Ridge": LinearRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False),
+        "Ridge": Ridge(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False),
         "RandomForest": RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
         "GradientBoosting": LeafBoosting(task="regression", rounds=rounds, max_depth=GBT_DEPTH, seed=SEED),
         "SVR": KernelMachine(task="regression"),

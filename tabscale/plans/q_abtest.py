@@ -174,16 +174,62 @@ def q_ab_normality_gate(spark, d):
     return A.normality_gate(X.fx_ab_cont(spark, d), "arm", "outcome", by=["segment"])
 
 
-@register("ab_test")
+def _ab_test_sql(by: str) -> str:
+    """The whole result row: Welch where both arms pass the normality test, else Mann-Whitney."""
+    g = by or "'all'"
+    ctes = [CONT,
+            f"""x AS (SELECT {g} AS seg, arm, outcome AS y FROM fx_ab_cont WHERE outcome IS NOT NULL)""",
+            """r AS (SELECT seg, count(*) FILTER (WHERE arm = 'click') AS n_c, count(*) FILTER (WHERE arm = 'view') AS n_t,
+                 avg(y) FILTER (WHERE arm = 'click') AS mean_c, avg(y) FILTER (WHERE arm = 'view') AS mean_t,
+                 var_samp(y) FILTER (WHERE arm = 'click') AS var_c, var_samp(y) FILTER (WHERE arm = 'view') AS var_t FROM x GROUP BY seg)""",
+            """gate AS (SELECT seg, bool_and(exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) > 0.05) AS normal FROM (
+                 SELECT seg, arm, count(*) AS n, avg(pow(y - m, 2)) AS m2, avg(pow(y - m, 3)) AS m3, avg(pow(y - m, 4)) AS m4
+                 FROM (SELECT *, avg(y) OVER (PARTITION BY seg, arm) AS m FROM x) GROUP BY 1, 2) GROUP BY seg)""",
+            """rk AS (SELECT seg, arm, y, rank() OVER (PARTITION BY seg ORDER BY y) + (count(*) OVER (PARTITION BY seg, y) - 1) / 2.0 AS mr FROM x)""",
+            """tie AS (SELECT seg, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT seg, y, count(*) AS t FROM x GROUP BY 1, 2) GROUP BY 1)""",
+            """u AS (SELECT seg, sum(mr) FILTER (WHERE arm = 'click') - r.n_c * (r.n_c + 1) / 2.0 AS u, r.n_c, r.n_t
+                 FROM rk JOIN r USING (seg) GROUP BY seg, r.n_c, r.n_t)""",
+            """w AS (SELECT seg, u, (greatest(u, n_c * n_t - u) - n_c * n_t / 2.0 - 0.5)
+                 / sqrt(n_c * n_t / 12.0 * ((n_c + n_t + 1) - ties / ((n_c + n_t) * (n_c + n_t - 1.0)))) AS z FROM u JOIN tie USING (seg))""",
+            f"""f AS (SELECT *, (mean_c - mean_t) / sqrt(var_c / n_c + var_t / n_t) AS t, {_D} AS d, sqrt(var_c / n_c + var_t / n_t) AS se,
+                 pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)) AS df,
+                 {Z} - abs({_D}) * sqrt(n_c * n_t / (n_c + n_t)) AS a FROM r JOIN gate USING (seg) JOIN w USING (seg))""",
+            f"""p AS (SELECT *, CASE WHEN normal THEN {_t_sf2("t", "df")} ELSE least(1.0, 2 * (1 - {_phi("z")})) END AS pv FROM f)"""]
+    return X.with_ctes(
+        f"""SELECT {"seg AS " + by + "," if by else ""} 'continuous' AS outcome_type, 'click' AS control_label, 'view' AS treatment_label,
+           n_c AS n_control, n_t AS n_treatment, CASE WHEN normal THEN 'Welch''s t-test' ELSE 'Mann-Whitney U' END AS test_name,
+           round(CASE WHEN normal THEN t ELSE u END, 4) AS statistic, round(pv, 6) AS p_value, round(d, 4) AS effect_size,
+           'Cohen''s d' AS effect_size_label, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small'
+             WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_interpretation,
+           round(mean_t - mean_c - 1.96 * se, 4) AS ci_low, round(mean_t - mean_c + 1.96 * se, 4) AS ci_high,
+           round(mean_t - mean_c, 4) AS mean_diff, round(1 - {_phi("a")}, 4) AS power, pv < 0.05 AS significant,
+           normal AS normal_assumption_met, CAST(NULL AS VARCHAR) AS note FROM p""", *ctes)
+
+
+@register("ab_test", _ab_test_sql(""))
 def q_ab_test(spark, d):
     return A.ab_test(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id")
 
 
-@register("ab_test_segments")
+@register("ab_test_segments", _ab_test_sql("segment"))
 def q_ab_test_segments(spark, d):
     return A.ab_test(X.fx_ab_cont(spark, d), "arm", "outcome", id_col="event_id", by=["segment"])
 
 
-@register("ab_test_binary")
+_ZP = f"(CASE WHEN {_SE0} > 0 THEN ({_RT} - {_RC}) / {_SE0} ELSE 0.0 END)"
+_V = "sqrt(chi2 / (n * (k - 1)))"
+
+
+@register("ab_test_binary", X.with_ctes(
+    f"""SELECT 'binary' AS outcome_type, 'F' AS control_label, 'O' AS treatment_label, n_c AS n_control, n_t AS n_treatment,
+       'Chi-square test' AS test_name, round(chi2, 4) AS statistic, round(2 * (1 - {_phi("sqrt(chi2)")}), 6) AS p_value,
+       round({_V}, 4) AS effect_size, 'Cramér''s V' AS effect_size_label,
+       CASE WHEN {_V} < 0.1 THEN 'negligible' WHEN {_V} < 0.3 THEN 'small' WHEN {_V} < 0.5 THEN 'medium' ELSE 'large' END AS effect_interpretation,
+       round({_RT} - {_RC} - 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 4) AS ci_low,
+       round({_RT} - {_RC} + 1.96 * sqrt({_RC} * (1 - {_RC}) / n_c + {_RT} * (1 - {_RT}) / n_t), 4) AS ci_high,
+       round({_RC}, 6) AS rate_c, round({_RT}, 6) AS rate_t, round({_RT} - {_RC}, 4) AS rate_diff,
+       round(CASE WHEN {_RC} > 0 THEN ({_RT} - {_RC}) / {_RC} * 100 ELSE 0.0 END, 2) AS lift_pct,
+       round({_phi(f"abs({_ZP}) - {Z}")}, 4) AS power, 2 * (1 - {_phi("sqrt(chi2)")}) < 0.05 AS significant,
+       CAST(NULL AS VARCHAR) AS note FROM cv, chi""", BIN, _CT, _CHI, _CONV))
 def q_ab_test_binary(spark, d):
     return A.ab_test(X.fx_ab_bin(spark, d), "arm", "outcome", id_col="l_orderkey")

@@ -60,7 +60,10 @@ def q_train_test_split(spark, d):
     return ML.train_test_split(X.fx_ts_regular(spark, d).select("hour"), ["hour"], positional=True)
 
 
-@register("train_test_split_stratified")
+@register("train_test_split_stratified", X.with_ctes(
+    """SELECT l_returnflag, is_train, CASE WHEN is_train THEN n - t ELSE t END AS count
+    FROM (SELECT l_returnflag, count(*) AS n, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS t FROM fx_cat GROUP BY 1),
+         (SELECT unnest([true, false]) AS is_train)""", X.SQL_FX_CAT))
 def q_train_test_split_stratified(spark, d):
     df = X.fx_cat(spark, d).select(*IDS, "l_returnflag")
     out = ML.train_test_split(df, IDS, label="l_returnflag", id_col="l_orderkey")
@@ -85,7 +88,7 @@ _CM = """cm AS (SELECT a.c AS actual, p.c AS predicted, CAST(COALESCE(x.cnt, 0)
 
 @register("confusion_matrix", X.with_ctes("SELECT * FROM cm", X.SQL_FX_MULTICLASS, _CM))
 def q_confusion_matrix(spark, d):
-    return M.confusion_matrix(X.fx_multiclass(spark, d), "label", "prediction")
+    return M.confusion_matrix(X.fx_multiclass(spark, d), "label", "prediction", zero_cells=True)
 
 
 @register("classification_report", X.with_ctes(
@@ -197,6 +200,55 @@ register("fit_svm")(lambda spark, d: _fit(spark, d, "SVM", "classification"))
 register("fit_svr")(lambda spark, d: _fit(spark, d, "SVR", "regression"))
 
 
+_RIDGE_SQL = "SELECT unnest(['intercept', 'n', 'value_max', 'hod', 'dow']) AS term, true AS holds"
+
+
+@register("fit_ridge_equations", _RIDGE_SQL)
+def q_fit_ridge_equations(spark, d):
+    """The normal equations at the fitted ridge model: residuals . x = alpha w for every term (alpha = 1)."""
+    df = fx_model_reg(spark, d)
+    model = ML.fit_cached(ML.build_pipeline(ML.regression_models(df.count())["Ridge"], REG_X, "value_sum", "regression"), df)
+    out = model.transform(df).withColumn("_r", F.col("value_sum") - F.col("prediction"))
+    sums = out.agg(F.sum("_r").alias("intercept"), *[F.sum(F.col("_r") * F.col(c)).alias(c) for c in REG_X],
+                   *[F.sum(F.abs(F.col("value_sum") * F.col(c))).alias(f"_{c}") for c in REG_X], F.sum(F.abs("value_sum")).alias("_intercept"))
+    w = dict(zip(REG_X, model.stages[-1].coefficients.toArray().tolist()))
+    cells = [F.struct(F.lit(c).alias("term"), (F.abs(F.col(c) - F.lit(w.get(c, 0.0))) <= 1e-6 * F.col(f"_{c}")).alias("holds"))
+             for c in ["intercept", *REG_X]]
+    return sums.select(F.inline(F.array(*cells)))
+
+
+@register("gbt_training_loss", "SELECT 100 AS rounds, 0 AS rises, true AS halved")
+def q_gbt_training_loss(spark, d):
+    """The loss before each boosting round and after the last: it never rises."""
+    df = fx_model_reg(spark, d)
+    model = ML.fit_cached(ML.build_pipeline(ML.regression_models(df.count())["GradientBoosting"], REG_X, "value_sum", "regression"), df)
+    loss = model.stages[-1].losses
+    rises = sum(b > a for a, b in zip(loss, loss[1:]))
+    return spark.createDataFrame([(len(loss) - 1, rises, loss[-1] < loss[0] / 2)], "rounds int, rises int, halved boolean")
+
+
+@register("kernel_objective", "SELECT unnest(['SVM', 'SVR']) AS model, 0 AS rises, true AS fell")
+def q_kernel_objective(spark, d):
+    """The objective by Newton step of both kernel machines: it never rises."""
+    rows = []
+    for name, df, feats, y, task in (("SVM", fx_model_cls(spark, d), CLS_X, "label", "classification"),
+                                     ("SVR", fx_model_reg(spark, d), REG_X, "value_sum", "regression")):
+        est = (ML.classification_models(1, 2) if task == "classification" else ML.regression_models(1))[name]
+        trace = ML.fit_cached(ML.build_pipeline(est, feats, y, task), df).stages[-1].objectives[0]
+        rows.append((name, int(sum(b > a for a, b in zip(trace, trace[1:]))), bool(trace[-1] < trace[0])))
+    return spark.createDataFrame(rows, "model string, rises int, fell boolean")
+
+
+@register("hyperparam_search_summary", "SELECT 16 AS trials, 16 AS scored, true AS best_is_least, true AS not_worse, true AS in_range")
+def q_hyperparam_search_summary(spark, d):
+    trials, best, base, score, _ = ML.hyperparam_search(fx_model_reg(spark, d), REG_X, "value_sum", "regression", "Ridge", ["hour"],
+                                                        n_trials=16)
+    alpha = F.get_json_object("params", "$.alpha").cast("double")
+    return trials.agg(F.count(F.lit(1)).cast("int").alias("trials"), F.count("score").cast("int").alias("scored"),
+                      (F.min("score") == score).alias("best_is_least"), (F.min("score") <= base * 1.001).alias("not_worse"),
+                      F.bool_and(alpha.between(1e-4, 100)).alias("in_range"))
+
+
 @register("benchmark_models")
 def q_benchmark_models(spark, d):
     lb, _, _ = ML.benchmark_models(fx_model_cls(spark, d), CLS_X, "label", "classification", ["doc_id"])

@@ -9,7 +9,8 @@ from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as S
 from . import fixtures as X
-from .registry import register
+from . import q_clean, q_profile  # noqa: F401 - their oracles count the report sections
+from .registry import ORACLES, register
 
 _NUM_RE = r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*"
 _NA_SQL = ", ".join("'" + t + "'" for t in R.NA_TOKENS)
@@ -60,7 +61,7 @@ def q_preview(spark, d):
     return R.preview(X.table(spark, d, "orders"), ["o_orderkey"], 10)
 
 
-@register("save_model")
+@register("save_model", X.with_ctes("SELECT hour, true AS equal FROM fx_ts_regular", X.SQL_FX_TS_REGULAR))
 def q_save_model(spark, d):
     from ..operators import models as ML
     from .q_models import REG_X, fx_model_reg
@@ -70,16 +71,21 @@ def q_save_model(spark, d):
     again = S.load_model(path)
     a = model.transform(df).select("hour", F.col("prediction").alias("p1"))
     b = again.transform(df).select("hour", F.col("prediction").alias("p2"))
-    return a.join(b, "hour").select("hour", "p1", "p2", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("equal"))
+    return a.join(b, "hour").select("hour", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("equal"))
 
 
-@register("write_report_tables")
+def _report_sql():
+    parts = {"outliers": "outlier_summary", "describe": "describe_numeric", "nulls": "null_counts"}
+    return " UNION ALL ".join(f"SELECT '{k}' AS section, (SELECT count(*) FROM ({ORACLES[v]})) AS n_rows" for k, v in parts.items())
+
+
+@register("write_report_tables", _report_sql())
 def q_write_report_tables(spark, d):
     from ..operators import clean as C
     from ..operators import profile as P
     fx = X.fx_dirty(spark, d)
     return S.write_report_tables(spark, {"outliers": C.outlier_summary(fx), "describe": P.describe_numeric(fx),
-                                         "nulls": C.null_counts(fx)})
+                                         "nulls": C.null_counts(fx)}).select("section", "n_rows")
 
 
 # ------------------------------------------------------------------ order primitives
@@ -109,6 +115,15 @@ def q_nearest_join(spark, d):
     return O.nearest_join(left, right, "o_totalprice").select("o_orderkey", F.round("distance", 6).alias("distance"))
 
 
+@register("sample_per_group_counts", """SELECT o_orderstatus, least(50, count(*)) AS n, least(50, count(*)) AS of_group
+  FROM orders GROUP BY o_orderstatus""")
+def q_sample_per_group_counts(spark, d):
+    o = X.table(spark, d, "orders").select("o_orderstatus", "o_orderkey")
+    s = O.sample_per_group(o, 50, by=["o_orderstatus"], id_col="o_orderkey").select("o_orderstatus", "o_orderkey")
+    back = s.join(o, ["o_orderstatus", "o_orderkey"], "left_semi").groupBy("o_orderstatus").agg(F.count_distinct("o_orderkey").alias("of_group"))
+    return s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).join(back, "o_orderstatus")
+
+
 @register("sample_per_group")
 def q_sample_per_group(spark, d):
     o = X.table(spark, d, "orders")

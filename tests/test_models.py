@@ -215,3 +215,40 @@ def test_kernel_classes_and_persistence(spark, blobs, tmp_path):
     model.write().overwrite().save(str(tmp_path / "k"))
     again = PipelineModel.load(str(tmp_path / "k")).transform(whole)
     assert again.select("i", "prediction").exceptAll(out.select("i", "prediction")).count() == 0
+
+
+# ---------------------------------------------------------------------- metrics
+
+def test_report_counts_null_predictions_and_many_classes(spark):
+    from tabscale.operators import metrics as M
+    df = spark.createDataFrame([("a", "a"), ("a", None), (None, "a"), ("b", "a"), ("c", "z")], "l string, p string")
+    rep = {r["class"]: (r["precision"], r["recall"], r["support"]) for r in M.classification_report(df, "l", "p").collect()}
+    assert rep["a"] == (0.5, 0.5, 2) and rep["z"] == (0.0, 0.0, 0) and rep["accuracy"][0] == 0.25
+    assert {(r[0], r[1]): r[2] for r in M.confusion_matrix(df, "l", "p").collect()} == {
+        ("a", "a"): 1, ("a", None): 1, (None, "a"): 1, ("b", "a"): 1, ("c", "z"): 1}
+    full = {(r[0], r[1]): r[2] for r in M.confusion_matrix(df, "l", "p", zero_cells=True).collect()}
+    assert len(full) == 16 + 2 and full[("z", "z")] == 0
+    many = spark.range(200_000).select(F.col("id").cast("string").alias("l"), (F.col("id") - F.col("id") % 2).cast("string").alias("p"))
+    rep = {r["class"]: r["recall"] for r in M.classification_report(many, "l", "p").where("class IN ('accuracy', 'macro avg')").collect()}
+    assert rep == {"accuracy": 0.5, "macro avg": 0.5}
+
+
+def test_bootstrap_copies_no_row(spark):
+    from tabscale.operators import causal as C
+    df = spark.range(5000).select(F.col("id"), (F.rand(3) * 10).alias("v"))
+    reps = C.poisson_bootstrap(df, "v", "id", 50, 7)
+    assert "Generate" not in reps._jdf.queryExecution().executedPlan().toString()
+    one, two = ({r["rep"]: r["estimate"] for r in C.poisson_bootstrap(df.repartition(n), "v", "id", 50, 7).collect()} for n in (1, 5))
+    assert len(one) == 50 and all(one[k] == pytest.approx(two[k]) for k in one)
+    assert C.poisson_bootstrap(df.limit(0), "v", "id").collect() == []
+
+
+def test_ridge_solves_the_plain_objective(spark):
+    rng = np.random.RandomState(1)
+    x, y = rng.normal(0, 1, (80, 2)), rng.normal(0, 50, 80)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
+    for alpha in (0.5, 20.0):
+        est = ML.with_params(ML.regression_models(80)["Ridge"], {"alpha": alpha}, 80)
+        got = ML.build_pipeline(est, ["a", "b"], "y", "regression").fit(df).stages[-1].coefficients.toArray()
+        c = x - x.mean(0)
+        assert np.allclose(got, np.linalg.solve(c.T @ c + alpha * np.eye(2), c.T @ (y - y.mean())), rtol=1e-6)
