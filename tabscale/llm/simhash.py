@@ -180,12 +180,12 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     heads = (_variant_rows(fps, distance).groupBy("place", "rest").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("head"))
              .where("c > 1"))
     heads = materialise(heads, "simhash-heads")  # a plain shuffle on both sides lets Spark split a hot bucket
-    near_head = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= distance
-    # strangers that meet in a bucket of two are told apart inside the join and leave no row
+    near_head = (F.col("fp") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= distance)
+    # the head itself and strangers that meet in a bucket of two leave no row of the join
     on = (F.col("v.place") == F.col("h.place")) & (F.col("v.rest") == F.col("h.rest")) & (near_head | (F.col("c") > 2))
     met = _variant_rows(fps, distance).alias("v").join(heads.alias("h"), on).select("v.place", "v.rest", "fp", "c", "head")
     met = materialise(met, "simhash-members")
-    linked = met.where((F.col("fp") != F.col("head")) & near_head)
+    linked = met.where(near_head)
     near = connected_components(linked.select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-near")
     near = near.select(F.col("v").alias("fp"), "label")
 
