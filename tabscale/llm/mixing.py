@@ -8,10 +8,13 @@ of epochs stays in the limit; where both are given the limit wins.
 
 The weights become token budgets. By default the total is the smallest one at
 which no source falls below one epoch, so every document is used. A source's
-budget is realised as whole epochs plus a prefix of one more permutation. Every
-epoch permutes the documents by a seeded hash cut into ``BLOCKS`` blocks; the
-prefix takes whole blocks by their token sums and cuts only one block row by
-row, so a hot source is never sorted as one group.
+budget is realised as whole epochs plus a prefix of one more. Every epoch has its
+own permutation of the documents: a place in [0, 1) by a hash of seed, epoch and
+row. The prefix takes whole blocks of its epoch's permutation, one of ``BLOCKS``,
+by their token sums and cuts only one block row by row, so a hot source is never
+sorted as one group. In the mix copy c of a row stands at (c + its place in epoch
+c) / epochs, so all sources run out together; ``mix`` deals that line into blocks
+and writes every block in its order.
 
 Defined cases: null and empty texts have 0 tokens; a null source is a source of
 its own; a source without tokens gets weight 0 and one epoch; repeated rows are
@@ -92,19 +95,22 @@ def solve_exponent(shares: DataFrame, target_entropy: float | None = TARGET_ENTR
     return a
 
 
+def _place(seed: int, epoch, rid):
+    """Place of a row in the permutation of an epoch, in 2^40 steps."""
+    return F.pmod(F.xxhash64(F.lit(seed), epoch, rid), F.lit(1 << 40))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              target_entropy: float | None = TARGET_ENTROPY, max_epochs: float | None = MAX_EPOCHS,
              total: float | None = None, seed: int = SEED) -> DataFrame:
     """One row per input row: _rid, _id, _source, n_tokens, weight, epochs, copies, mix_pos.
 
-    ``copies`` is how often the mix uses the row; copy c (from 0) stands at
-    (c + mix_pos) / epochs of the mix, mix_pos being its place in the permutation."""
+    ``copies`` is how often the mix uses the row, ``mix_pos`` its place in the permutation of the last, partial epoch."""
     text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
     n_tokens = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
     stats = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"),
                         F.col(source_col).cast("string").alias("_source"), n_tokens.cast("long").alias("n_tokens"))
-    # the same place in every epoch's base permutation; epochs rotate it by their own offset
-    stats = materialise(stats.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_id", "_rid"), F.lit(1 << 40))), "mix-stats")
+    stats = materialise(stats, "mix-stats")
 
     per_source = materialise(stats.groupBy(F.col("_source").alias("_s")).agg(F.sum("n_tokens").cast("double").alias("t")), "mix-sources")
     everything = per_source.agg(F.sum("t")).first()[0] or 0.0
@@ -125,6 +131,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = plan.select("_s", "weight", "epochs", whole.alias("_whole"),
                        F.round(F.greatest(F.col("epochs") - whole, F.lit(0.0)) * F.col("t")).cast("long").alias("_rest"))
     rows = stats.join(plan, stats["_source"].eqNullSafe(plan["_s"])).drop("_s")
+    rows = rows.withColumn("_u", _place(seed, F.col("_whole").cast("long"), F.col("_rid")))
     rows = rows.withColumn("_blk", F.floor(F.col("_u") / ((1 << 40) // BLOCKS)).cast("int"))
 
     # the partial epoch: whole blocks by their token sums, one block row by row
@@ -145,10 +152,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                        (F.col("_whole") + taken).alias("copies"), (F.col("_u") / float(1 << 40)).alias("mix_pos"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """The input rows, each as often as the mix uses it, with the input's columns."""
-    copies = mix_plan(docs, id_col, text_col, source_col, **targets).select(
-        F.col("_rid").alias("__llm_rid"), F.col("copies").alias("__llm_copies"))
-    rows = docs.withColumn("__llm_rid", row_id(docs)).join(copies, "__llm_rid")
-    return (rows.withColumn("__llm_copy", F.explode(F.expr("sequence(1, __llm_copies)")))
-            .where("__llm_copies > 0").drop("__llm_rid", "__llm_copies", "__llm_copy"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
+        **targets) -> DataFrame:
+    """The input rows, each as often as the mix uses it and in the mix's order within blocks, with the input's columns."""
+    copies = mix_plan(docs, id_col, text_col, source_col, seed=seed, **targets).select(
+        F.col("_rid").alias("__llm_rid"), F.col("copies").alias("__llm_copies"), F.col("epochs").alias("__llm_epochs"))
+    rows = docs.withColumn("__llm_rid", row_id(docs)).join(copies, "__llm_rid").where("__llm_copies > 0")
+    rows = rows.withColumn("__llm_copy", F.explode(F.expr("sequence(0L, __llm_copies - 1)")))
+    at = (F.col("__llm_copy") + _place(seed, F.col("__llm_copy"), F.col("__llm_rid")) / float(1 << 40)) / F.col("__llm_epochs")
+    rows = rows.withColumn("__llm_at", at).withColumn("__llm_block", F.floor(at * BLOCKS))
+    rows = rows.repartition("__llm_block").sortWithinPartitions("__llm_block", "__llm_at", "__llm_rid")
+    return rows.drop("__llm_rid", "__llm_copies", "__llm_epochs", "__llm_copy", "__llm_at", "__llm_block")

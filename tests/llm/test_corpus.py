@@ -163,6 +163,52 @@ def test_mixing_meets_targets(spark, kw):
         assert sum(b[3] * b[0] for b in live.values()) == pytest.approx(kw["total"])
 
 
+def test_mixing_equals_brute_force(spark):
+    """Exponent by a plain bisection, epochs, and the prefix of the last epoch row by row."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(1, 9)), "abc"[min(2, int(rng.expovariate(1.1)))]) for i in range(400)]
+    tokens = {i: len(t.split()) for i, t, _ in rows}
+    per = collections.Counter()
+    for i, _, s in rows:
+        per[s] += tokens[i]
+    share = {s: n / sum(per.values()) for s, n in per.items()}
+
+    def weights(a):
+        z = sum(p ** a for p in share.values())
+        return {s: p ** a / z for s, p in share.items()}
+
+    def entropy(a):
+        return -sum(w * math.log(w) for w in weights(a).values()) / math.log(len(share))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if entropy(mid) >= 0.97 else (lo, mid)
+    total = 2.5 * sum(per.values())
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), target_entropy=0.97, max_epochs=None,
+                          total=total).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["_source"]].append(r)
+    for s, rs in by.items():
+        w = weights(lo)[s]
+        assert rs[0]["weight"] == pytest.approx(w, rel=1e-6) and rs[0]["epochs"] == pytest.approx(w * total / per[s], rel=1e-6)
+        whole = math.floor(rs[0]["epochs"] + 1e-9)
+        left, cum = round((rs[0]["epochs"] - whole) * per[s]), 0
+        for r in sorted(rs, key=lambda r: r["mix_pos"]):
+            cum += r["n_tokens"]
+            assert r["copies"] == whole + (cum <= left)
+
+
+def test_mix_permutes_every_epoch(spark):
+    docs = spark.createDataFrame([(i, "one two three", "a") for i in range(200)], "doc_id long, text string, source string")
+    out = [r["doc_id"] for r in mixing.mix(docs, total=6000).collect()]
+    assert collections.Counter(out) == {i: 10 for i in range(200)}
+    assert sum(a == b for a, b in zip(out, out[1:])) < 60  # 10 in 2,000 by chance, 1,800 side by side
+    runs = [tuple(out[i:i + 3]) for i in range(len(out) - 2)]
+    assert max(collections.Counter(runs).values()) <= 2    # no epoch repeats another's order
+
+
 # ---------------------------------------------------- op2 repeated strings
 
 def removed(texts, length=400):
