@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,11 +117,39 @@ def distinct_counts(df: DataFrame, cols, approx: bool = False) -> dict:
     return {c: int(m.get(i, 0)) for i, c in enumerate(cols)}
 
 
+def distinct_up_to(df: DataFrame, cols, limit: int) -> dict:
+    """{column: distinct non-null count, or limit + 1 where there are more}.
+
+    Each partition keeps a set per column that stops growing at limit + 1, so at most that many values of a
+    column leave it; the cells themselves are never shuffled."""
+    cols = list(cols)
+    if not cols:
+        return {}
+
+    def run(batches):
+        seen: list[set] = [set() for _ in cols]
+        for rb in batches:
+            for s, col in zip(seen, rb.columns):
+                if len(s) <= limit:
+                    for v in pc.unique(col).drop_null().to_pylist():
+                        s.add(v)
+                        if len(s) > limit:
+                            break
+            if all(len(s) > limit for s in seen):
+                break
+        rows = [(k, v) for k, s in enumerate(seen) for v in s]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())],
+                                         names=["k", "v"])
+    few = df.select(*[q(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "k int, v string")
+    got = {r["k"]: r["count"] for r in few.distinct().groupBy("k").count().collect()}
+    return {c: int(min(got.get(i, 0), limit + 1)) for i, c in enumerate(cols)}
+
+
 def infer_task_type(df: DataFrame, target: str) -> str:
     dt = df.schema[target].dataType
     if isinstance(dt, (T.StringType, T.BooleanType)):
         return "classification"
-    n = distinct_counts(df, [target])[target]
+    n = distinct_up_to(df, [target], CLASS_MAX_DISTINCT)[target]
     return "classification" if n <= CLASS_MAX_DISTINCT else "regression"
 
 
@@ -292,6 +322,12 @@ def ts_summary(df: DataFrame, order_by) -> TsInfo:
                   f"{n} periods of {freq or 'unknown'} spacing by {col}")
 
 
+def outcome_type(df: DataFrame, col: str) -> str:
+    """The type of one outcome, as ``outcome_types`` has it."""
+    n, text = distinct_up_to(df, [col], 5)[col], isinstance(df.schema[col].dataType, T.StringType)
+    return "binary" if n == 2 or (text and n <= 5) else "continuous"
+
+
 def outcome_types(df: DataFrame, cols=None) -> DataFrame:
     """(column, n_unique, outcome_type): 2 distinct -> binary; string with <= 5 -> binary."""
     cols = list(cols or df.columns)

@@ -157,9 +157,9 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     An as-of join both ways: left and right are unioned, range-partitioned on
     (by, value) and streamed in order through Arrow batches; the previous and
     next right value of each left row come from the same partition or, at
-    partition edges, from a small per-(partition, group) carry table. Only a
-    run of left rows with no right row yet is held back. Distance ties go to
-    the smaller right value. Output: left columns + ``nearest`` + ``distance``.
+    partition edges, from a small per-(partition, group) carry table. One pass
+    up the sorted rows carries the value before, one down the value after; no
+    row is held back. Distance ties go to the smaller right value. Output: left columns + ``nearest`` + ``distance``.
     """
     right_on = right_on or on
     by = list(by)
@@ -172,39 +172,27 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     u = l.unionByName(r).filter(F.col("_x").isNotNull())
     # right rows sort before left rows at equal values so an exact match is "previous"
     s0 = _sorted_runs(u, by, ["_x", F.col("_side").desc()], num_partitions, checkpoint=True)
-    schema = T.StructType(s0.schema.fields + [T.StructField("_pid", T.LongType()),
-                                             T.StructField("_prev", T.DoubleType()),
-                                             T.StructField("_next", T.DoubleType())])
 
-    def fill(it):
-        last, pend = {}, None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pdf = pdf.assign(_pid=(pdf["_mid"].to_numpy() >> 33).astype("int64"), _prev=np.nan, _next=np.nan)
-            if pend is not None:
-                pdf = pd.concat([pend, pdf], ignore_index=True)
-            # null keys are a group of their own
-            gk = pd.Series(list(zip(*[pdf[b].astype(object).where(pdf[b].notna(), "\0null") for b in by])) if by else [0] * len(pdf),
-                           index=pdf.index)
-            rr = pdf["_r"]
-            prev = rr.groupby(gk).ffill()
-            carry_in = gk.map(lambda g: last.get(g, np.nan))
-            todo = pdf["_prev"].isna()
-            pdf.loc[todo, "_prev"] = prev[todo].fillna(carry_in[todo])
-            pdf["_next"] = rr.groupby(gk).bfill()
-            for g, v in rr.groupby(gk).last().items():
-                if v == v:
-                    last[g] = v
-            hold = pdf["_next"].isna() & (gk == gk.iloc[-1])
-            out = pdf[~hold & (pdf["_side"] == 0)]
-            pend = pdf[hold & (pdf["_side"] == 0)]
-            if len(out):
-                yield out
-        if pend is not None and len(pend):
-            yield pend
-
-    s = s0.mapInPandas(fill, schema)
+    def seen(src, name, rights):
+        """Adds the last right value met before each row, in the order of the partition's rows."""
+        def run(it):
+            last = (None, np.nan)       # the group that the batch before ended in and its last right value
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                # null keys are a group of their own
+                gk = pd.Series(list(zip(*[pdf[b].astype(object).where(pdf[b].notna(), "\0null") for b in by])) if by else [0] * len(pdf),
+                               index=pdf.index)
+                got = pdf["_r"].groupby(gk).ffill()
+                open_ = got.isna() & (gk == last[0])
+                got[open_] = last[1]
+                last = (gk.iloc[-1], got.iloc[-1])
+                yield pdf.assign(**{name: got}) if rights else pdf.assign(**{name: got})[pdf["_side"] == 0]
+        return src.mapInPandas(run, T.StructType(src.schema.fields + [T.StructField(name, T.DoubleType())]))
+
+    # up, then down the same partitions: Spark sorts (and spills), Python holds a batch and one value
+    s = seen(s0, "_prev", True).sortWithinPartitions(F.desc("_mid"))
+    s = seen(s, "_next", False).withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     src_r = s0.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     summ = src_r.groupBy("_pid", *by).agg(F.min("_r").alias("_mn"), F.max("_r").alias("_mx"))
     w_before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

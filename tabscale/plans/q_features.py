@@ -186,3 +186,31 @@ def q_engineer_features(spark, d):
     out = model.transform(df)
     dbl = [c for c in _F11_NUM if c in out.columns]
     return out.select(*IDS, *_r(dbl), "l_extendedprice", *[c for c in out.columns if c.startswith(("l_returnflag_", "p_type_"))])
+
+
+def _chain_roundtrip(df, target, keys, **how):
+    """Fit, save, load, and score rows that lack the target: every value as before saving."""
+    from ..session import scratch_path
+    from ..sources.sinks import load_model, save_model
+    model = FE.FeatureChain(target, "regression", keep_cols=keys, **how).fit(df)
+    from pyspark.ml import PipelineModel
+    path = save_model(PipelineModel([model]), scratch_path(df.sparkSession, "chain"))
+    again = load_model(path)
+    a, b = model.transform(df).drop(target), again.transform(df.drop(target))
+    # every row of one must be a row of the other, as often
+    both = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_s").alias("_s"))
+    return left.groupBy(*keys).agg((F.max(F.abs("_s")) == 0).alias("equal"))
+
+
+@register("feature_chain_roundtrip", X.with_ctes(f"SELECT DISTINCT {ID_SQL}, true AS equal FROM fx_cat", X.SQL_FX_CAT))
+def q_feature_chain_roundtrip(spark, d):
+    return _chain_roundtrip(X.fx_cat(spark, d), "l_extendedprice", IDS)
+
+
+@register("feature_chain_roundtrip_ts", X.with_ctes(
+    """SELECT hour, true AS equal FROM (SELECT hour, row_number() OVER (ORDER BY hour) AS i FROM fx_ts_regular) WHERE i > 9""", X.SQL_FX_TS_REGULAR))
+def q_feature_chain_roundtrip_ts(spark, d):
+    # a lag of 3 and windows of 7 rows: the first 3 and then 6 rows have no features
+    df = X.fx_ts_regular(spark, d).select("hour", "value_sum", "value_max", "n")
+    return _chain_roundtrip(df, "value_sum", ["hour"], is_ts=True, order_by=["hour"], lags=[1, 3], windows=[7])

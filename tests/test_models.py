@@ -252,3 +252,28 @@ def test_ridge_solves_the_plain_objective(spark):
         got = ML.build_pipeline(est, ["a", "b"], "y", "regression").fit(df).stages[-1].coefficients.toArray()
         c = x - x.mean(0)
         assert np.allclose(got, np.linalg.solve(c.T @ c + alpha * np.eye(2), c.T @ (y - y.mean())), rtol=1e-6)
+
+
+def test_nearest_join_with_one_far_right_row(spark):
+    """Left rows before, between and after their right rows, in several groups and partitions."""
+    from tabscale.operators import order as O
+    rng = np.random.RandomState(4)
+    left = pd.DataFrame({"i": range(600), "g": rng.choice(["a", "b", "c"], 600), "x": np.round(rng.rand(600) * 50, 1)})
+    right = pd.DataFrame({"g": ["a", "b", "b", "b"], "x": [49.9, 3.0, 25.0, 25.2]})
+    got = O.nearest_join(spark.createDataFrame(left), spark.createDataFrame(right), "x", by=["g"], num_partitions=5).toPandas()
+    for r in got.itertuples():
+        vals = right[right.g == r.g].x.tolist()
+        want = min((abs(r.x - v), v) for v in vals) if vals else None
+        assert (pd.isna(r.nearest) and want is None) or r.distance == pytest.approx(want[0])
+    one = O.nearest_join(spark.range(300_000).select(F.col("id").cast("double").alias("x")), spark.createDataFrame([(1e9,)], "x double"), "x")
+    assert one.where("nearest = 1e9").count() == 300_000
+
+
+def test_distinct_up_to_moves_few_values(spark):
+    from tabscale.operators import detect as D
+    df = spark.range(50_000, numPartitions=4).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"), F.lit(None).cast("string").alias("c"),
+                                                     (F.col("id") % 21).cast("string").alias("d"))
+    assert D.distinct_up_to(df, ["a", "b", "c", "d"], 20) == {"a": 3, "b": 21, "c": 0, "d": 21}
+    assert D.distinct_up_to(df, [], 5) == {} and D.distinct_up_to(df.limit(0), ["a"], 5) == {"a": 0}
+    assert [D.outcome_type(df, c) for c in "abd"] == ["continuous", "continuous", "continuous"]
+    assert D.outcome_type(df.where("a < 2"), "a") == "binary"
