@@ -277,3 +277,22 @@ def test_distinct_up_to_moves_few_values(spark):
     assert D.distinct_up_to(df, [], 5) == {} and D.distinct_up_to(df.limit(0), ["a"], 5) == {"a": 0}
     assert [D.outcome_type(df, c) for c in "abd"] == ["continuous", "continuous", "continuous"]
     assert D.outcome_type(df.where("a < 2"), "a") == "binary"
+
+
+def test_one_hot_of_many_categories(spark):
+    from tabscale.operators import causal as C
+    from tabscale.operators import features as FE
+    df = spark.range(21_000).select("id", F.when(F.col("id") % 50 != 7, F.format_string("v%05d", F.col("id") % 10_500)).alias("c"),
+                                    F.when(F.col("id") % 3 > 0, "x").otherwise("y").alias("d"), (F.col("id") % 2).alias("t"),
+                                    (F.col("id") % 11).cast("double").alias("n"))
+    out = FE.one_hot(df, ["c", "d"])
+    assert out.columns == ["id", "t", "n", "c_onehot", "d_y"]
+    cats = sorted({f"v{i % 10_500:05d}" for i in range(21_000) if i % 50 != 7})
+    for r in out.where("id IN (0, 1, 7, 10501, 20999)").collect():
+        v = f"v{r['id'] % 10_500:05d}"
+        want = [] if r["id"] % 50 == 7 or v == cats[0] else [cats.index(v) - 1]
+        assert r["c_onehot"].size == len(cats) - 1 and r["c_onehot"].indices.tolist() == want
+    x, names = C.covariate_matrix(df, ["n", "c", "d"])
+    assert names == ["_x_n", "_x_d_y", "_x_c"]
+    scored, model = C.propensity_scores(x, names, tcol="t")
+    assert model.numFeatures == len(cats) + 1 and scored.where("_ps > 0 AND _ps < 1").count() == 21_000
