@@ -148,18 +148,7 @@ def fit_cached(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 
 
 def build_pipeline(estimator, features, label: str, task: str) -> Pipeline:
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
-    if task == "classification":
-        stages.insert(0, StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"))
-        estimator = estimator.copy()
-        estimator.setLabelCol("_label")
-        if hasattr(estimator, "setFeaturesCol"):
-            estimator.setFeaturesCol("features")
-    else:
-        estimator = estimator.copy()
-        estimator.setLabelCol(label)
-    stages.append(estimator)
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[*_stages(features, label, task), _aimed(estimator, label, task)])
 
 
 def primary_metric(task: str, n_classes: int | None = None) -> str:
@@ -183,22 +172,40 @@ def score_predictions(pred: DataFrame, label: str, metric: str) -> float:
     return M.macro_f1(pred, "_label", "prediction")
 
 
-def _folds(df: DataFrame, label: str, task: str, order_by, is_ts: bool, k: int):
-    """Fold-assigned, checkpointed data and the k (train, test) pairs — computed once."""
+def _stages(features, label: str, task: str) -> list:
+    """What comes before the estimator: features in one vector, classes numbered by their sorted text."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
+    if task == "classification":
+        stages.insert(0, StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"))
+    return stages
+
+
+def _aimed(estimator, label: str, task: str):
+    """A copy of the estimator on the columns of ``_stages``."""
+    return estimator.copy().setLabelCol("_label" if task == "classification" else label).setFeaturesCol("features")
+
+
+def _folds(df: DataFrame, features, label: str, task: str, order_by, is_ts: bool, k: int):
+    """(preparation, rows, [(train, test) per fold]): rows are assembled once, kept in one persisted frame of the
+    vector, the label and the fold, and every model and fold filters that frame."""
+    from pyspark import StorageLevel
     data = df.filter(q(label).isNotNull())
     if is_ts:
         data, start, size = ts_split(data, order_by, k)
-        data = data.checkpoint()
-        splits = [(data.filter(F.col("idx") < start + i * size), data.filter(F.col("test_split") == i)) for i in range(k)]
+        names = ["idx", "test_split"]
+        conds = [(F.col("idx") < start + i * size, F.col("test_split") == i) for i in range(k)]
     else:
-        data = kfold_assign(data, order_by, label if task == "classification" else None, k).checkpoint()
-        splits = [(data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
-    return data, splits
+        data = kfold_assign(data, order_by, label if task == "classification" else None, k)
+        names = ["fold"]
+        conds = [(F.col("fold") != i, F.col("fold") == i) for i in range(k)]
+    prep = Pipeline(stages=_stages(features, label, task)).fit(data)
+    y = ["_label"] if task == "classification" else []
+    rows = prep.transform(data.checkpoint()).select("features", q(label), *y, *names).persist(StorageLevel.MEMORY_AND_DISK)
+    return prep, rows, [(rows.filter(a), rows.filter(b)) for a, b in conds]
 
 
-def _cv_fold(name, est, tr, te, features, label, task, metric):
-    model = fit_cached(build_pipeline(est, features, label, task), tr)
-    return score_predictions(model.transform(te), label, metric)
+def _cv_fold(est, tr, te, label, task, metric):
+    return score_predictions(_aimed(est, label, task).fit(tr).transform(te), label, metric)
 
 
 def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, is_ts: bool = False,
@@ -207,7 +214,7 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
     reported with their error and left out of the ranking; best first (RMSE ascending).
     Returns (leaderboard DataFrame, {name: model refit on all rows}, metric)."""
     spark = df.sparkSession
-    data, splits = _folds(df, label, task, order_by, is_ts, k)
+    prep, data, splits = _folds(df, features, label, task, order_by, is_ts, k)
     n = data.count()
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     metric = primary_metric(task, n_classes)
@@ -217,7 +224,7 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
     def run(job):
         name, i, est, tr, te = job
         try:
-            return name, i, _cv_fold(name, est, tr, te, features, label, task, metric), None
+            return name, i, _cv_fold(est, tr, te, label, task, metric), None
         except Exception as e:  # noqa: BLE001 - a failing model is reported, not fatal
             return name, i, None, str(e)[:200]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -234,10 +241,11 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
 
     def refit(item):
         name, est = item
-        return name, fit_cached(build_pipeline(est, features, label, task), data)
+        return name, PipelineModel([*prep.stages, _aimed(est, label, task).fit(data)])
     # refits on all rows are independent Spark jobs too: run them concurrently
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fitted = dict(pool.map(refit, ok))
+    data.unpersist()
     lb = spark.createDataFrame(rows, "model string, metric string, score double, std double, error string")
     lb = lb.filter(F.col("score").isNotNull()).orderBy(F.col("score").asc() if lower_is_better(metric)
                                                        else F.col("score").desc(), "model")
@@ -285,7 +293,7 @@ def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name
     computed once, their fits run as concurrent Spark jobs. Returns (trials DataFrame, best params, baseline
     score, best score, model refit on all rows); a failed trial has no score and its error's text."""
     spark = df.sparkSession
-    data, splits = _folds(df, label, task, order_by, is_ts, k)
+    prep, data, splits = _folds(df, features, label, task, order_by, is_ts, k)
     n = data.count()
     n_classes = data.select(label).distinct().count() if task == "classification" else None
     metric = primary_metric(task, n_classes)
@@ -294,7 +302,7 @@ def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name
     def cv(params):
         try:
             est = with_params(base, params, n)
-            return float(np.mean([_cv_fold(model_name, est, tr, te, features, label, task, metric) for tr, te in splits])), None
+            return float(np.mean([_cv_fold(est, tr, te, label, task, metric) for tr, te in splits])), None
         except Exception as e:  # noqa: BLE001 - a failing trial is reported, not fatal
             return None, str(e)[:200]
     search = Search(search_space(model_name), seed, lower_is_better(metric))
@@ -310,7 +318,8 @@ def hyperparam_search(df: DataFrame, features, label: str, task: str, model_name
     rows = [(i, json.dumps(p, sort_keys=True), s, e) for i, (p, s, e) in enumerate(zip(search.trials, search.scores, errors))]
     trials = spark.createDataFrame(rows, "trial int, params string, score double, error string")
     best_s, best_p = search.best()
-    model = fit_cached(build_pipeline(with_params(base, best_p, n), features, label, task), data)
+    model = PipelineModel([*prep.stages, _aimed(with_params(base, best_p, n), label, task).fit(data)])
+    data.unpersist()
     return trials, best_p, baseline, best_s, model
 
 
