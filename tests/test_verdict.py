@@ -214,8 +214,11 @@ def test_kfold_many_classes_and_null_label(spark):
 
 def test_boosting_search_draws_subset_and_leaf_limits(spark):
     from tabscale.operators import models as ML
-    draw = ML.search_space("GradientBoosting", np.random.RandomState(1), 100)
+    from tabscale.operators.tpe import Search
     est = ML.regression_models(100, rounds=7, forest_depth=3)["GradientBoosting"]
-    assert est.getMaxIter() == 7
-    est = est.copy({est.getParam(k): v for k, v in draw.items()})
-    assert 0.5 <= float(est.getFeatureSubsetStrategy()) <= 1.0 and est.getMinInstancesPerNode() >= 1
+    assert est.getOrDefault("rounds") == 7
+    draw = Search(ML.search_space("GradientBoosting"), 1).ask()[1]
+    est = ML.with_params(est, draw, 100)
+    assert 0.5 <= est.getOrDefault("colsample") <= 1.0 and 0.5 <= est.getOrDefault("subsample") <= 1.0
+    assert est.getOrDefault("num_leaves") == draw["num_leaves"] and est.getOrDefault("reg_lambda") == draw["reg_lambda"] > 0
+    assert set(ML.search_space("SVR")) == {"C", "epsilon"}
