@@ -135,6 +135,17 @@ def q_drop_correlated(spark, d):
     return spark.createDataFrame([(c,) for c in cols], "column string")
 
 
+@register("drop_correlated_table", X.with_ctes(
+    union_all([f"SELECT event_id AS id, '{c}' AS {COL}, round(CAST({c} AS DOUBLE), 6) AS v FROM fx_dirty "
+               f"WHERE '{c}' NOT IN (SELECT col_b FROM gone)" for c in X.DIRTY_NUMERIC]), X.SQL_FX_DIRTY,
+    f"gone AS (SELECT DISTINCT col_b FROM ({_corr_pairs_sql(X.DIRTY_NUMERIC, 'fx_dirty')}) WHERE abs(r) > 0.95)"))
+def q_drop_correlated_table(spark, d):
+    """The pruned table, a row for every cell of the columns that stay."""
+    out = FE.drop_correlated(X.fx_dirty(spark, d).withColumn("id", F.col("event_id")), X.DIRTY_NUMERIC)
+    cells = [F.struct(F.lit(c).alias("column"), F.round(F.col(c).cast("double"), 6).alias("v")) for c in X.DIRTY_NUMERIC if c in out.columns]
+    return out.select("id", F.inline(F.array(*cells)))
+
+
 _SC = ["value", "value_n", "value2", "k"]
 
 
