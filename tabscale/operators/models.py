@@ -14,16 +14,17 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe, maybe_broadcast, q
 from . import metrics as M
 from .boosting import LeafBoosting
+from .forest import Forest
 from .kernel import KernelMachine
 from .order import prefix_sum, row_index
 from .tpe import Param, Search
@@ -34,7 +35,7 @@ SEED = 42
 GBT_ROUNDS = 100      # boosting rounds
 GBT_DEPTH = 6
 FOREST_TREES = 100
-FOREST_DEPTH = 10     # Spark grows a level a job over all rows, up to 30; unlimited depth has no counterpart
+FOREST_DEPTH = 0      # no limit
 
 
 # ------------------------------------------------------------------ folds and splits
@@ -121,7 +122,7 @@ def classification_models(n_rows: int, n_classes: int, rounds: int = GBT_ROUNDS,
     return {
         "LogisticRegression": LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, maxIter=1000,
                                                  standardization=False),
-        "RandomForest": RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
+        "RandomForest": Forest(task="classification", trees=FOREST_TREES, max_depth=forest_depth, seed=SEED),
         "GradientBoosting": LeafBoosting(task="classification", rounds=rounds, max_depth=GBT_DEPTH, seed=SEED),
         "SVM": KernelMachine(task="classification"),
     }
@@ -131,7 +132,7 @@ def regression_models(n_rows: int, rounds: int = GBT_ROUNDS, forest_depth: int =
     """The benchmark's regressors; parameters as in ``classification_models``."""
     return {
         "Ridge": Ridge(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False),
-        "RandomForest": RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED),
+        "RandomForest": Forest(task="regression", trees=FOREST_TREES, max_depth=forest_depth, seed=SEED),
         "GradientBoosting": LeafBoosting(task="regression", rounds=rounds, max_depth=GBT_DEPTH, seed=SEED),
         "SVR": KernelMachine(task="regression"),
     }
@@ -257,8 +258,8 @@ def benchmark_models(df: DataFrame, features, label: str, task: str, order_by, i
 def search_space(model_name: str) -> dict[str, Param]:
     """The tuning ranges of a model. ``C`` and ``alpha`` are penalties per data set, not per row."""
     spaces = {
-        "RandomForest": {"numTrees": Param(50, 500, whole=True), "maxDepth": Param(2, 20, whole=True),
-                         "minInstancesPerNode": Param(1, 10, whole=True)},
+        "RandomForest": {"trees": Param(50, 500, whole=True), "max_depth": Param(2, 20, whole=True),
+                         "min_split": Param(2, 20, whole=True), "min_rows": Param(1, 10, whole=True)},
         "GradientBoosting": {"rounds": Param(50, 500, whole=True), "max_depth": Param(2, 10, whole=True),
                              "learning_rate": Param(1e-3, 0.3, log=True), "subsample": Param(0.5, 1.0),
                              "colsample": Param(0.5, 1.0), "reg_lambda": Param(1e-3, 10.0, log=True),

@@ -296,3 +296,46 @@ def test_one_hot_of_many_categories(spark):
     assert names == ["_x_n", "_x_d_y", "_x_c"]
     scored, model = C.propensity_scores(x, names, tcol="t")
     assert model.numFeatures == len(cats) + 1 and scored.where("_ps > 0 AND _ps < 1").count() == 21_000
+
+
+# ---------------------------------------------------------------------- forests
+
+def test_forest_grows_to_pure_leaves(spark, blobs, tmp_path):
+    from tabscale.operators import forest as FO
+    whole = FO.Forest(task="classification", labelCol="y", trees=5, share=1.0).fit(blobs)
+    # the trees are the same whoever grows a node: one task, or level by level and then tasks of 60 rows
+    parts = FO.Forest(task="classification", labelCol="y", trees=5, share=1.0, task_rows=60).fit(blobs.repartition(1))
+    assert all(max(v) == 1.0 for t in whole.nodes for f, v in zip(t["f"], t["v"]) if f < 0)
+    one = FO.Forest(task="classification", labelCol="y", trees=5, share=1.0).fit(blobs.repartition(1))
+    key = lambda m: [sorted(zip(t["f"], t["b"], map(tuple, t["v"]))) for t in m.nodes]
+    assert key(parts) == key(one)
+    out = whole.transform(blobs)
+    assert out.where("prediction = y").count() > 540 and whole.featureImportances.toArray().sum() == pytest.approx(1)
+    whole.write().overwrite().save(str(tmp_path / "f"))
+    again = FO.ForestModel.load(str(tmp_path / "f")).transform(blobs)
+    assert again.select("i", "prediction").exceptAll(out.select("i", "prediction")).count() == 0
+
+
+def test_forest_regression_and_leaf_size(spark, blobs):
+    from tabscale.operators import forest as FO
+    m = FO.Forest(labelCol="z", trees=8, min_rows=20).fit(blobs)
+    assert 600 / 20 >= max(sum(f < 0 for f in t["f"]) for t in m.nodes) > 4
+    r2 = m.transform(blobs).agg(1 - F.sum(F.pow(F.col("prediction") - F.col("z"), 2)) / (F.var_pop("z") * F.count("z"))).collect()[0][0]
+    assert r2 > 0.8
+
+
+def test_forest_split_equals_brute_force():
+    from tabscale.operators import forest as FO
+    bins, y = _data(120, 3, 9)
+    w = np.random.RandomState(0).randint(1, 4, 120).astype(float)
+    t = y[:, None]
+    sums = FO.bin_sums(bins, np.zeros(120, int), 1, t, w, HOW["n_bins"])[0]
+    gain, at = FO.best_split(sums, 3)
+
+    def sse(m):
+        mean = (y[m] * w[m]).sum() / w[m].sum()
+        return (w[m] * (y[m] - mean) ** 2).sum()
+    for f in range(3):
+        want = max(((sse(np.ones(120, bool)) - sse(bins[:, f] <= b) - sse(bins[:, f] > b)), -b) for b in range(HOW["n_bins"])
+                   if 3 <= (bins[:, f] <= b).sum() <= 117)
+        assert gain[f] == pytest.approx(want[0])
