@@ -140,10 +140,13 @@ def verify(data: np.ndarray, offsets: np.ndarray, side: np.ndarray, k: int, thre
     both = np.zeros((n, n))
     for x in _presence(sh, doc, n):
         both += x @ x.T
-    link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    link &= (both > 0) & ~np.eye(n, dtype=bool)
-    if across:
-        link &= side[:, None] != side[None, :]
+    link = np.zeros((n, n), bool)
+    for lo in range(0, n, 128):  # a few rows at a time: no second matrix of all pairs
+        part = both[lo:lo + 128]
+        link[lo:lo + 128] = (part >= threshold * (size[lo:lo + 128, None] + size[None, :] - part) - 1e-9) & (part > 0)
+        if across:
+            link[lo:lo + 128] &= side[lo:lo + 128, None] != side[None, :]
+    np.fill_diagonal(link, False)
     return link
 
 
@@ -152,7 +155,7 @@ def roots(link: np.ndarray) -> np.ndarray:
     n = len(link)
     lab = np.arange(n)
     while True:
-        near = np.where(link, lab[None, :], n).min(axis=1)
+        near = np.concatenate([np.where(link[i:i + 128], lab[None, :], n).min(axis=1) for i in range(0, n, 128)])
         new = np.minimum(lab, near)
         new = new[new]
         if (new == lab).all():
