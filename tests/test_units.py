@@ -176,6 +176,20 @@ def test_psm_by_deferred_acceptance_equals_the_serial_rule(spark, monkeypatch, s
     assert pairs.block.nunique() > 4 and pairs.groupby("block").size().max() <= rows // 4
 
 
+def test_psm_leaves_only_the_pairs_on_disk(spark):
+    """The tables of the rounds are deleted."""
+    import glob
+    import os
+    from tabscale.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(os.path.join(top, "tabscale-match-*")))
+    rng = np.random.RandomState(4)
+    pdf = pd.DataFrame({"id": np.arange(300), "_T": rng.randint(0, 2, 300), "_ps": rng.rand(300)})
+    K.psm_match(spark.createDataFrame(pdf), "id", block_rows=150)
+    left = set(glob.glob(os.path.join(top, "tabscale-match-*"))) - before
+    assert [os.path.basename(x).rsplit("-", 1)[0] for x in left] == ["tabscale-match-pairs"]
+
+
 def test_psm_with_text_ids_in_one_group_and_in_blocks(spark):
     rng = np.random.RandomState(5)
     pdf = pd.DataFrame({"id": [f"u{i:04d}" for i in range(400)], "_T": rng.randint(0, 2, 400), "_ps": np.round(rng.rand(400), 2)})
