@@ -176,6 +176,14 @@ def test_psm_by_deferred_acceptance_equals_the_serial_rule(spark, monkeypatch, s
     assert pairs.block.nunique() > 4 and pairs.groupby("block").size().max() <= rows // 4
 
 
+def test_covariates_read_their_input_once(spark):
+    """The joins under the covariates run once, not in every scan of the fits that follow."""
+    left = spark.range(60).withColumn("v", F.col("id") * 1.5)
+    x, names = K.covariate_matrix(left.join(spark.range(60).withColumn("w", F.col("id") % 7), "id"), ["v", "w"])
+    assert names == ["_x_v", "_x_w"] and x.count() == 60
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_psm_leaves_only_the_pairs_on_disk(spark):
     """The tables of the rounds are deleted."""
     import glob
@@ -184,8 +192,8 @@ def test_psm_leaves_only_the_pairs_on_disk(spark):
     top = ensure_checkpoint_dir(spark).removeprefix("file:")
     before = set(glob.glob(os.path.join(top, "tabscale-match-*")))
     rng = np.random.RandomState(4)
-    pdf = pd.DataFrame({"id": np.arange(300), "_T": rng.randint(0, 2, 300), "_ps": rng.rand(300)})
-    K.psm_match(spark.createDataFrame(pdf), "id", block_rows=150)
+    pdf = pd.DataFrame({"id": np.arange(100), "_T": rng.randint(0, 2, 100), "_ps": rng.rand(100)})
+    K.psm_match(spark.createDataFrame(pdf), "id", block_rows=80)
     left = set(glob.glob(os.path.join(top, "tabscale-match-*"))) - before
     assert [os.path.basename(x).rsplit("-", 1)[0] for x in left] == ["tabscale-match-pairs"]
 
