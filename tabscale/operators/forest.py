@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .boosting import Tree, _binned, _matrix, bin_matrix
+from .boosting import Tree, _binned, _matrix, bin_matrix, dealt
 
 TASK_ROWS = 100_000
 _CUTS = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])    # P(X <= k) of Poisson(1)
@@ -189,7 +189,7 @@ class Forest(Estimator, _Params):
         how["classes"] = int(stats["top"]) + 1 if how["task"] == "classification" else 0
         share = how["share"] or (np.sqrt(p) / p if how["classes"] else 1.0)
         how["tries"] = max(1, int(round(share * p)))
-        frame = _binned(x, edges).checkpoint()
+        frame = dealt(_binned(x, edges), stats["n"]).checkpoint()
         rows = _grow_all(frame, p, how)
         by: dict[int, list] = {}
         for r in rows:
@@ -203,6 +203,11 @@ def _plain(rows: list[list]) -> dict:
     return {"f": t.feature, "b": t.bin, "l": t.left, "r": t.right, "v": [e[0] for e in extra], "g": [e[1] for e in extra]}
 
 
+def _packed(d: dict) -> tuple:
+    """A tree as arrays: a node takes 16 bytes and its values in a Python worker, not a few hundred."""
+    return (*(np.array(d[k], np.int32) for k in "fblr"), np.array(d["v"], float))
+
+
 def _find(nodes: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Place of each row's node in the sorted ``nodes``, -1 where it is not among them."""
     at = np.searchsorted(nodes, node)
@@ -253,8 +258,8 @@ def _grow_all(frame: DataFrame, p: int, how: dict) -> list[tuple]:
                 for tree in sorted(of):
                     w = weights_of(rows, tree, seed)
                     slot = _find(np.array(of[tree]), _route(bins, splits_[tree]))
-                    slot = np.where((slot >= 0) & (w > 0), slot + base[tree], -1)
-                    sums += bin_sums(bins, slot, len(asked_), t, w.astype(float), n_bins)
+                    slot = np.where((slot >= 0) & (w > 0), slot, -1)
+                    sums[base[tree]:base[tree] + len(of[tree])] += bin_sums(bins, slot, len(of[tree]), t, w.astype(float), n_bins)
             flat = sums.reshape(-1, k + 2)
             some = np.flatnonzero(flat.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(flat[some, j]) for j in range(k + 2))],
@@ -343,16 +348,16 @@ class ForestModel(Model, _Params, MLWritable, MLReadable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         edges = [np.array(e) for e in self.edges]
-        shared = df.sparkSession.sparkContext.broadcast(self.nodes)
+        shared = df.sparkSession.sparkContext.broadcast([_packed(d) for d in self.nodes])
 
         @pandas_udf("array<double>")
         def score(x: pd.Series) -> pd.Series:
             bins = bin_matrix(np.array(x.tolist(), float).reshape(len(x), len(edges)), edges)
             total = 0.0
-            for d in shared.value:
+            for feature, at, left, right, value in shared.value:
                 t = Tree()
-                t.feature, t.bin, t.left, t.right = d["f"], d["b"], d["l"], d["r"]
-                total = total + np.array(d["v"])[t.leaf_of(bins)]
+                t.feature, t.bin, t.left, t.right = feature, at, left, right
+                total = total + value[t.leaf_of(bins)]
             return pd.Series(list(total / len(shared.value)))
 
         out = df.withColumn("_raw", score(vector_to_array(self.getOrDefault("featuresCol"))))
