@@ -36,6 +36,12 @@ from pyspark.sql.functions import pandas_udf
 
 SOLO_ROWS = 100_000
 STATE_EVERY = 10
+PART_ROWS = 100_000
+
+
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows in no more parts than two a core or one per ``PART_ROWS`` rows: a fit runs hundreds of passes."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS)))
 
 
 # --------------------------------------------------------------- loss functions
@@ -87,7 +93,7 @@ class Tree:
         return n, n + 1
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, at, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
+        feature, at, left, right = (np.asarray(x) for x in (self.feature, self.bin, self.left, self.right))
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
             f = feature[node]
@@ -262,18 +268,20 @@ def boost_spread(frame: DataFrame, n: int, p: int, start: np.ndarray, how: dict)
                                              names=["cell", "g", "h", "c"])
 
         def best(key, pdf):
+            if key[0] < 0:
+                return pd.DataFrame({"f": [key[0]], "gain": [0.0], "at": [0], "g": [0.0], "h": [0.0], "loss": [pdf["g"].sum()]})
             one = np.zeros((n_bins, 3))
             one[pdf["cell"].to_numpy() % n_bins] = pdf[["g", "h", "c"]].to_numpy()
             gain, at, total = best_bins(one, how["reg_lambda"], how["min_rows"], how["min_hessian"])
             return pd.DataFrame({"f": [key[0]], "gain": [float(gain)], "at": [int(at)], "g": [total[0]], "h": [total[1]], "loss": [0.0]})
 
-        cells = state.mapInArrow(run, "cell long, g double, h double, c double").groupBy("cell").agg(
-            F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c"))
-        cells = cells.checkpoint()
-        kind = "f long, gain double, at long, g double, h double, loss double"
-        got = (cells.where("cell >= 0").groupBy(F.floor(F.col("cell") / n_bins).cast("long").alias("f")).applyInPandas(best, kind)
-               .toPandas())                                    # one row per (class, node, feature)
-        loss = cells.where("cell = -1").select("g").collect()[0][0]
+        # one job a level: a (class, node, feature) has its cells summed and its best bin found where they meet; -1 is the loss
+        cells = state.mapInArrow(run, "cell long, g double, h double, c double").withColumn(
+            "f", F.floor(F.col("cell") / n_bins).cast("long")).repartition("f")
+        cells = cells.groupBy("f", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c"))
+        got = cells.groupBy("f").applyInPandas(best, "f long, gain double, at long, g double, h double, loss double").toPandas()
+        loss = float(got.loc[got["f"] == -1, "loss"].iloc[0])
+        got = got[got["f"] >= 0]                               # one row per (class, node, feature)
         gain, at, total = np.full((len(nodes), p), -np.inf), np.zeros((len(nodes), p), int), np.zeros((len(nodes), p, 2))
         i, f = np.divmod(got["f"].to_numpy(np.int64), p)
         gain[i, f], at[i, f], total[i, f] = got["gain"], got["at"], got[["g", "h"]].to_numpy()
@@ -362,7 +370,7 @@ class LeafBoosting(Estimator, _Params):
             for r in x.groupBy("_y").count().collect():         # one row a class
                 shares[int(r["_y"])] = r["count"] / stats["n"]
         start = start_scores(how["task"], stats["m"], shares)
-        frame = _binned(x, edges).checkpoint()
+        frame = dealt(_binned(x, edges), stats["n"]).checkpoint()
         if stats["n"] <= SOLO_ROWS:
             def run(batches):
                 t = pa.Table.from_batches(batches)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe, maybe_broadcast, q
 from . import metrics as M
-from .boosting import LeafBoosting
+from .boosting import LeafBoosting, dealt
 from .forest import Forest
 from .kernel import KernelMachine
 from .order import prefix_sum, row_index
@@ -201,7 +201,8 @@ def _folds(df: DataFrame, features, label: str, task: str, order_by, is_ts: bool
         conds = [(F.col("fold") != i, F.col("fold") == i) for i in range(k)]
     prep = Pipeline(stages=_stages(features, label, task)).fit(data)
     y = ["_label"] if task == "classification" else []
-    rows = prep.transform(data.checkpoint()).select("features", q(label), *y, *names).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.checkpoint()
+    rows = dealt(prep.transform(data).select("features", q(label), *y, *names), data.count()).persist(StorageLevel.MEMORY_AND_DISK)
     return prep, rows, [(rows.filter(a), rows.filter(b)) for a, b in conds]
 
 

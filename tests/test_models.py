@@ -339,3 +339,18 @@ def test_forest_split_equals_brute_force():
         want = max(((sse(np.ones(120, bool)) - sse(bins[:, f] <= b) - sse(bins[:, f] > b)), -b) for b in range(HOW["n_bins"])
                    if 3 <= (bins[:, f] <= b).sum() <= 117)
         assert gain[f] == pytest.approx(want[0])
+
+
+def test_forest_model_reaches_the_workers_as_arrays():
+    """Nodes of a deep tree take bytes in a worker, not Python objects."""
+    from tabscale.operators import forest as FO
+    got = FO._packed({"f": [0, -1, -1], "b": [3, 0, 0], "l": [1, 0, 0], "r": [2, 0, 0], "v": [[0.5, 0.5], [1.0, 0.0], [0.0, 1.0]]})
+    assert all(isinstance(x, np.ndarray) for x in got) and sum(x.nbytes for x in got) == 3 * (16 + 16)
+
+
+def test_model_frames_have_few_parts(spark):
+    """Many passes over few rows do not pay for the parts that the rows came in."""
+    from tabscale.operators.boosting import dealt
+    wide = spark.range(0, 1000, 1, 300)
+    few = dealt(wide, 1000)
+    assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and few.count() == 1000
