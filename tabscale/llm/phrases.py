@@ -20,6 +20,10 @@ aggregated with its least and greatest string and language, so a collision is
 found, and the work starts again with another seed. A phrase is the tuple of its
 words, and each length joins the length below for the counts of its cuts.
 
+Scratch tables are deleted as soon as a later one holds their counts. Partial
+counts of phrases are written in the order of their first word, which the codecs
+of files and shuffles shorten: most phrases begin with one of few words.
+
 Defined cases: null text is empty; null language is ``und``; repeated rows count
 each time; no word, or an empty table, gives an empty result; equal scores go by
 count, then by phrase; extra columns play no part. One text is held whole by a task.
@@ -103,6 +107,12 @@ def slot_of(ids: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def by_first_word(ids: list[np.ndarray]) -> np.ndarray:
+    """Order that has equal phrases side by side and phrases of one first word together, but for hash collisions."""
+    half = np.uint64(32)
+    return np.argsort((ids[0] >> half << half) | (mix64(slot_of(ids)) >> half))
+
+
 def _slot_column(m: int):
     h = F.col("w1")
     for k in range(2, m + 1):
@@ -141,7 +151,8 @@ def _count_words(shard: DataFrame, seed: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    rows = shard.mapInArrow(run, "w1 long, cnt long, lang string, word string")
+    # a task has counted its words: dealt out as they are, the strings are shuffled once, not as least and greatest
+    rows = shard.mapInArrow(run, "w1 long, cnt long, lang string, word string").repartition("w1")
     return rows.groupBy("w1").agg(F.sum("cnt").alias("cnt"), F.min("lang").alias("lang"), F.max("lang").alias("lang2"),
                                   F.min("word").alias("word"), F.max("word").alias("word2"))
 
@@ -162,9 +173,9 @@ def _count_phrases(shard: DataFrame, seed: int, t: int, shards: int, lengths: li
                 return
             ids = [np.concatenate([p[k] for p in parts]) for k in range(m)]
             start = np.concatenate([p[m] for p in parts])
-            order = np.argsort(slot_of(ids))
+            order = by_first_word(ids)
             ids, start = [x[order] for x in ids], start[order]
-            # phrases of one slot hash in turns only come in more parts
+            # phrases of one hash in turns only come in more parts
             new = np.zeros(len(start), bool)
             new[0] = True
             for x in ids:
@@ -234,15 +245,18 @@ def _counts(docs: DataFrame, lang_col: str, text_col: str, least: int, longest:
     keys = {m: [f"w{k + 1}" for k in range(m)] for m in range(1, longest + 1)}
     words, seen, state = [], {m: [] for m in range(2, longest + 1)}, {}
 
+    def union(parts):
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
     def whole(m):
         """Counts so far of all phrases of m words."""
         rows = [x.where(F.col("m") == m).select("s", *keys[m], "cnt") for x in seen[m]] + ([state[m]] if m in state else [])
         if not rows:
             return spark.createDataFrame([], "s short, " + ", ".join(f"{k} long" for k in keys[m]) + ", cnt long")
-        out = rows[0]
-        for x in rows[1:]:
-            out = out.unionByName(x)
-        return out.groupBy(*keys[m]).agg(F.min("s").alias("s"), F.sum("cnt").alias("cnt"))
+        return union(rows).groupBy(*keys[m]).agg(F.min("s").alias("s"), F.sum("cnt").alias("cnt"))
 
     def due(m, t):
         return any(v + 1 <= t <= v + shards for v in np.unique(tables[m - 1]).tolist() if v != NEVER)
@@ -260,34 +274,41 @@ def _counts(docs: DataFrame, lang_col: str, text_col: str, least: int, longest:
                     _mark(tables[m], got.where((F.col("m") == m) & (F.col("cnt") >= least)), m, t)
         if t < shards:
             words.append(materialise(_count_words(shard, seed), f"phrases-words-{t}"))
-            so_far = words[0].select("w1", "cnt")
-            for x in words[1:]:
-                so_far = so_far.unionByName(x.select("w1", "cnt"))
+            if t == shards - 1:
+                clash = F.expr("lang <> lang2 or word <> word2").alias("clash")
+                vocabulary = union(words).select("w1", "cnt", "lang", "word", clash).repartition("w1")
+                clash = F.expr("max(clash) or min(lang) <> max(lang) or min(word) <> max(word)").alias("clash")
+                vocabulary = materialise(vocabulary.groupBy("w1").agg(F.sum("cnt").alias("f"), F.min("lang").alias("lang"),
+                                                                      F.min("word").alias("word"), clash), "phrases-vocabulary")
+                for x in words:
+                    discard(x)
+                if vocabulary.where("clash").limit(1).count():
+                    for x in (dealt, vocabulary, *{id(x): x for m in seen for x in seen[m]}.values()):
+                        discard(x)
+                    raise Collision
+                so_far, complete = vocabulary.where(F.col("f") >= least), 1
+            else:
+                so_far = union([x.select("w1", "cnt") for x in words])
+                so_far = so_far.groupBy("w1").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least)
             if longest > 1:
-                _mark(tables[1], so_far.groupBy("w1").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= least), 1, t)
-            complete = max(complete, int(t == shards - 1))
+                _mark(tables[1], so_far, 1, t)
         for m in seen:
             done = complete == m - 1 and not any(due(m, x) for x in range(t + 1, t + shards + 1))
             if done or seen[m] and t == (m - 1) * shards:
-                now = whole(m)
+                now, old = whole(m), state.get(m)
                 open_ = F.lit(False) if done else F.col("s") + shards > t + 1
                 state[m] = materialise(now.where((F.col("cnt") >= least) | open_).select("s", *keys[m], "cnt"), f"phrases-{m}-{t}")
-                seen[m] = []
+                held, seen[m] = seen[m], []
+                for x in [x for x in held if not any(x is y for k in seen for y in seen[k])] + ([old] if old else []):
+                    discard(x)
                 if m < longest:
                     _mark(tables[m], state[m].where(F.col("cnt") >= least), m, t)
             if done:
                 complete = m
         t += 1
+    discard(dealt)
     for x in range(2, longest + 1):
         state[x] = state[x].select(*keys[x], F.col("cnt").alias("f"))
-    vocabulary = words[0]
-    for x in words[1:]:
-        vocabulary = vocabulary.unionByName(x)
-    vocabulary = materialise(vocabulary.groupBy("w1").agg(
-        F.sum("cnt").alias("f"), F.min("lang").alias("lang"), F.max("lang2").alias("lang2"), F.min("word").alias("word"),
-        F.max("word2").alias("word2")), "phrases-vocabulary")
-    if vocabulary.where("lang <> lang2 or word <> word2").limit(1).count():
-        raise Collision
     state[1] = vocabulary.select("w1", "f", "lang", "word")
     return state, vocabulary.groupBy("lang").agg(F.sum("f").alias("n"))
 
@@ -336,6 +357,6 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     for x in kept[1:]:
         every = every.unionByName(x)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = every.withColumn("rank", F.row_number().over(order).cast("long"))
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
-    return ranked.join(total, "lang").select("lang", "rank", "phrase", "words", "a", "l", "r", "k", "n", "score")
+    ranked = every.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)  # not cast before: so each task shuffles its first ones only
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "words", "a", "l", "r", "k", "n", "score")

@@ -144,6 +144,67 @@ def test_colliding_words_start_again(spark, monkeypatch):
     assert set(tried) == {1, 3} and got == {"one two three": 20, "two three four": 20}
 
 
+def test_words_that_collide_across_shards_start_again(spark, monkeypatch):
+    """Each shard agrees with itself; only the vocabulary of all shards shows two words of one hash."""
+    real, tried = phrases._count_words, []
+
+    def count(shard, seed):
+        tried.append(seed)
+        out = real(shard, seed)
+        return out.withColumns({c: F.concat(c, F.lit(str(len(tried)))) for c in ("word", "word2")}) if seed == 1 else out
+
+    monkeypatch.setattr(phrases, "_count_words", count)
+    df = spark.createDataFrame([(i, "one two three four", "en") for i in range(20)], "doc_id long, text string, lang string")
+    got = {r["phrase"]: r["a"] for r in phrases.collocations(df).collect()}
+    assert tried == [1] * 4 + [3] * 4 and got == {"one two three": 20, "two three four": 20}
+
+
+def test_counted_tables_are_deleted(spark, monkeypatch):
+    """Texts, words and partial counts take disk only until a later table holds their counts; a collision leaves nothing."""
+    real, made, most = phrases.materialise, [], []
+
+    def keep(df, name, *folders):
+        out = real(df, name, *folders)
+        made.append((name, out._scratch))
+        most.append({n for n, p in made if there(p)})
+        return out
+
+    def there(path):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+    count = phrases._count_words
+    monkeypatch.setattr(phrases, "materialise", keep)
+    monkeypatch.setattr(phrases, "_count_words", lambda shard, seed: count(shard, seed).withColumn("word2", F.lit("x")) if seed == 1
+                        else count(shard, seed))
+    rows = [(i, f"alpha beta gamma delta w{i % 7}", "en") for i in range(200)]
+    out = phrases.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string"), longest=4)
+    left = {n for n, p in made if there(p)}
+    assert [n for n, _ in made].count("phrases-texts") == 2
+    assert not any("texts" in n or "words" in n or "seen" in n for n in left) and sum("vocabulary" in n for n in left) == 1
+    assert sum(there(p) for _, p in made) == len(left) == 1 + 3 + 3   # vocabulary, a table a length, a level a length
+    assert all(sum("seen" in n for n in x) <= 8 for x in most)
+    got = sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in out.collect())
+    assert got and got == brute_phrases([(r[2], r[1]) for r in rows], 10, 4, phrases.INSIDE, 2000)
+
+
+def test_partial_counts_are_in_order_of_their_first_word():
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 1 << 63, 50, dtype=np.uint64)[rng.integers(0, 50, 4000)] for _ in range(2)]
+    order = phrases.by_first_word(ids)
+    assert sorted(order.tolist()) == list(range(4000))
+    for cols in (ids[:1], ids):    # one run a first word, and one a phrase
+        rows = np.stack([x[order] for x in cols], axis=1)
+        assert 1 + (rows[1:] != rows[:-1]).any(axis=1).sum() == len(np.unique(rows, axis=0))
+
+
+def test_ranks_are_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([(i, "alpha beta gamma delta", "en") for i in range(20)], "doc_id long, text string, lang string")
+    out = phrases.collocations(df, top=2)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.schema["rank"].dataType.simpleString() == "bigint"
+
+
 # ----------------------------------------------------------------------- simhash
 
 def brute_fingerprint(text):
