@@ -85,7 +85,8 @@ def op4(spark, sf_dir):
 @register("op2_suffix_array_dedup")
 def op2(spark, sf_dir):
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                      "n_passage_words")
 
 
 @register("op5_pii")

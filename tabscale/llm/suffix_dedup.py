@@ -26,6 +26,11 @@ where they can agree at all:
    range of windows has in common (64 windows, then single ones), so a passage
    in a third of all documents never meets in one task.
 
+The same construction over words (64-bit hashes of white-space separated words as
+symbols) finds passages: runs of ``WORDS`` words that also start anywhere else.
+They are shorter than ``LENGTH`` bytes as a rule, so they are reported beside the
+removed bytes and not removed. Both kinds of segments are fetched in one join.
+
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep every
 byte; repeated rows repeat each other; an empty table gives an empty result;
 extra columns play no part.
@@ -38,11 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_table, complete_groups, doc_chunks, materialise, mix64, powers, row_id, span_hashes, text_buffer
+from .common import (CHUNK_BYTES, byte_table, complete_groups, discard, doc_chunks, materialise, mix64, powers, row_id,
+                     span_hashes, text_buffer, word_hashes, word_spans)
 
 LENGTH = 400
 ANCHOR = 64
 BUCKET = 4096
+SPANS = (64, 1)
+WORDS = 51  # over 50
+WORDS_ANCHOR = 8
+WORDS_SPANS = (8, 1)
 _POS_BITS = np.uint64(22)  # places in a piece: pieces are shorter than 4 MB
 
 
@@ -57,7 +67,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
     """Arrays (row, first window, windows - 1, anchor place after the first window,
-    anchor hash, two content hashes) of the segments of the rows' windows."""
+    anchor hash, two content hashes) of the segments of the rows' windows. ``data``
+    are bytes or the hashes of words."""
     empty = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 3
     if len(data) < length:
         return empty
@@ -65,7 +76,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     sums = []
     for seed in (21, 22):
         s = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_table(seed)[data] * p[:-1], out=s[1:])
+        symbols = byte_table(seed)[data] if data.dtype == np.uint8 else mix64(data + np.uint64(seed))
+        np.cumsum(symbols * p[:-1], out=s[1:])
         sums.append(s)
     n = len(data) - anchor + 1
     h = mix64((sums[0][anchor:] - sums[0][:n]) * q[:n])
@@ -109,22 +121,52 @@ def _all_segments(texts: DataFrame, length: int, anchor: int) -> DataFrame:
                 local = off[i:j + 1] - off[i] if j - i > 1 or not skip and b == off[j] else np.array([0, b - a])
                 row, s0, n, at, h, c1, c2 = segments(data[a:b], local, length, anchor)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[i + row]), pa.array((s0 - local[row] + skip).astype(np.int64)),
-                         pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)),
-                         pa.array(h.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))],
-                        names=["_rid", "s0", "n", "at", "h", "c1", "c2"])
+                    s0 = s0 - local[row] + skip
+                    yield _segment_batch(rid[i + row], s0, n, at, h, c1, c2, s0, n + length)
+
+    return texts.mapInArrow(run, _SEGMENT)
+
+
+def _all_word_segments(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Segments of the texts' words; ``b0`` and ``nb`` are places of bytes."""
+    def run(batches):
+        for rb in batches:
+            data, off = text_buffer(rb.column(1))
+            rid = np.asarray(rb.column(0))
+            for x, y in doc_chunks(off):
+                text, ends = data[off[x]:off[y]], off[x:y + 1] - off[x]
+                words, first = word_hashes(text, ends)
+                w0, w1, _ = word_spans(text, ends)
+                for i, j, a, b, skip in _pieces(first, length):
+                    local = first[i:j + 1] - first[i] if j - i > 1 or not skip and b == first[j] else np.array([0, b - a])
+                    row, s0, n, at, h, c1, c2 = segments(words[a:b], local, length, anchor)
+                    if len(row):
+                        begin = w0[a + s0]
+                        yield _segment_batch(rid[x + i + row], s0 - local[row] + skip, n, at, h, c1, c2,
+                                             begin - ends[i + row], w1[a + s0 + n + length - 1] - begin)
+
+    return texts.mapInArrow(run, _SEGMENT)
+
+
+_SEGMENT = "_rid long, s0 long, n int, at int, h long, c1 long, c2 long, b0 long, nb int"
+
 
-    return texts.mapInArrow(run, "_rid long, s0 long, n int, at int, h long, c1 long, c2 long")
+def _segment_batch(rid, s0, n, at, h, c1, c2, b0, nb):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rid), pa.array(s0.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)),
+         pa.array(h.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+         pa.array(b0.astype(np.int64)), pa.array(nb.astype(np.int32))],
+        names=["_rid", "s0", "n", "at", "h", "c1", "c2", "b0", "nb"])
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, n: np.ndarray, group: np.ndarray,
                      length: int = LENGTH) -> np.ndarray:
     """rows x windows booleans: the window is repeated in another row of its group.
 
-    Rows are byte strings aligned at place ``at`` and sorted by group (below 65,536
-    groups). Columns are inserted from the right, one symbol per row and round."""
+    Rows are strings of bytes or small numbers, aligned at place ``at`` and sorted by group (below
+    65,536 groups). Columns are inserted from the right, one symbol per row and round."""
     rows = len(at)
+    none = 256 if data.dtype == np.uint8 else int(data.max()) + 1
     size = np.diff(offsets)
     shift = int(at.max())
     begin = shift - at                      # column of a row's first byte
@@ -135,14 +177,14 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, n: n
     common = np.zeros(rows + 1, np.int32)   # common prefix with the suffix before, 0 at a group's first
     for c in range(int(end.max()) - 1, int(begin.min()) - 1, -1):
         there = (c >= begin[order]) & (c < end[order])
-        symbol = np.full(rows, 256, np.uint16)
+        symbol = np.full(rows, none, np.uint16 if none < 1 << 16 else np.uint32)
         live = order[there]
         symbol[there] = data[offsets[live] + c - begin[live]]
         by_symbol = np.argsort(symbol, kind="stable")
         perm = by_symbol[np.argsort(group[order[by_symbol]], kind="stable")]
         sym, grp = symbol[perm], group[order[perm]]
         new = np.zeros(rows + 1, np.int32)
-        same = np.flatnonzero((sym[1:] == sym[:-1]) & (grp[1:] == grp[:-1]) & (sym[1:] < 256)) + 1
+        same = np.flatnonzero((sym[1:] == sym[:-1]) & (grp[1:] == grp[:-1]) & (sym[1:] < none)) + 1
         if len(same):
             lo, hi = perm[same - 1] + 1, perm[same] + 1
             near = hi - lo == 1
@@ -168,7 +210,7 @@ def _ranges(hit: np.ndarray):
     return row, lo, hi - 1
 
 
-def _construct(buckets: DataFrame, length: int) -> DataFrame:
+def _construct(buckets: DataFrame, length: int, words: bool = False) -> DataFrame:
     """Repeated window ranges (c1, c2, lo, hi) of the segments of buckets (key, c1, c2, sub, n, at, bytes)."""
     def run(batches):
         for t, starts in complete_groups(batches, 1):
@@ -184,8 +226,11 @@ def _construct(buckets: DataFrame, length: int) -> DataFrame:
                 i = j
                 if b - a < 2:
                     continue
-                hit = repeated_windows(data[off[a]:off[b]], off[a:b + 1] - off[a], at[a:b].astype(np.int64),
-                                       n[a:b].astype(np.int64), group[a:b] - group[a], length)
+                part, ends = data[off[a]:off[b]], off[a:b + 1] - off[a]
+                if words:
+                    part, ends = word_hashes(part, ends)
+                    part = np.unique(part, return_inverse=True)[1]
+                hit = repeated_windows(part, ends, at[a:b].astype(np.int64), n[a:b].astype(np.int64), group[a:b] - group[a], length)
                 row, lo, hi = _ranges(hit)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
@@ -204,9 +249,9 @@ def _binary(col):
                                              len(col), col.buffers(), col.null_count, col.offset))
 
 
-def _deal_on(buckets: DataFrame, span: int, length: int, anchor: int) -> DataFrame:
+def _deal_on(buckets: DataFrame, span: int, length: int, anchor: int, words: bool = False) -> DataFrame:
     """Cut segments into ranges of ``span`` anchor offsets; the new key is the old one
-    with the bytes that all windows of the range hold."""
+    with the bytes (words) that all windows of the range hold."""
     def run(batches):
         for rb in batches:
             data, off = _binary(rb.column(6))
@@ -217,53 +262,80 @@ def _deal_on(buckets: DataFrame, span: int, length: int, anchor: int) -> DataFra
                 b = np.arange(lo // span, hi // span + 1)
                 first, last = np.maximum(lo, b * span), np.minimum(hi, b * span + span - 1)
                 core0, core1 = at[k] - b * span, at[k] + length - np.minimum(b * span + span - 1, length - anchor)
-                h = span_hashes(text, core0, core1, seed=31)
                 s = at[k] - last  # first window of the range, from the segment's start
+                if words:
+                    ends = np.array([0, len(text)])
+                    h = span_hashes(word_hashes(text, ends)[0].view(np.uint8), core0 * 8, core1 * 8, seed=31)
+                    w0, w1, _ = word_spans(text, ends)
+                    x, y = w0[s], w1[s + last - first + length - 1]
+                else:
+                    h = span_hashes(text, core0, core1, seed=31)
+                    x, y = s, s + last - first + length
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mix64(h ^ mix64(b.astype(np.uint64) + key.view(np.uint64)[k])).view(np.int64)),
                      pa.array(np.full(len(b), c1[k])), pa.array(np.full(len(b), c2[k])), pa.array((sub[k] + s).astype(np.int32)),
                      pa.array((last - first).astype(np.int32)), pa.array(last.astype(np.int32)),
-                     pa.array([text[x:x + y].tobytes() for x, y in zip(s, last - first + length)], pa.binary())],
+                     pa.array([text[i:j].tobytes() for i, j in zip(x, y)], pa.binary())],
                     names=["key", "c1", "c2", "sub", "n", "at", "bytes"])
 
     cols = ["key", "c1", "c2", "sub", "n", "at", "bytes"]
     return buckets.select(*cols).mapInArrow(run, "key long, c1 long, c2 long, sub int, n int, at int, bytes binary")
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
-    """(_rid, start, end) byte ranges of ``texts`` (_rid, _text) covered by repeated strings (may overlap)."""
-    segs = materialise(_all_segments(texts, length, anchor), "suffix-segments")
+def _kinds(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments that share their anchor, their distinct contents, and the buckets of several contents."""
+    segs = materialise(segs, f"suffix-segments{name}")
     # written first: a plain shuffle on both sides lets AQE split a hot anchor
-    common = materialise(segs.groupBy("h").count().where("count > 1").select("h"), "suffix-common")
-    segs = materialise(segs.join(common, "h"), "suffix-shared")
+    common = materialise(segs.groupBy("h").count().where("count > 1").select("h"), f"suffix-common{name}")
+    shared = materialise(segs.join(common, "h"), f"suffix-shared{name}")
+    discard(segs)
+    discard(common)
 
-    kinds = segs.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_rid", "s0", "n", "at")).alias("r"))
-    kinds = materialise(kinds.select("h", "c1", "c2", "copies", "r.*"), "suffix-kinds")
-    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
-    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-mixed")
+    kinds = shared.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"),
+                                                F.min(F.struct("_rid", "s0", "n", "at", "b0", "nb")).alias("r"))
+    kinds = materialise(kinds.select("h", "c1", "c2", "copies", "r.*"), f"suffix-kinds{name}")
+    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"suffix-mixed{name}")
+    return shared, kinds, mixed
 
-    # a segment's bytes are cut out of its text right after the join
-    cut = F.substring(F.col("_text").cast("binary"), (F.col("s0") + 1).cast("int"), F.col("n") + length)
-    fetched = (texts.hint("merge").join(kinds.join(mixed, "h"), "_rid")
-               .select(F.col("h").alias("key"), "c1", "c2", F.lit(0).alias("sub"), "n", "at", cut.alias("bytes"), "kinds"))
-    fetched = materialise(fetched, "suffix-fetched")
-    found = whole.unionByName(_construct(fetched.where(F.col("kinds") <= bucket), length))
+
+def _ranges_of(segs: DataFrame, kinds: DataFrame, fetched: DataFrame, length: int, anchor: int, bucket: int, spans, words: bool,
+               name: str) -> DataFrame:
+    """(_rid, start, end) ranges covered by repeated strings, from the fetched segments of mixed buckets."""
+    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    found = whole.unionByName(_construct(fetched.where(F.col("kinds") <= bucket), length, words))
 
     hot = fetched.where(F.col("kinds") > bucket)
-    for span in (64, 1):
-        dealt = _deal_on(hot, span, length, anchor)
-        dealt = materialise(dealt, f"suffix-dealt-{span}")
-        sizes = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"suffix-sizes-{span}")
+    for span in spans:
+        dealt = _deal_on(hot, span, length, anchor, words)
+        dealt = materialise(dealt, f"suffix-dealt{name}-{span}")
+        sizes = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"suffix-sizes{name}-{span}")
         dealt = dealt.join(sizes, "key")
         if span == 1:  # the common bytes are the whole window
             found = found.unionByName(dealt.select("c1", "c2", F.col("sub").alias("lo"), F.col("sub").alias("hi")))
         else:
-            found = found.unionByName(_construct(dealt.where(F.col("kinds") <= bucket), length))
+            found = found.unionByName(_construct(dealt.where(F.col("kinds") <= bucket), length, words))
             hot = dealt.where(F.col("kinds") > bucket)
-    got = segs.join(materialise(found, "suffix-found"), ["c1", "c2"])
+    got = segs.join(materialise(found, f"suffix-found{name}"), ["c1", "c2"])
     return got.select("_rid", (F.col("s0") + F.col("lo")).alias("start"), (F.col("s0") + F.col("hi") + length).alias("end"))
 
 
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET,
+                    words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(_rid, start, end) byte ranges of ``texts`` (_rid, _text) covered by repeated strings of ``length`` bytes (may
+    overlap), and word ranges covered by repeated passages of ``words`` words."""
+    near = min(WORDS_ANCHOR, words)
+    parts = [_kinds(_all_segments(texts, length, anchor), ""), _kinds(_all_word_segments(texts, words, near), "-words")]
+    wanted = [kinds.join(mixed, "h").withColumn("words", F.lit(i == 1)) for i, (_, kinds, mixed) in enumerate(parts)]
+
+    # a segment's bytes are cut out of its text right after the join
+    cut = F.substring(F.col("_text").cast("binary"), (F.col("b0") + 1).cast("int"), F.col("nb"))
+    fetched = (texts.hint("merge").join(wanted[0].unionByName(wanted[1]), "_rid")
+               .select(F.col("h").alias("key"), "c1", "c2", F.lit(0).alias("sub"), "n", "at", cut.alias("bytes"), "kinds", "words"))
+    fetched = materialise(fetched, "suffix-fetched")
+    return (_ranges_of(*parts[0][:2], fetched.where("not words"), length, anchor, bucket, SPANS, False, ""),
+            _ranges_of(*parts[1][:2], fetched.where("words"), words, near, bucket, WORDS_SPANS, True, "-words"))
+
+
 def merge(ranges) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching ranges."""
     out: list[tuple[int, int]] = []
@@ -276,34 +348,42 @@ def merge(ranges) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   anchor: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: _id, n_bytes, n_removed, n_spans, spans (merged byte ranges), kept (remaining bytes)."""
+                   anchor: int = ANCHOR, bucket: int = BUCKET, words: int = WORDS) -> DataFrame:
+    """One row per input row: _id, n_bytes, n_removed, n_spans, spans (merged byte ranges), kept (remaining bytes),
+    n_passage_words and passages (merged ranges of words in repeated runs of ``words`` words, which stay)."""
     base = docs.select(row_id(docs).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     texts = base.select("_rid", "_text")
-    ranges = repeated_ranges(texts, length, anchor, bucket)
-    per_row = ranges.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))  # one text's own
-    rows = base.join(per_row, "_rid", "left").select("_id", "_text", "_ranges")
+    strings, passages = repeated_ranges(texts, length, anchor, bucket, words)
+    both = strings.withColumn("words", F.lit(False)).unionByName(passages.withColumn("words", F.lit(True)))
+    span = F.struct("start", "end")
+    per_row = both.groupBy("_rid").agg(F.collect_set(F.when(~F.col("words"), span)).alias("_ranges"),  # one text's own
+                                       F.collect_set(F.when(F.col("words"), span)).alias("_passages"))
+    rows = base.join(per_row, "_rid", "left").select("_id", "_text", "_ranges", "_passages")
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def merged(col):
+        return [[{"start": a, "end": b} for a, b in merge((x["start"], x["end"]) for x in r or ())] for r in col.to_pylist()]
+
+    def total(spans):
+        return pa.array([sum(x["end"] - x["start"] for x in s) for s in spans], pa.int64())
 
     def run(batches):
         for rb in batches:
             data, off = text_buffer(rb.column(1))
-            ranges = rb.column(2).to_pylist()
-            n_bytes, spans, kept = np.diff(off), [], []
-            for i, r in enumerate(ranges):
+            spans, runs, kept = merged(rb.column(2)), merged(rb.column(3)), []
+            for i, s in enumerate(spans):
                 text = data[off[i]:off[i + 1]]
-                s = merge((x["start"], x["end"]) for x in r or ())
-                spans.append([{"start": a, "end": b} for a, b in s])
                 at, parts = 0, []
-                for a, b in s:
-                    parts.append(text[at:a])
-                    at = b
+                for x in s:
+                    parts.append(text[at:x["start"]])
+                    at = x["end"]
                 kept.append(b"".join(x.tobytes() for x in (*parts, text[at:])))
-            removed = [sum(x["end"] - x["start"] for x in s) for s in spans]
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(n_bytes), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                [rb.column(0), pa.array(np.diff(off)), total(spans), pa.array([len(s) for s in spans], pa.int64()),
+                 pa.array(spans, spans_type), pa.array(kept, pa.binary()), total(runs), pa.array(runs, spans_type)],
+                names=["_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words", "passages"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, n_bytes long, n_removed long, n_spans long, "
-                                "spans array<struct<start: long, end: long>>, kept binary")
+    ranges = "array<struct<start: long, end: long>>"
+    return rows.mapInArrow(run, f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans {ranges}, kept binary, "
+                                f"n_passage_words long, passages {ranges}")

@@ -244,6 +244,31 @@ def test_repeated_strings(spark, bucket):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_passages_of_over_50_words(spark, bucket):
+    """Runs of 51 words that stand elsewhere are reported, also where they are too short to be removed."""
+    rng = random.Random(6)
+    vocabulary = ["a", "of", "né", "tree", "中文"]
+
+    def w(n):
+        return " ".join(rng.choice(vocabulary) + rng.choice("xyz") for _ in range(n))
+
+    p, q, r = w(52), w(70), w(50)
+    assert len(p.encode()) < 400
+    texts = [w(rng.randint(0, 60)) + " " + rng.choice([p, q, r, q.replace(" ", "\t\n"), ""]) + " " + w(rng.randint(0, 60)) for _ in range(80)]
+    texts += [None, "", " \n", "one two", texts[3], texts[3], "tick tock " * 40, p, r, r + " end", " ".join(p.split()[:51])]
+    lists = [(t or "").split() for t in texts]
+    count = collections.Counter(tuple(x[i:i + 51]) for x in lists for i in range(len(x) - 50))
+    want = []
+    for x in lists:
+        covered = {k for i in range(len(x) - 50) if count[tuple(x[i:i + 51])] > 1 for k in range(i, i + 51)}
+        want.append((len(covered), sorted(k for k in covered if k - 1 not in covered)))
+    rows = suffix_dedup.remove_repeats(rows_of(spark, texts), bucket=bucket).collect()
+    got = {x["_id"]: (x["n_passage_words"], [s["start"] for s in x["passages"]]) for x in rows}
+    assert [got[i] for i in range(len(texts))] == want
+    assert any(x["n_passage_words"] and not x["n_removed"] for x in rows)
+
+
 def test_repeated_strings_in_a_text_longer_than_a_piece(spark, monkeypatch):
     rng = random.Random(4)
     base = "".join(rng.choice("abcdefghij") for _ in range(700))
