@@ -183,7 +183,9 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     near_head = (F.col("fp") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= distance)
     # the head itself and strangers that meet in a bucket of two leave no row of the join
     on = (F.col("v.place") == F.col("h.place")) & (F.col("v.rest") == F.col("h.rest")) & (near_head | (F.col("c") > 2))
-    met = _variant_rows(fps, distance).alias("v").join(heads.alias("h"), on).select("v.place", "v.rest", "fp", "c", "head")
+    # Spark takes the 64 rows of a fingerprint for one and would broadcast them: a merge join, which it can also split
+    variants = _variant_rows(fps, distance).hint("merge")
+    met = variants.alias("v").join(heads.alias("h"), on).select("v.place", "v.rest", "fp", "c", "head")
     met = materialise(met, "simhash-members")
     linked = met.where(near_head)
     near = connected_components(linked.select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-near")

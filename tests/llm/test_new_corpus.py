@@ -339,3 +339,19 @@ def test_shared_turns():
         b = a[:rng.randint(0, 9)] + [bytes([rng.randint(0, 1)]) * 16 for _ in range(rng.randint(0, 4))]
         want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert prefix_trie._shared(b"".join(a), b"".join(b)) == want
+
+
+def test_simhash_variants_are_not_broadcast(spark, monkeypatch):
+    """64 rows of every fingerprint come from a table that Spark sizes as if each gave one."""
+    from tabscale.llm import simhash
+    seen, write = {}, simhash.materialise
+
+    def noted(df, name, *folders):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *folders)
+    monkeypatch.setattr(simhash, "materialise", noted)
+    prints = spark.createDataFrame([(0,), (1,), (3,), (1 << 40,), (-1,)], "_fp long")
+    got = simhash.components(prints, 4)
+    labels = {r["fp"]: r["label"] for r in got.collect()}
+    assert len({labels[0], labels[1], labels[3], labels[1 << 40]}) == 1 and labels[-1] != labels[0]
+    assert "SortMergeJoin" in seen["simhash-members"] and "Broadcast" not in seen["simhash-members"]
