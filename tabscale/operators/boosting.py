@@ -11,7 +11,7 @@ greatest least gain on their path from the root, so a whole level is searched at
 once and only nodes that can still be among the best ``num_leaves - 1`` go on.
 
 Several classes are one model: a tree per class and round on softmax gradients.
-Rows that are few enough for one task (``SOLO_ROWS``) are boosted in one task by
+Rows that are few enough for one task (``SOLO_ROWS``, ``SOLO_BYTES``) are boosted in one task by
 the same functions; above, scores are written to the checkpoint folder every
 ``STATE_EVERY`` rounds and carried on from there. NaN is larger than any value.
 """
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-SOLO_ROWS = 100_000
+SOLO_ROWS = 1_000_000
+SOLO_BYTES = 32 << 20  # of bins, gradients and Hessians of more than 100,000 rows
 STATE_EVERY = 10
 PART_ROWS = 100_000
 
@@ -371,7 +372,8 @@ class LeafBoosting(Estimator, _Params):
                 shares[int(r["_y"])] = r["count"] / stats["n"]
         start = start_scores(how["task"], stats["m"], shares)
         frame = dealt(_binned(x, edges), stats["n"]).checkpoint()
-        if stats["n"] <= SOLO_ROWS:
+        # some 700 jobs of a second take longer than one task, while its rows fit in little memory
+        if stats["n"] <= min(SOLO_ROWS, max(100_000, SOLO_BYTES // (p + 24 * len(start) + 16))):
             def run(batches):
                 t = pa.Table.from_batches(batches)
                 t = t.take(pa.compute.sort_indices(t, [("_i", "ascending")]))

@@ -354,3 +354,29 @@ def test_model_frames_have_few_parts(spark):
     wide = spark.range(0, 1000, 1, 300)
     few = dealt(wide, 1000)
     assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and few.count() == 1000
+
+
+def test_class_trees_by_level_equal_node_by_node():
+    from tabscale.operators import forest as FO
+    rng = np.random.RandomState(5)
+    for n, p, k, bins, how in [(400, 3, 2, 9, {}), (300, 4, 3, 256, {"min_rows": 4, "tries": 1}), (300, 2, 5, 4, {"min_split": 30}),
+                               (250, 5, 2, 30, {"max_depth": 3, "tries": 5}), (40, 0, 2, 1, {}), (1, 2, 2, 3, {})]:
+        how = {"seed": 7, "tries": min(2, p), "classes": k, "n_bins": bins, "min_rows": 1, "min_split": 2, "max_depth": 0} | how
+        b, y, w = rng.randint(0, bins, (n, p)).astype(np.uint8), rng.randint(0, k, n).astype(float), rng.randint(1, 4, n).astype(float)
+        for top in (1, 6):
+            got, want = (grow(b, FO.targets(y, k), w, 3, top, how) for grow in (FO.grow_classes, FO.grow_whole))
+            assert sorted(got) == sorted(want)
+
+
+def test_boosting_takes_one_task_while_its_rows_fit(spark, monkeypatch):
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.range(120_000).selectExpr("double(id % 97) as a", "double(id % 89) as b", "double(id % 97 > 40) as y"))
+    fit = B.LeafBoosting(task="classification", labelCol="y", rounds=2, max_depth=2).fit
+
+    def spread(*_):
+        raise RuntimeError("spread")
+    monkeypatch.setattr(B, "boost_spread", spread)
+    assert len(fit(df).trees) == 2
+    monkeypatch.setattr(B, "SOLO_BYTES", 1 << 20)
+    with pytest.raises(RuntimeError, match="spread"):
+        fit(df)
